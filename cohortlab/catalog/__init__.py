@@ -6,6 +6,7 @@ from cohortlab.catalog.registry import ORACLES, QUERIES
 from cohortlab.catalog import (  # noqa: F401  (importing a module registers its queries)
     q_evidence,
     q_features,
+    q_cohort,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cohortlab.config import CohortSpec
 from cohortlab.operators import evidence as ev
 from cohortlab.operators import features as ft
 from cohortlab.operators import ontology
+from cohortlab.operators.cohort import modeling_cohort
 from cohortlab.sources import fixtures as fx
 from cohortlab.sources.registry import load_targets
 
@@ -38,3 +41,16 @@ def present_features(spark: SparkSession, sf: str) -> DataFrame:
 
 def areas(spark: SparkSession, sf: str) -> DataFrame:
     return ontology.therapeutic_areas(fx.diseases(spark, sf))
+
+
+TRAINING = CohortSpec(2, 1996, 1998, 1999)
+EVALUATION = CohortSpec(2, 1999, 1999, 2001)
+
+
+def cohort(spark: SparkSession, sf: str, spec: CohortSpec = TRAINING) -> DataFrame:
+    return modeling_cohort(features(spark, sf), spec)
+
+
+def split_cohorts(spark: SparkSession, sf: str) -> DataFrame:
+    train = cohort(spark, sf, TRAINING).withColumn("split", F.lit("training"))
+    return train.unionByName(cohort(spark, sf, EVALUATION).withColumn("split", F.lit("evaluation")))

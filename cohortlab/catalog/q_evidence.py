@@ -83,10 +83,10 @@ SELECT method, count(*) AS n, CASE WHEN kind=0 THEN 'm__'||"datasourceId" END AS
 FROM (SELECT *, CASE kind WHEN 0 THEN 'target_disease__model__m__'||"datasourceId"||'__limit_'||lpad(lim::VARCHAR,4,'0')
         WHEN 1 THEN 'target_disease__'||"datatypeId"||'__limit_'||lpad(lim::VARCHAR,4,'0')
         ELSE 'target_disease__'||"datatypeId" END AS method
-      FROM (SELECT *, CAST(10+10*score AS INT) AS lim, CAST(score AS INT) % 3 AS kind FROM v_evidence))
+      FROM (SELECT *, CAST(round(10+10*score) AS INT) AS lim, CAST(floor(score) AS INT) % 3 AS kind FROM v_evidence))
 GROUP BY ALL""")
 def _parse_method_name(spark: SparkSession, sf: str) -> DataFrame:
-    limit = (10 + 10 * F.col("score")).cast("int")
+    limit = F.round(10 + 10 * F.col("score")).cast("int")
     padded = F.concat(F.lit("__limit_"), F.lpad(limit.cast("string"), 4, "0"))
     kind = F.col("score").cast("int") % 3
     method = (

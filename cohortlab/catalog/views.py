@@ -167,3 +167,83 @@ SELECT v_temporal.*, {listing(TARGET_STATIC)} FROM v_temporal LEFT JOIN v_target
 
 VIEWS["v_present"] = f"""
 SELECT v_static.*, {listing(TARGET_STATIC)} FROM v_static LEFT JOIN v_target_features USING (target_id)"""
+
+STATIC = [n for n in [*ALL_FEATURES, *TARGET_STATIC] if "__genetic_association__" in n or n in TARGET_STATIC]
+TEMPORAL = [n for n in [*ALL_FEATURES, *TARGET_STATIC] if n not in STATIC]
+OUTCOME = "target_disease__outcome__advanced"
+TIME = "target_disease__time__transition"
+
+VIEWS["v_transitions"] = """
+SELECT target_id, disease_id, min(year) AS transition_year FROM v_features
+WHERE year IS NOT NULL AND target_disease__clinical__phase2__reached>0
+  AND target_disease__clinical__phase_max__reached<=2 GROUP BY 1,2"""
+
+VIEWS["v_base"] = f"""
+SELECT t.target_id, t.disease_id, t.transition_year, {listing(STATIC, 's.{0}')}, a.feature_year,
+  {listing(TEMPORAL, 'f.{0}')}, d.year_first_advanced
+FROM v_transitions t
+JOIN (SELECT target_id, disease_id, {listing(STATIC, 'max({0}) AS {0}')} FROM v_features GROUP BY 1,2) s
+  USING (target_id, disease_id)
+LEFT JOIN (SELECT target_id, disease_id, max(year) AS feature_year FROM v_features JOIN v_transitions USING (target_id, disease_id)
+      WHERE year<transition_year GROUP BY 1,2) a USING (target_id, disease_id)
+LEFT JOIN v_features f ON f.target_id=t.target_id AND f.disease_id=t.disease_id AND f.year=a.feature_year
+LEFT JOIN (SELECT target_id, disease_id, min(year) AS year_first_advanced FROM v_features
+      WHERE year IS NOT NULL AND target_disease__clinical__phase_max__reached>2 GROUP BY 1,2) d
+  ON d.target_id=t.target_id AND d.disease_id=t.disease_id"""
+
+
+def cohort_sql(first: int, last: int, advanced_by: int) -> str:
+    return f"""
+SELECT * EXCLUDE (year_first_advanced),
+  year_first_advanced IS NOT NULL AND year_first_advanced<={advanced_by} AS {OUTCOME},
+  CAST({advanced_by}-transition_year AS INT) AS {TIME}
+FROM v_base WHERE transition_year BETWEEN {first} AND {last}"""
+
+
+VIEWS["v_cohort"] = cohort_sql(1996, 1998, 1999)
+VIEWS["v_evaluation"] = cohort_sql(1999, 1999, 2001)
+VIEWS["v_splits"] = """
+SELECT *, 'training' AS split FROM v_cohort UNION ALL BY NAME SELECT *, 'evaluation' AS split FROM v_evaluation"""
+
+VIEWS["v_advancement"] = f"""
+SELECT split_part(feature,'__',2)||'__'||split_part(feature,'__',3) AS feature_name,
+  CASE WHEN fy IS NULL THEN 'none' WHEN fy<reached THEN 'before' ELSE 'after' END AS emerged,
+  CASE WHEN surpassed IS NULL THEN 'stalled' ELSE 'advanced' END AS progress, count(*) AS n_pairs
+FROM (
+  SELECT target_id, disease_id,
+    min(CASE WHEN early>0 THEN year END) AS reached,
+    min(CASE WHEN early>0 AND target_disease__clinical__phase_max__reached>2 THEN year END) AS surpassed,
+    {listing(SCORES, 'min(CASE WHEN {0}>0 THEN year END) AS {0}')}
+  FROM (SELECT *, greatest(0, coalesce(target_disease__clinical__phase1__reached,0), coalesce(target_disease__clinical__phase2__reached,0)) AS early
+        FROM v_features WHERE year IS NOT NULL) GROUP BY 1,2)
+UNPIVOT INCLUDE NULLS (fy FOR feature IN ({listing(SCORES)}))
+WHERE reached BETWEEN 1996 AND 1999 GROUP BY 1,2,3"""
+
+
+def fisher_sql(a: str, b: str, c: str, d: str) -> str:
+    """Upper hypergeometric tail by log-gamma."""
+    lf = "lgamma({0}+1.0)".format
+    row, col, tot = f"({a}+{b})", f"({a}+{c})", f"({a}+{b}+{c}+{d})"
+    const = f"{lf(row)}+{lf(tot + '-' + row)}+{lf(col)}+{lf(tot + '-' + col)}-{lf(tot)}"
+    term = f"exp({const}-{lf('x')}-{lf(row + '-x')}-{lf(col + '-x')}-{lf(tot + '-' + row + '-' + col + '+x')})"
+    return f"least(1.0, (SELECT sum({term}) FROM (SELECT unnest(range({a}, least({row},{col})+1)) AS x)))"
+
+
+def rr_sql(a: str, n1: str, c: str, n0: str, z: float) -> dict[str, str]:
+    rr = f"(({a})/({n1})::DOUBLE)/(({c})/({n0})::DOUBLE)"
+    sd = f"{z!r}*sqrt(1.0/({a})-1.0/({n1})+1.0/({c})-1.0/({n0}))"
+
+    def pick(both: str, none_exposed: str, none_control: str) -> str:
+        return f"(CASE WHEN ({a})>0 AND ({c})>0 THEN {both} WHEN ({a})=0 AND ({c})>0 THEN {none_exposed} WHEN ({a})>0 THEN {none_control} END)"
+
+    return {
+        "relative_risk": pick(rr, "0.0", "'inf'::DOUBLE"),
+        "relative_risk_low": pick(f"exp(ln({rr})-{sd})", "0.0", "NULL"),
+        "relative_risk_high": pick(f"exp(ln({rr})+{sd})", "NULL", "'inf'::DOUBLE"),
+    }
+
+
+Z90, Z99 = 1.6448536269514722, 2.5758293035489004
+
+VIEWS["v_wx"] = """
+SELECT l_linenumber, l_returnflag, l_suppkey%25 AS nation, max(l_quantity) AS v FROM lineitem GROUP BY 1,2,3"""

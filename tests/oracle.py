@@ -38,7 +38,7 @@ def _cell(value) -> str:
     if isinstance(value, pd.Timestamp):
         return str(value.date()) if value == value.normalize() else str(value)
     if isinstance(value, int):
-        return repr(float(value)) if False else str(value)
+        return str(value)
     return str(value)
 
 
@@ -53,6 +53,7 @@ def compare(spark_df, con, sql: str) -> str | None:
     names = [d[0] for d in cursor.description]
     want = canonical(names, cursor.fetchall())
     got = canonical(spark_df.columns, [tuple(r) for r in spark_df.collect()])
+    compare.rows = len(got[1])
     if want[0] != got[0]:
         return f"columns: spark {got[0]} duckdb {want[0]}"
     if len(want[1]) != len(got[1]):
@@ -77,6 +78,7 @@ def main() -> int:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
@@ -91,7 +93,7 @@ def main() -> int:
             df = fn(spark, sf)
             if name in oracles:
                 problem = compare(df, con, oracles[name])
-                rows = df.count()
+                rows = compare.rows
             else:
                 problem, rows = None, len(df.collect())
                 problem = None if rows else "no rows"
