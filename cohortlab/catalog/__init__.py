@@ -7,6 +7,7 @@ from cohortlab.catalog import (  # noqa: F401  (importing a module registers its
     q_evidence,
     q_features,
     q_cohort,
+    q_ranking,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.config import CohortSpec
+from cohortlab.functions.naming import DISEASE_PHASE, TARGET_PHASE, TRANSITION_TIME
 from cohortlab.operators import evidence as ev
 from cohortlab.operators import features as ft
 from cohortlab.operators import ontology
 from cohortlab.operators.cohort import modeling_cohort
+from cohortlab.operators.linear import LinearModel, weighted_composite
+from cohortlab.operators.ordering import unpivot
 from cohortlab.sources import fixtures as fx
 from cohortlab.sources.registry import load_targets
 
@@ -54,3 +57,34 @@ def cohort(spark: SparkSession, sf: str, spec: CohortSpec = TRAINING) -> DataFra
 def split_cohorts(spark: SparkSession, sf: str) -> DataFrame:
     train = cohort(spark, sf, TRAINING).withColumn("split", F.lit("training"))
     return train.unionByName(cohort(spark, sf, EVALUATION).withColumn("split", F.lit("evaluation")))
+
+
+# Fixed coefficients, so that reference SQL can repeat the scores.
+_NO_TIME = {
+    **{f"target_disease__{t}__{s}": 0.01 * (i + 1) for i, (t, s) in enumerate(fx.SOURCES)},
+    TARGET_PHASE: 0.05,
+    DISEASE_PHASE: 0.01,
+    "target__tissue_specificity": 0.1,
+    "target__genetic_constraint": 0.05,
+}
+MODELS = [
+    LinearModel("rdg__no_time__positive", _NO_TIME),
+    LinearModel("rdg__all__positive", {**_NO_TIME, TRANSITION_TIME: 0.03}),
+]
+MODEL_NAMES = ["rdg__no_time__positive", "rdg__all__positive", "ots__all"]
+COMPOSITE_FEATURES = [f"target_disease__{t}__{s}" for t, s in fx.SOURCES]
+
+
+def with_scores(rows: DataFrame) -> DataFrame:
+    """Add one score column per model, rounded so that ties are ties in every engine."""
+    scores = {m.slug: m.score(m.fills(rows)) for m in MODELS}
+    scores["ots__all"] = weighted_composite(COMPOSITE_FEATURES)
+    return rows.withColumns({name: F.round(score, 6) for name, score in scores.items()})
+
+
+def scored_cohort(spark: SparkSession, sf: str) -> DataFrame:
+    return with_scores(cohort(spark, sf))
+
+
+def long_predictions(scored: DataFrame, keep: list[str]) -> DataFrame:
+    return unpivot(scored.select(*keep, *MODEL_NAMES), keep, MODEL_NAMES, "model", "prediction")

@@ -247,3 +247,127 @@ Z90, Z99 = 1.6448536269514722, 2.5758293035489004
 
 VIEWS["v_wx"] = """
 SELECT l_linenumber, l_returnflag, l_suppkey%25 AS nation, max(l_quantity) AS v FROM lineitem GROUP BY 1,2,3"""
+
+MODEL_NAMES = ["rdg__no_time__positive", "rdg__all__positive", "ots__all"]
+_LINEAR = " + ".join(
+    [f"{round(0.01 * (i + 1), 2)}::DOUBLE*coalesce({c},0)" for i, c in enumerate(SCORES)]
+    + [f"0.05::DOUBLE*coalesce({ENTITY[0]},0)", f"0.01::DOUBLE*coalesce({ENTITY[1]},0)",
+       "0.1::DOUBLE*coalesce(target__tissue_specificity,0)", "0.05::DOUBLE*coalesce(target__genetic_constraint,0)"]
+)
+_COMPOSITE = "(" + " + ".join(
+    f"{0.2 if c.endswith(('europepmc', 'impc')) else 1.0}::DOUBLE*coalesce({c},0)" for c in SCORES
+) + f")/{len(SCORES)}"
+
+
+def scored_sql(source: str) -> str:
+    return f"""
+SELECT *, round(greatest(0.0,least(1.0,{_LINEAR})),6) AS rdg__no_time__positive,
+  round(greatest(0.0,least(1.0,{_LINEAR} + 0.03::DOUBLE*{TIME})),6) AS rdg__all__positive,
+  round({_COMPOSITE},6) AS ots__all FROM {source}"""
+
+
+VIEWS["v_scored"] = scored_sql("v_cohort")
+VIEWS["v_predictions"] = f"""
+SELECT target_id, disease_id, {OUTCOME} AS y, model, prediction FROM v_scored
+UNPIVOT (prediction FOR model IN ({listing(MODEL_NAMES)}))"""
+VIEWS["v_scored_area"] = "SELECT * FROM v_scored JOIN v_areas USING (disease_id)"
+
+RANKED_FEATURES = [*PHASES, *SCORES, TIME, *ENTITY, *TARGET_STATIC]
+QUANTILES = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)
+LIMITS = (10, 25, 50, 75, 100, 250, 500)
+
+
+def methods_sql(source: str, by: list[str]) -> str:
+    """Rows (by, method, src, test, cutoff)."""
+    group = "".join(f"{b}, " for b in by)
+    grouping = f"GROUP BY {', '.join(by)}" if by else ""
+    over = f"PARTITION BY {', '.join(by)}" if by else ""
+    parts = [
+        f"SELECT {group}'{c}' AS method, '{c}' AS src, 'pos' AS test, 0.0::DOUBLE AS cutoff FROM {source} {grouping} "
+        + ("" if by else "LIMIT 1")
+        for c in [*PHASES, *SCORES, TIME]
+    ]
+    parts = [f"({p})" for p in parts]
+    parts.append(f"SELECT DISTINCT {group}'{TIME}__eq_'||CAST({TIME} AS BIGINT), '{TIME}', 'eq', {TIME}::DOUBLE FROM {source}")
+
+    def ranked(col: str, label: str, limits) -> list[str]:
+        return [
+            f"(SELECT {group}'{label}__limit_{k:04d}', '{col}', 'gte', min({col})::DOUBLE FROM "
+            f"(SELECT {group}{col}, row_number() OVER ({over} ORDER BY {col} DESC) AS rn FROM {source} WHERE {col} IS NOT NULL) WHERE rn<={k} {grouping})"
+            for k in limits
+        ]
+
+    parts += ranked("target_disease__literature__europepmc", "target_disease__literature__europepmc", (100, 250, 500))
+    for m in MODEL_NAMES:
+        parts += ranked(m, f"target_disease__model__{m}", LIMITS)
+    for c in [*ENTITY, *TARGET_STATIC]:
+        key = f"{c.split('__')[0]}_id"
+        best = f"(SELECT {group}{key}, max({c})::DOUBLE AS v FROM {source} GROUP BY {group}{key})"
+        n_of = f"(SELECT {group}count(DISTINCT v) AS nd, bool_and(v=floor(v)) AS whole FROM {best} {grouping})"
+        using = f"JOIN {n_of} n USING ({', '.join(by)})" if by else f"CROSS JOIN {n_of} n"
+        parts.append(
+            f"SELECT DISTINCT {group}'{c}__gte_'||CASE WHEN whole THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE CAST(v AS VARCHAR) END, '{c}', 'gte', v "
+            f"FROM {best} b {using} WHERE v IS NOT NULL AND nd<=10"
+        )
+        for q in QUANTILES:
+            parts.append(
+                f"(SELECT {group}'{c}__qtl_{int(100 * q + 1e-9):03d}', '{c}', 'gte', quantile_cont(v, {q}) FROM {best} {grouping} HAVING count(DISTINCT v)>10)"
+            )
+    return "\nUNION ALL ".join(parts)
+
+
+def risk_sql(source: str, methods: str, by: list[str], z: float) -> str:
+    """Relative risk per method by joining every row to every method: brute force on purpose."""
+    group = "".join(f"{b}, " for b in by)
+    match = " AND ".join(["TRUE", *[f"s.{b}=m.{b}" for b in by]])
+    columns = [*RANKED_FEATURES, *MODEL_NAMES]
+    value = "CASE m.src " + " ".join(f"WHEN '{c}' THEN s.{c}::DOUBLE" for c in columns) + " END"
+    hit = f"coalesce(CASE m.test WHEN 'pos' THEN {value}>0 WHEN 'eq' THEN {value}=m.cutoff ELSE {value}>=m.cutoff END, FALSE)"
+    rr = rr_sql("a", "n1", "c", "n0", z)
+    return f"""
+SELECT {group}method, n1 AS n_exposed, a AS n_exposed_true, n0 AS n_control, n1+n0 AS n_total,
+  {r6('a/n1::DOUBLE', 'fraction_exposed')}, {r6('c/n0::DOUBLE', 'fraction_control')},
+  {', '.join(r6(v, k) for k, v in rr.items())}
+FROM (SELECT {''.join(f's.{b}, ' for b in by)}method, count(*) FILTER (WHERE hit) AS n1, count(*) FILTER (WHERE hit AND y) AS a,
+        count(*) FILTER (WHERE NOT hit) AS n0, count(*) FILTER (WHERE NOT hit AND y) AS c
+      FROM (SELECT {''.join(f's.{b}, ' for b in by)}m.method, s.{OUTCOME} AS y, {hit} AS hit FROM {source} s JOIN {methods} m ON {match}) s
+      GROUP BY ALL)
+WHERE n1>0 AND n0>0"""
+
+
+_AREA = ["therapeutic_area_id", "therapeutic_area_name"]
+VIEWS["v_methods"] = methods_sql("v_scored", [])
+VIEWS["v_methods_area"] = methods_sql("v_scored_area", _AREA)
+VIEWS["v_risk"] = risk_sql("v_scored", "v_methods", [], Z90)
+VIEWS["v_risk_area"] = risk_sql("v_scored_area", "v_methods_area", _AREA, Z90)
+_SLUGS = {"rdg__no_time__positive": "RDG", "rdg__all__positive": "RDG-T", "rdg__no_tgc__positive": "RDG-X",
+          "gbm__all__unconstrained": "GBM-T", "ots__all": "OTS"}
+_BENCH = {"omim": ("OMIM", "OMIM"), "eva": ("EVA", "EVA/ClinVar"), "ot_genetics_portal": ("OTG", "OTG/GWAS")}
+
+
+def enriched_sql(source: str) -> str:
+    slug = "CASE model_name " + " ".join(f"WHEN '{m}' THEN '{s}'" for m, s in _SLUGS.items()) + " END"
+    bench = "CASE method " + " ".join(f"WHEN 'target_disease__genetic_association__{b}' THEN '{b}'" for b in _BENCH) + " END"
+    of = [
+        "CASE benchmark_name " + " ".join(f"WHEN '{b}' THEN '{v[i]}'" for b, v in _BENCH.items()) + " END" for i in (0, 1)
+    ]
+    return f"""
+SELECT *, {of[0]} AS benchmark_slug, {of[1]} AS benchmark_disp, {slug} AS model_slug, model_name IS NOT NULL AS is_model_feature,
+  {slug} IS NOT NULL AS is_primary_model_feature, benchmark_name IS NOT NULL AS is_primary_benchmark_feature
+FROM (SELECT *, nullif(regexp_extract(method,'^target_disease__model__(.+)__limit_[0-9]+$',1),'') AS model_name,
+        TRY_CAST(nullif(regexp_extract(method,'__limit_([0-9]+)$',1),'') AS INT) AS "limit", {bench} AS benchmark_name FROM {source})"""
+
+
+VIEWS["v_enriched"] = enriched_sql("v_risk")
+VIEWS["v_enriched_area"] = enriched_sql("v_risk_area")
+VIEWS["v_thresholds"] = """
+SELECT l.*, p.prediction AS model_prediction_threshold FROM (
+  SELECT m.model_name AS model, b.benchmark_name, b.benchmark_slug, b.relative_risk AS benchmark_relative_risk, b.n_exposed AS benchmark_n_pairs,
+    max(CASE WHEN m.relative_risk>b.relative_risk THEN m."limit" END) AS limit_lower_bound,
+    min(CASE WHEN m.relative_risk<=b.relative_risk THEN m."limit" END) AS limit_upper_bound,
+    (max(CASE WHEN m.relative_risk>b.relative_risk THEN m."limit" END) + min(CASE WHEN m.relative_risk<=b.relative_risk THEN m."limit" END))/2.0::DOUBLE AS "limit"
+  FROM (SELECT * FROM v_enriched WHERE is_primary_model_feature) m
+  CROSS JOIN (SELECT * FROM v_enriched WHERE is_primary_benchmark_feature) b GROUP BY ALL
+  HAVING limit_lower_bound IS NOT NULL OR limit_upper_bound IS NOT NULL) l
+LEFT JOIN (SELECT model, prediction, row_number() OVER (PARTITION BY model ORDER BY prediction DESC) AS rn FROM v_predictions) p
+  ON p.model=l.model AND p.rn=CAST(floor(l."limit") AS INT)"""

@@ -135,7 +135,7 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str,
 def unpivot(df: DataFrame, keys: list[str], columns: list[str], name: str, value: str,
             keep_nulls: bool = True) -> DataFrame:
     """Wide to long; NULL cells are kept unless told otherwise."""
-    long = df.unpivot([F.col(k) for k in keys], [F.col(c) for c in columns], name, value)
+    long = df.unpivot([F.col(k) for k in keys], [F.col(f"`{c}`") for c in columns], name, value)
     return long if keep_nulls else long.filter(F.col(value).isNotNull())
 
 
