@@ -8,6 +8,7 @@ from cohortlab.catalog import (  # noqa: F401  (importing a module registers its
     q_features,
     q_cohort,
     q_ranking,
+    q_metrics,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.config import CohortSpec
+from cohortlab.functions.frames import materialize
 from cohortlab.functions.naming import DISEASE_PHASE, TARGET_PHASE, TRANSITION_TIME
 from cohortlab.operators import evidence as ev
 from cohortlab.operators import features as ft
@@ -21,6 +22,11 @@ def stages(spark: SparkSession, sf: str) -> DataFrame:
     return ev.clinical_stages(ev.clinical_evidence(fx.evidence(spark, sf)), fx.BOUNDS)
 
 
+def written_stages(spark: SparkSession, sf: str) -> DataFrame:
+    """Stages feed many branches of the feature plans, so they are written once."""
+    return materialize(stages(spark, sf))
+
+
 def temporalized(spark: SparkSession, sf: str) -> DataFrame:
     augmented = ev.augment_evidence(fx.evidence(spark, sf))
     return ev.temporalize_evidence(augmented, fx.publication_years(spark, sf), fx.BOUNDS)
@@ -32,13 +38,13 @@ def target_features(spark: SparkSession, sf: str) -> DataFrame:
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
     """Temporal features of pairs in trials, with target properties."""
-    temporal = ft.temporal_features(temporalized(spark, sf), stages(spark, sf), fx.SOURCES)
+    temporal = ft.temporal_features(temporalized(spark, sf), written_stages(spark, sf), fx.SOURCES)
     return ft.add_target_features(temporal, target_features(spark, sf))
 
 
 def present_features(spark: SparkSession, sf: str) -> DataFrame:
     """All-time features of every pair, with target properties."""
-    static = ft.static_features(temporalized(spark, sf), stages(spark, sf), fx.SOURCES)
+    static = ft.static_features(temporalized(spark, sf), written_stages(spark, sf), fx.SOURCES)
     return ft.add_target_features(static, target_features(spark, sf))
 
 
@@ -83,7 +89,8 @@ def with_scores(rows: DataFrame) -> DataFrame:
 
 
 def scored_cohort(spark: SparkSession, sf: str) -> DataFrame:
-    return with_scores(cohort(spark, sf))
+    """Written down, because every cutoff of a ranking reads it again."""
+    return materialize(with_scores(cohort(spark, sf)))
 
 
 def long_predictions(scored: DataFrame, keep: list[str]) -> DataFrame:

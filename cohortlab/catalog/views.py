@@ -371,3 +371,93 @@ SELECT l.*, p.prediction AS model_prediction_threshold FROM (
   HAVING limit_lower_bound IS NOT NULL OR limit_upper_bound IS NOT NULL) l
 LEFT JOIN (SELECT model, prediction, row_number() OVER (PARTITION BY model ORDER BY prediction DESC) AS rn FROM v_predictions) p
   ON p.model=l.model AND p.rn=CAST(floor(l."limit") AS INT)"""
+
+VIEWS["v_items"] = """
+SELECT l_linestatus, l_orderkey, l_linenumber, l_partkey, l_extendedprice, (l_returnflag='R')::INT::DOUBLE AS y, round(l_discount*10,1) AS score FROM lineitem"""
+
+
+def cell_metrics_sql(rows: str, by: str) -> str:
+    """ROC AUC and average precision from counts per distinct score."""
+    return f"""
+SELECT {by}, {r6('sum(pos*(neg_total-neg_cum+(n-pos)/2.0::DOUBLE))/nullif(max(pos_total)*max(neg_total),0)::DOUBLE', 'roc_auc')},
+  {r6('coalesce(sum(pos*(pos_cum/n_cum::DOUBLE))/nullif(max(pos_total),0)::DOUBLE,0)', 'average_precision')}
+FROM (SELECT *, sum(n) OVER w AS n_cum, sum(pos) OVER w AS pos_cum, sum(n-pos) OVER w AS neg_cum,
+        sum(pos) OVER (PARTITION BY {by}) AS pos_total, sum(n-pos) OVER (PARTITION BY {by}) AS neg_total
+      FROM (SELECT {by}, score, count(*) AS n, count(*) FILTER (WHERE y>0) AS pos FROM {rows} GROUP BY {by}, score)
+      WINDOW w AS (PARTITION BY {by} ORDER BY score DESC))
+GROUP BY {by}"""
+
+
+def threshold_metrics_sql(rows: str, by: str) -> str:
+    return f"""
+SELECT {by}, n_samples, n_positives, {r6('n_positives/n_samples::DOUBLE', 'balance')},
+  {r6('coalesce(tp/nullif(tp+fp,0),0)', '"precision"')}, {r6('coalesce(tp/nullif(tp+fn,0),0)', 'recall')},
+  {r6('coalesce(2*tp/nullif(2*tp+fp+fn,0),0)', 'f1')},
+  {r6('coalesce((tp*tn-fp*fn)/nullif(sqrt(tp+fp)*sqrt(tp+fn)*sqrt(tn+fp)*sqrt(tn+fn),0),0)', 'mcc')}
+FROM (SELECT {by}, count(*) AS n_samples, count(*) FILTER (WHERE y>0) AS n_positives,
+    (count(*) FILTER (WHERE y>0 AND coalesce(score>0.5,FALSE)))::DOUBLE AS tp, (count(*) FILTER (WHERE y<=0 AND score>0.5))::DOUBLE AS fp,
+    (count(*) FILTER (WHERE y>0 AND NOT score>0.5))::DOUBLE AS fn, (count(*) FILTER (WHERE y<=0 AND NOT score>0.5))::DOUBLE AS tn
+  FROM {rows} GROUP BY {by})"""
+
+
+def calibration_sql(rows: str, by: str) -> str:
+    p = "greatest(2.220446049250313e-16, least(1-2.220446049250313e-16, score))"
+    return f"""
+SELECT {by}, {r6('avg((y-score)*(y-score))', 'brier')},
+  {r6('(avg(abs(y-score)) FILTER (WHERE y>0)+avg(abs(y-score)) FILTER (WHERE y<=0))/2', 'balanced_mae')},
+  {r6(f'CASE WHEN min(y)<max(y) THEN -avg(y*ln({p})+(1-y)*ln(1-{p})) END', 'log_loss')}
+FROM {rows} GROUP BY {by}"""
+
+
+def at_ranks_sql(rows: str, by: str, key: str, ranks) -> str:
+    cols = []
+    for k in ranks:
+        cols.append(r6(f"(sum(y) FILTER (WHERE rn<={k}))/least({k},max(n))::DOUBLE", f'"precision@{k}"'))
+        cols.append(r6(f"coalesce((sum(y*cum/rn) FILTER (WHERE rn<={k}))/nullif(sum(y) FILTER (WHERE rn<={k}),0),0)", f'"average_precision@{k}"'))
+        cols.append(r6(f"(sum(y) FILTER (WHERE rn<={k}))/nullif(sum(y),0)", f'"recall@{k}"'))
+    return f"""
+SELECT {by}, {', '.join(cols)}
+FROM (SELECT *, sum(y) OVER (PARTITION BY {by} ORDER BY rn) AS cum FROM (
+    SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC NULLS LAST, {key}) AS rn, count(*) OVER (PARTITION BY {by}) AS n FROM {rows}))
+GROUP BY {by}"""
+
+
+VIEWS["v_area_rows"] = f"""
+SELECT therapeutic_area_id, therapeutic_area_name, model, target_id, disease_id, y::INT::DOUBLE AS y, prediction AS score
+FROM v_predictions JOIN v_areas USING (disease_id)"""
+VIEWS["v_area_both"] = """
+SELECT therapeutic_area_id, therapeutic_area_name, model FROM v_area_rows GROUP BY ALL HAVING min(y)<max(y)"""
+_AREA_MODEL = "therapeutic_area_id, therapeutic_area_name, model"
+VIEWS["v_area_metrics"] = f"""
+SELECT * FROM v_area_both
+JOIN ({threshold_metrics_sql('v_area_rows', _AREA_MODEL)}) USING ({_AREA_MODEL})
+JOIN ({cell_metrics_sql('v_area_rows', _AREA_MODEL)}) USING ({_AREA_MODEL})
+JOIN ({calibration_sql('v_area_rows', _AREA_MODEL)}) USING ({_AREA_MODEL})
+JOIN ({at_ranks_sql('v_area_rows', _AREA_MODEL, 'target_id, disease_id', (*range(10, 100, 10), 150, 200, 250, 300, 400, 500, 1000))}) USING ({_AREA_MODEL})"""
+
+VIEWS["v_queries"] = """
+SELECT user_id, event_id, floor(value/20)::DOUBLE AS y, (event_id%97)::DOUBLE AS score FROM events WHERE value IS NOT NULL"""
+VIEWS["v_query_binary"] = """
+SELECT user_id, event_id, (y>0)::INT::DOUBLE AS y, (score-min(score) OVER w)/nullif(max(score) OVER w-min(score) OVER w,0) AS score
+FROM v_queries WINDOW w AS (PARTITION BY user_id)"""
+QUERY_RANKS = (3, 5, 10, 20, 50, 100, 200)
+_GAIN = "sum(g*(CASE WHEN rn<={k} THEN 1/log2(rn+1.0) ELSE 0 END))"
+VIEWS["v_ndcg"] = f"""
+SELECT a.user_id, {', '.join(f'coalesce(a.g{k}/nullif(i.g{k},0),0) AS "ndcg@{k}"' for k in QUERY_RANKS)}
+FROM (SELECT user_id, {', '.join(_GAIN.format(k=k) + f' AS g{k}' for k in QUERY_RANKS)} FROM (
+        SELECT user_id, avg(y) OVER (PARTITION BY user_id, score) AS g, row_number() OVER (PARTITION BY user_id ORDER BY score DESC) AS rn FROM v_queries) GROUP BY 1) a
+JOIN (SELECT user_id, {', '.join(_GAIN.format(k=k) + f' AS g{k}' for k in QUERY_RANKS)} FROM (
+        SELECT user_id, y AS g, row_number() OVER (PARTITION BY user_id ORDER BY y DESC) AS rn FROM v_queries) GROUP BY 1) i USING (user_id)"""
+VIEWS["v_kendall"] = """
+SELECT user_id, net/nullif(sqrt(n0-n1)*sqrt(n0-n2),0) AS kendalls_tau FROM (
+  SELECT user_id, sum(sign(a.y-b.y)*sign(a.score-b.score))/2.0::DOUBLE AS net, (count(*)-count(*) FILTER (WHERE a.event_id=b.event_id))/2.0::DOUBLE AS n0,
+    (count(*) FILTER (WHERE a.score=b.score AND a.event_id<>b.event_id))/2.0::DOUBLE AS n1,
+    (count(*) FILTER (WHERE a.y=b.y AND a.event_id<>b.event_id))/2.0::DOUBLE AS n2
+  FROM v_queries a JOIN v_queries b USING (user_id) GROUP BY 1)"""
+VIEWS["v_query_metrics"] = f"""
+SELECT * FROM (SELECT user_id, count(*) FILTER (WHERE y>0) AS n_relevant FROM v_queries GROUP BY 1)
+JOIN v_kendall USING (user_id) JOIN v_ndcg USING (user_id)
+JOIN ({threshold_metrics_sql('v_query_binary', 'user_id')}) USING (user_id)
+JOIN ({cell_metrics_sql('v_query_binary', 'user_id')}) USING (user_id)
+JOIN ({calibration_sql('v_query_binary', 'user_id')}) USING (user_id)
+JOIN ({at_ranks_sql('v_query_binary', 'user_id', 'event_id', QUERY_RANKS)}) USING (user_id)"""
