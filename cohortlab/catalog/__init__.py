@@ -9,6 +9,7 @@ from cohortlab.catalog import (  # noqa: F401  (importing a module registers its
     q_cohort,
     q_ranking,
     q_metrics,
+    q_models,
 )
 
 __all__ = ["ORACLES", "QUERIES"]
