@@ -10,6 +10,7 @@ from cohortlab.catalog import (  # noqa: F401  (importing a module registers its
     q_ranking,
     q_metrics,
     q_models,
+    q_reports,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

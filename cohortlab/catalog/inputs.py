@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.config import CohortSpec
+from cohortlab.config import CohortSpec, StudyConfig
 from cohortlab.functions.frames import materialize
-from cohortlab.functions.naming import DISEASE_PHASE, TARGET_PHASE, TRANSITION_TIME
+from cohortlab.functions.naming import DISEASE_PHASE, PAIR_KEY, TARGET_PHASE, TRANSITION_TIME
 from cohortlab.operators import evidence as ev
 from cohortlab.operators import features as ft
 from cohortlab.operators import ontology
-from cohortlab.operators.cohort import modeling_cohort
+from cohortlab.operators import ranking as rk
+from cohortlab.operators.cohort import cohort_base, cohort_sweep, modeling_cohort
 from cohortlab.operators.linear import LinearModel, weighted_composite
+from cohortlab.operators.opportunity import (
+    Threshold,
+    collect_thresholds,
+    opportunity_statistics,
+    opportunity_table,
+)
 from cohortlab.operators.ordering import unpivot
 from cohortlab.sources import fixtures as fx
 from cohortlab.sources.registry import load_targets
@@ -95,3 +102,30 @@ def scored_cohort(spark: SparkSession, sf: str) -> DataFrame:
 
 def long_predictions(scored: DataFrame, keep: list[str]) -> DataFrame:
     return unpivot(scored.select(*keep, *MODEL_NAMES), keep, MODEL_NAMES, "model", "prediction")
+
+
+def opportunities(spark: SparkSession, sf: str) -> DataFrame:
+    table = opportunity_table(present_features(spark, sf), MODELS[0])
+    return table.withColumn("prediction", F.round("prediction", 6))
+
+
+def thresholds(spark: SparkSession, sf: str) -> list[Threshold]:
+    """Calibrated on the training cohort."""
+    scored = scored_cohort(spark, sf)
+    risk = rk.relative_risk_by_method(scored, [], COMPOSITE_FEATURES, [MODELS[0].slug])
+    found = rk.relative_risk_thresholds(rk.enrich_relative_risk(risk), long_predictions(scored, PAIR_KEY))
+    return collect_thresholds(found, MODELS[0].slug)
+
+
+def statistics(spark: SparkSession, sf: str, limits: list[Threshold]) -> DataFrame:
+    tractability = ev.tractability(fx.targets(spark, sf))
+    return opportunity_statistics(opportunities(spark, sf), tractability, areas(spark, sf), limits)
+
+
+SWEEP = [
+    StudyConfig("23.12", year, window, 2, fx.BOUNDS) for year in (1996, 1997, 1998) for window in (1, 2)
+]
+
+
+def swept_cohorts(spark: SparkSession, sf: str) -> DataFrame:
+    return cohort_sweep(cohort_base(features(spark, sf), 2), SWEEP)

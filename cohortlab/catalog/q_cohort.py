@@ -9,9 +9,8 @@ from cohortlab.catalog import inputs
 from cohortlab.catalog.registry import query, rounded
 from cohortlab.catalog.views import (
     ALL_FEATURES, ENTITY, OUTCOME, PHASES, SCORES, STATIC, TARGET_STATIC, TEMPORAL, TIME, Z90, Z99,
-    fisher_sql, listing, r6, rr_sql,
+    fisher_sql, listing, r6, rr_sql, signed_rank_sql,
 )
-from cohortlab.config import StudyConfig
 from cohortlab.functions.naming import PAIR_KEY
 from cohortlab.operators import cohort as ch
 from cohortlab.operators import quality, stats
@@ -40,20 +39,10 @@ def _modeling_cohort(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(inputs.cohort(spark, sf))
 
 
-_SWEEP = [(y, w) for y in (1996, 1997, 1998) for w in (1, 2)]
-
-
 @query("cohort_sweep", f"""
-SELECT {_PAIR}, transition_year, feature_year, y AS last_training_year, w AS "window", split, {TIME}, {OUTCOME}
-FROM (SELECT b.*, c.y, c.w, c.split, CAST(c.until-transition_year AS INT) AS {TIME},
-        year_first_advanced IS NOT NULL AND year_first_advanced<=c.until AS {OUTCOME}
-      FROM v_base b JOIN (
-        SELECT y, w, 'training' AS split, 1996 AS lo, y AS hi, y+w AS until FROM (VALUES {', '.join(str(p) for p in _SWEEP)}) t(y,w)
-        UNION ALL SELECT y, w, 'evaluation', y+1, 2000-w, 2000 FROM (VALUES {', '.join(str(p) for p in _SWEEP)}) t(y,w)) c
-      ON transition_year BETWEEN c.lo AND c.hi)""")
+SELECT {_PAIR}, transition_year, feature_year, last_training_year, "window", split, {TIME}, {OUTCOME} FROM v_sweep""")
 def _cohort_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    configs = [StudyConfig("23.12", y, w, 2, fx.BOUNDS) for y, w in _SWEEP]
-    swept = ch.cohort_sweep(ch.cohort_base(inputs.features(spark, sf), 2), configs)
+    swept = inputs.swept_cohorts(spark, sf)
     return swept.select(
         *PAIR_KEY, "transition_year", "feature_year", "last_training_year", "window", "split", TIME, OUTCOME
     )
@@ -183,26 +172,9 @@ def _relative_risk(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_UPPER_TAIL = (
-    "0.5-exp(-z*z/2)/sqrt(2*pi())*list_sum([sign(z)*exp((2*k+1)*ln(abs(z))-((k+1)*ln(2.0)+lgamma(k+1.5)-0.5*ln(pi()))) for k in range(0,150)])"
-)
-
-
 @query("wilcoxon_by_limit", f"""
-SELECT l_linenumber, l_returnflag, n_used, {r6('statistic', 'statistic')}, {r6('z', 'z')},
-  {r6(f"CASE WHEN l_returnflag='A' THEN 0.0 WHEN z=0 THEN 0.5 WHEN z>7 THEN 0.0 WHEN z<-7 THEN 1.0 ELSE {_UPPER_TAIL} END", 'p_value')}
-FROM (
-  SELECT l_linenumber, l_returnflag, n_used, statistic, CASE WHEN l_returnflag<>'A' AND v>0 THEN (statistic-n_used*(n_used+1)/4.0)/sqrt(v) END AS z
-  FROM (
-    SELECT l_linenumber, l_returnflag, count(*) FILTER (WHERE d<>0) AS n_used, coalesce(sum(rk) FILTER (WHERE d>0),0)::DOUBLE AS statistic,
-      n_used*(n_used+1)*(2*n_used+1)/24.0 - coalesce(sum(ties*ties-1) FILTER (WHERE d<>0),0)/48.0 AS v
-    FROM (
-      SELECT *, rank() OVER (PARTITION BY l_linenumber, l_returnflag, d<>0 ORDER BY abs(d))
-          + (count(*) OVER (PARTITION BY l_linenumber, l_returnflag, d<>0, abs(d))-1)/2.0 AS rk,
-        count(*) OVER (PARTITION BY l_linenumber, l_returnflag, d<>0, abs(d)) AS ties
-      FROM (SELECT x.l_linenumber, x.l_returnflag, x.nation, x.v-b.v AS d FROM v_wx x JOIN v_wx b
-            ON b.l_linenumber=x.l_linenumber AND b.nation=x.nation AND b.l_returnflag='A'))
-    GROUP BY 1,2))""")
+SELECT l_linenumber, l_returnflag, n_used, {r6('statistic', 'statistic')}, {r6('z', 'z')}, {r6('p_value', 'p_value')}
+FROM ({signed_rank_sql('v_wx', 'l_linenumber', 'nation', 'l_returnflag', 'v', 'A')})""")
 def _wilcoxon_by_limit(spark: SparkSession, sf: str) -> DataFrame:
     rows = (
         fx.table(spark, sf, "lineitem")

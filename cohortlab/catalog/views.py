@@ -461,3 +461,103 @@ JOIN ({threshold_metrics_sql('v_query_binary', 'user_id')}) USING (user_id)
 JOIN ({cell_metrics_sql('v_query_binary', 'user_id')}) USING (user_id)
 JOIN ({calibration_sql('v_query_binary', 'user_id')}) USING (user_id)
 JOIN ({at_ranks_sql('v_query_binary', 'user_id', 'event_id', QUERY_RANKS)}) USING (user_id)"""
+
+GENETIC = [c for c in SCORES if "__genetic_association__" in c]
+OPPORTUNITY_COLUMNS = [*ENTITY, PHASES[0], "target_disease__known_drug__chembl", *GENETIC]
+VIEWS["v_opps"] = f"""
+SELECT target_id, disease_id, {listing(OPPORTUNITY_COLUMNS)}, round(greatest(0.0,least(1.0,{_LINEAR})),6) AS prediction FROM v_present"""
+_HIGH = ("(modality IN ('SM','PR','AB') AND evidence IN ('Approved Drug','Advanced Clinical','Phase 1 Clinical')) "
+         "OR (modality='OC' AND evidence='Approved Drug')")
+_MED = ("(modality='SM' AND evidence IN ('Structure with Ligand','High-Quality Ligand')) OR (modality='PR' AND evidence IN ('Literature','UniProt Ubiquitination')) "
+        "OR (modality='AB' AND evidence IN ('UniProt loc high conf','GO CC high conf')) OR (modality='OC' AND evidence='Advanced Clinical')")
+CONFIDENCE = f"CASE WHEN {_HIGH} THEN 'HIGH' WHEN {_MED} THEN 'MED' ELSE 'LOW' END"
+VIEWS["v_tract"] = f"""
+SELECT id AS target_id, modality, evidence FROM v_targets WHERE value
+UNION SELECT id, modality, 'ALL' FROM v_targets WHERE value
+UNION SELECT id, modality, {CONFIDENCE} FROM v_targets WHERE value"""
+_STAGE = f"CASE WHEN coalesce({PHASES[0]},0)<=0 THEN 'NONE' ELSE 'Phase '||{PHASES[0]} END"
+VIEWS["v_groupings"] = f"""
+WITH s AS (SELECT *, {_STAGE} AS target_disease__stage FROM v_opps UNION ALL SELECT *, 'ALL' FROM v_opps),
+m AS (SELECT *, 'ALL' AS target__tractability__modality, 'ALL' AS target__tractability__evidence FROM s
+      UNION ALL SELECT s.*, modality, evidence FROM s JOIN v_tract USING (target_id))
+SELECT *, 'ALL' AS disease__therapeutic_area FROM m
+UNION ALL SELECT m.*, therapeutic_area_name FROM m JOIN v_areas USING (disease_id)
+WHERE target__tractability__evidence IN ('ALL','HIGH','MED','LOW') AND therapeutic_area_name<>'all'"""
+_GROUPING = "target_disease__stage, target__tractability__modality, target__tractability__evidence, disease__therapeutic_area"
+VIEWS["v_opp_thresholds"] = "SELECT * FROM v_thresholds WHERE model='rdg__no_time__positive'"
+VIEWS["v_opp_stats"] = f"""
+SELECT {_GROUPING}, t.n_pairs, t.benchmark_name, t.benchmark_slug, t.o AS model__n_pairs__over_threshold, t.f AS feature__n_pairs__exists FROM (
+  SELECT {_GROUPING}, n_pairs, 'NONE' AS benchmark_name, 'NONE' AS benchmark_slug, n_pairs AS o, n_pairs AS f
+  FROM (SELECT {_GROUPING}, count(DISTINCT (target_id, disease_id)) AS n_pairs FROM v_groupings GROUP BY ALL)
+  UNION ALL
+  SELECT {_GROUPING}, count(DISTINCT (target_id, disease_id)), benchmark_name, benchmark_slug,
+    count(DISTINCT (target_id, disease_id)) FILTER (WHERE prediction>=model_prediction_threshold),
+    count(DISTINCT (target_id, disease_id)) FILTER (WHERE CASE benchmark_name WHEN 'omim' THEN target_disease__genetic_association__omim
+      WHEN 'eva' THEN target_disease__genetic_association__eva ELSE target_disease__genetic_association__ot_genetics_portal END>0)
+  FROM v_groupings CROSS JOIN v_opp_thresholds GROUP BY ALL) t"""
+
+UPPER_TAIL = (
+    "0.5-exp(-z*z/2)/sqrt(2*pi())*list_sum([sign(z)*exp((2*k+1)*ln(abs(z))-((k+1)*ln(2.0)+lgamma(k+1.5)-0.5*ln(pi()))) for k in range(0,150)])"
+)
+
+
+def signed_rank_sql(values: str, group: str, pair: str, item: str, value: str, base: str) -> str:
+    """Unrounded rows (group, item, n_used, statistic, z, p_value)."""
+    key = f"{group}, {item}"
+    match = " AND ".join(f"b.{c.strip()} IS NOT DISTINCT FROM x.{c.strip()}" for c in f"{group}, {pair}".split(","))
+    return f"""
+SELECT {key}, n_used, statistic, z, CASE WHEN {item}='{base}' THEN 0.0 WHEN z=0 THEN 0.5 WHEN z>7 THEN 0.0 WHEN z<-7 THEN 1.0 ELSE {UPPER_TAIL} END AS p_value
+FROM (
+  SELECT {key}, n_used, statistic, CASE WHEN {item}<>'{base}' AND v>0 THEN (statistic-n_used*(n_used+1)/4.0)/sqrt(v) END AS z
+  FROM (
+    SELECT {key}, count(*) FILTER (WHERE used) AS n_used, coalesce(sum(rk) FILTER (WHERE used AND d>0),0)::DOUBLE AS statistic,
+      n_used*(n_used+1)*(2*n_used+1)/24.0::DOUBLE - coalesce(sum(ties*ties-1) FILTER (WHERE used),0)/48.0::DOUBLE AS v
+    FROM (
+      SELECT *, rank() OVER (PARTITION BY {key}, used ORDER BY abs(d)) + (count(*) OVER (PARTITION BY {key}, used, abs(d))-1)/2.0::DOUBLE AS rk,
+        count(*) OVER (PARTITION BY {key}, used, abs(d)) AS ties
+      FROM (SELECT *, d IS NOT NULL AND d<>0 AS used FROM (
+        SELECT {', '.join('x.' + c.strip() for c in key.split(','))}, CASE WHEN NOT isnan(x.{value}-b.{value}) THEN x.{value}-b.{value} END AS d
+        FROM {values} x JOIN {values} b ON {match} AND b.{item}='{base}')))
+    GROUP BY {key}))"""
+
+
+AREAS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST", "all"]
+
+
+def area_report_sql(enriched: str, single_models: str, config: str) -> str:
+    """``single_models`` names a view with the primary-model rows of the single areas."""
+    c = f"{config}, " if config else ""
+    described = ["model_name", "model_slug", "benchmark_name", "benchmark_slug", "benchmark_disp", "is_model_feature",
+                 "is_primary_model_feature", "is_primary_benchmark_feature"]
+    kept = f"FROM {enriched} WHERE n_total>=2 AND therapeutic_area_name IN ({listing(AREAS, chr(39) + '{0}' + chr(39))}) AND (is_primary_benchmark_feature OR is_model_feature)"
+    return f"""
+SELECT s.*, p.p_value FROM (
+  SELECT {c}method, "limit", therapeutic_area_name, n_total, relative_risk, relative_risk_low, relative_risk_high, {listing(described)},
+    CAST(NULL AS BIGINT) AS n_therapeutic_areas {kept}
+  UNION ALL
+  SELECT {c}method, "limit", 'average', NULL, avg(relative_risk), NULL, NULL, {listing(described, 'any_value({0})')}, count(*)
+  {kept} AND therapeutic_area_name<>'all' GROUP BY {c}method, "limit") s
+LEFT JOIN ({signed_rank_sql(single_models, f'{c}"limit"', 'therapeutic_area_name', 'model_slug', 'relative_risk', 'OTS')}) p
+  ON p.model_slug=s.model_slug AND p."limit"=s."limit" {''.join(f' AND p.{x.strip()}=s.{x.strip()}' for x in config.split(',') if x)}"""
+
+
+VIEWS["v_single_models"] = "SELECT * FROM v_enriched_area WHERE n_total>=2 AND therapeutic_area_name<>'all' AND is_primary_model_feature"
+VIEWS["v_area_report"] = area_report_sql("v_enriched_area", "v_single_models", "")
+
+SWEEP = [(y, w) for y in (1996, 1997, 1998) for w in (1, 2)]
+_PAIRS = ", ".join(str(p) for p in SWEEP)
+VIEWS["v_sweep"] = f"""
+SELECT b.* EXCLUDE (year_first_advanced), c.y AS last_training_year, c.w AS "window", c.split, CAST(c.until-transition_year AS INT) AS {TIME},
+  year_first_advanced IS NOT NULL AND year_first_advanced<=c.until AS {OUTCOME}
+FROM v_base b JOIN (
+  SELECT y, w, 'training' AS split, 1996 AS lo, y AS hi, y+w AS until FROM (VALUES {_PAIRS}) t(y,w)
+  UNION ALL SELECT y, w, 'evaluation', y+1, 2000-w, 2000 FROM (VALUES {_PAIRS}) t(y,w)) c
+ON transition_year BETWEEN c.lo AND c.hi"""
+VIEWS["v_sweep_scored"] = scored_sql("v_sweep") + " WHERE split='evaluation'"
+VIEWS["v_sweep_area"] = "SELECT * FROM v_sweep_scored JOIN v_areas USING (disease_id)"
+_SWEEP_BY = ["last_training_year", '"window"', *_AREA]
+VIEWS["v_sweep_methods"] = f"SELECT * FROM ({methods_sql('v_sweep_area', _SWEEP_BY)}) WHERE contains(method, '__model__')"
+VIEWS["v_sweep_risk"] = risk_sql("v_sweep_area", "v_sweep_methods", _SWEEP_BY, Z90)
+VIEWS["v_sweep_enriched"] = enriched_sql("v_sweep_risk")
+VIEWS["v_sweep_single"] = "SELECT * FROM v_sweep_enriched WHERE n_total>=2 AND therapeutic_area_name<>'all' AND is_primary_model_feature"
+VIEWS["v_sweep_report"] = area_report_sql("v_sweep_enriched", "v_sweep_single", 'last_training_year, "window"')

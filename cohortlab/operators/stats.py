@@ -154,15 +154,15 @@ def signed_rank(values: DataFrame, group: list[str], pair: str, item: str, value
     """One-sided signed-rank test of every item against a base item, paired within a group.
 
     ``values`` holds one row per (group, item, pair), for example per (limit, model, area), so a
-    group is as long as there are areas. Zero differences are dropped, ties share their mean rank
-    and correct the variance; normal approximation without continuity correction. The base item
+    group is as long as there are areas. Zero and undefined differences are dropped, ties share
+    their mean rank and correct the variance; normal approximation without continuity correction. The base item
     itself gets p = 0.
     """
     wanted = values.select(*group, item, pair, F.col(value).alias("_value"))
     base_values = wanted.filter(F.col(item) == base).select(*group, pair, F.col("_value").alias("_base"))
     differences = (
         wanted.join(base_values, [*group, pair])
-        .withColumn("_d", F.col("_value") - F.col("_base"))
+        .withColumn("_d", F.nanvl(F.col("_value") - F.col("_base"), F.lit(None).cast("double")))
         .withColumn("_used", F.col("_d").isNotNull() & (F.col("_d") != 0))
     )
     key = [*group, item, "_used"]
@@ -285,8 +285,8 @@ def presence_combinations(cohort: DataFrame) -> DataFrame:
 
 
 def describe(values: DataFrame, by: list[str], value: str) -> DataFrame:
-    """count, mean, std, min, quartiles and max of a small result table."""
-    x = F.col(value)
+    """count, mean, std, min, quartiles and max of a small result table, over finite values."""
+    x = F.when(F.abs(value) < F.lit(float("inf")), F.col(value))
     return values.groupBy(*by).agg(
         F.count(x).alias("count"),
         F.avg(x).alias("mean"),
