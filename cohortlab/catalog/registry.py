@@ -35,7 +35,10 @@ def with_views(body: str) -> str:
                 needed.add(name)
                 pending.append(VIEWS[name])
     ctes = ",\n".join(f"{n} AS ({text})" for n, text in VIEWS.items() if n in needed)
-    return f"WITH {ctes}\n{body}" if ctes else body
+    if not ctes:
+        return body
+    statement = f"SELECT * FROM ({body})" if body.lstrip().startswith("WITH") else body
+    return f"WITH {ctes}\n{statement}"
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
