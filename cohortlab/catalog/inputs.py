@@ -12,7 +12,7 @@ from cohortlab.operators import evidence as ev
 from cohortlab.operators import features as ft
 from cohortlab.operators import ontology
 from cohortlab.operators import ranking as rk
-from cohortlab.operators.cohort import cohort_base, cohort_sweep, modeling_cohort
+from cohortlab.operators.cohort import cohort_base, cohort_sweep, modeling_cohort, select_cohort
 from cohortlab.operators.linear import LinearModel, weighted_composite
 from cohortlab.operators.opportunity import (
     Threshold,
@@ -68,8 +68,11 @@ def cohort(spark: SparkSession, sf: str, spec: CohortSpec = TRAINING) -> DataFra
 
 
 def split_cohorts(spark: SparkSession, sf: str) -> DataFrame:
-    train = cohort(spark, sf, TRAINING).withColumn("split", F.lit("training"))
-    return train.unionByName(cohort(spark, sf, EVALUATION).withColumn("split", F.lit("evaluation")))
+    """Both cohorts from one table of pairs."""
+    base = materialize(cohort_base(features(spark, sf), TRAINING.phase))
+    train = select_cohort(base, TRAINING).withColumn("split", F.lit("training"))
+    later = select_cohort(base, EVALUATION).withColumn("split", F.lit("evaluation"))
+    return materialize(train.unionByName(later))
 
 
 # Fixed coefficients, so that reference SQL can repeat the scores.

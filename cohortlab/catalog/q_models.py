@@ -56,8 +56,10 @@ def _stratified_group_kfold(spark: SparkSession, sf: str) -> DataFrame:
 SELECT {_PAIR}, {OUTCOME}, 'train' AS fold FROM v_cohort
 UNION ALL SELECT {_PAIR}, CAST(NULL AS BOOLEAN), 'oos' FROM v_evaluation""")
 def _add_unlabeled(spark: SparkSession, sf: str) -> DataFrame:
-    rows = fd.single_split(inputs.cohort(spark, sf).select(*PAIR_KEY, OUTCOME), "train", "fold")
-    extra = inputs.cohort(spark, sf, inputs.EVALUATION).select(
+    both = inputs.split_cohorts(spark, sf)
+    train = both.filter(F.col("split") == "training").select(*PAIR_KEY, OUTCOME)
+    rows = fd.single_split(train, "train", "fold")
+    extra = both.filter(F.col("split") == "evaluation").select(
         *PAIR_KEY, F.lit(None).cast("boolean").alias(OUTCOME)
     )
     return fd.add_unlabeled(rows, extra, [OUTCOME], "oos")
@@ -154,9 +156,9 @@ def _gbt_fit(spark: SparkSession, sf: str) -> DataFrame:
 @query("predict_long")
 def _predict_long(spark: SparkSession, sf: str) -> DataFrame:
     """Every ridge model, the composite and the baselines, fitted on one cohort, applied to the next."""
-    rows = _training(spark, sf)
+    both = inputs.split_cohorts(spark, sf)
+    rows, later = (both.filter(F.col("split") == s) for s in ("training", "evaluation"))
     models = md.fit_models(rows, md.model_grid(CORE, boosting=False, logistic=False), OUTCOME, CORE)
-    later = materialize(inputs.cohort(spark, sf, inputs.EVALUATION))
     return rounded(md.predict_long(later, models, PAIR_KEY))
 
 

@@ -183,7 +183,7 @@ SELECT model_name, "limit", n AS n_therapeutic_areas, "group", label, round(valu
 FROM g WINDOW w AS (PARTITION BY "group", metric)""")
 def _avg_area_metrics(spark: SparkSession, sf: str) -> DataFrame:
     metrics = rounded(area_metrics(inputs.scored_cohort(spark, sf), inputs.areas(spark, sf)))
-    averages = rounded(rp.average_metrics(_area_report(spark, sf), metrics, AREAS))
+    averages = rp.average_metrics(_area_report(spark, sf), metrics, AREAS)
     return rounded(rp.compared_metrics(averages)).select(
         "model_name", "limit", "n_therapeutic_areas", "group", "label", "value", "norm_value", "metric"
     )

@@ -36,7 +36,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage, survives lost
     executors, and gives the planner true sizes."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    application = spark.sparkContext.applicationId
+    path = f"{scratch_dir(spark)}/cohortlab-{application}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -70,12 +71,17 @@ def dimension_join(facts: DataFrame, dimension: DataFrame, on: list[str], how: s
                    spread_by: list[str] | None = None) -> DataFrame:
     """Join many facts to few rows per key, safe when one key holds most facts.
 
-    A dimension whose estimated size is below the broadcast threshold is broadcast. A larger one
-    is repeated once per salt and the facts of a key are spread over the salts by the hash of
-    ``spread_by``, so a hot key is shared by many tasks.
+    Catalyst's estimate of a joined or aggregated dimension can be far too high. Where it exceeds
+    the broadcast threshold, the dimension is written, which also keeps it from being computed
+    again, and its true size decides. A small one is broadcast. A larger one is repeated once per
+    salt and the facts of a key are spread over the salts by the hash of ``spread_by``, so a hot
+    key is shared by many tasks. Adaptive execution may split further: the salt is dropped, so
+    nothing downstream relies on the partitioning of the join.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"the dimension side cannot be kept whole in a {how!r} join")
+    if not fits_broadcast(dimension):
+        dimension = materialize(dimension)
     if fits_broadcast(dimension):
         return facts.join(F.broadcast(dimension), on, how)
     salts = salt_count(facts.sparkSession)

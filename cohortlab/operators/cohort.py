@@ -83,20 +83,26 @@ def _advanced(max_year: Column) -> Column:
     return advanced.isNotNull() & F.coalesce(advanced <= max_year, F.lit(True))
 
 
-def modeling_cohort(features: DataFrame, spec: CohortSpec) -> DataFrame:
+def select_cohort(base: DataFrame, spec: CohortSpec) -> DataFrame:
     """Cohort of one study window with outcome and time since transition.
 
     Without a last advancement year any advancement counts and the time is NULL.
     """
-    base = cohort_base(features, spec.phase, spec.min_transition_year, spec.max_transition_year)
     limit = F.lit(spec.max_advancement_year).cast("int")
     return (
-        base.withColumn(OUTCOME, _advanced(limit))
+        base.filter(F.col("transition_year").between(spec.min_transition_year, spec.max_transition_year))
+        .withColumn(OUTCOME, _advanced(limit))
         .withColumn(TRANSITION_TIME, limit - F.col("transition_year"))
         .drop("year_first_advanced")
     )
 
 
+def modeling_cohort(features: DataFrame, spec: CohortSpec) -> DataFrame:
+    """``select_cohort`` straight from features, for one window only."""
+    first, last = spec.min_transition_year, spec.max_transition_year
+    return select_cohort(cohort_base(features, spec.phase, first, last), spec)
+
+
 def cohort_sweep(base: DataFrame, configs: list[StudyConfig]) -> DataFrame:
     """The cohorts of all configurations of one data version in one frame.
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.functions.expressions import ratio
-from cohortlab.functions.frames import dimension_join
+from cohortlab.functions.frames import dimension_join, materialize
 from cohortlab.operators.ordering import running_totals, top_rows, unpivot, with_group_range
 
 DEFAULT_RANKS = (10, 50, 100, 200, 500, 1000)
@@ -144,7 +144,8 @@ def metrics_at_ranks(scored: DataFrame, by: Sequence[str], key: Sequence[str],
 def classification_metrics(rows: DataFrame, by: Sequence[str], key: Sequence[str], truth: str,
                            score: str, ranks: Sequence[int] | None = None,
                            threshold: float | None = None) -> DataFrame:
-    """All classifier metrics, one row per group."""
+    """All classifier metrics, one row per group. ``rows`` is read several times and should be a
+    written table; the key has to be unique within a group for ties to break the same way."""
     scored = scored_rows(rows, by, key, truth, score)
     parts = [
         threshold_metrics(scored, by, threshold),
@@ -266,11 +267,14 @@ def kendall_tau(scored: DataFrame, by: Sequence[str]) -> DataFrame:
 def query_metrics(rows: DataFrame, by: Sequence[str], query: str, key: Sequence[str], truth: str,
                   score: str, ranks: Sequence[int] = QUERY_RANKS) -> DataFrame:
     """Ranker metrics of every query; classifier metrics use truth > 0 and the score scaled to
-    [0, 1] within the query (NULL where all scores are equal)."""
+    [0, 1] within the query (NULL where all scores are equal). The selected columns are written
+    once, as every metric reads them."""
     groups = [*by, query]
     y = F.col(truth).cast("double")
-    scored = rows.filter(y.isNotNull()).select(
-        *groups, *key, y.alias("y"), F.col(score).cast("double").alias("score")
+    scored = materialize(
+        rows.filter(y.isNotNull()).select(
+            *groups, *key, y.alias("y"), F.col(score).cast("double").alias("score")
+        )
     )
     unit = ratio(F.col("score") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     binary = with_group_range(scored, groups, "score").select(

@@ -143,7 +143,9 @@ def fit_logistic(rows: DataFrame, features: Sequence[str], label: str, key: Sequ
         .select(*features, "_label", "_fold")
     )
     n = training.count()
-    logistic = LogisticRegression(featuresCol="_scaled", labelCol="_label", standardization=False)
+    logistic = LogisticRegression(
+        featuresCol="_scaled", labelCol="_label", standardization=False, tol=1e-4
+    )
     scaler = StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True)
     penalties = [1 / (n * 10 ** (-4 + 8 * i / (PENALTY_STEPS - 1))) for i in range(PENALTY_STEPS)]
     search = CrossValidator(

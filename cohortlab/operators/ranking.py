@@ -178,7 +178,10 @@ def exposure_counts(rows: DataFrame, by: Sequence[str], cutoffs: DataFrame, colu
 def relative_risk_by_method(rows: DataFrame, by: Sequence[str], features: Sequence[str],
                             models: Sequence[str], model_limits: Sequence[int] = MODEL_LIMITS,
                             confidence: float = 0.9, min_rows: int = 0) -> DataFrame:
-    """Relative risk of every method per group; groups below ``min_rows`` are left out."""
+    """Relative risk of every method per group; groups below ``min_rows`` are left out.
+
+    ``rows`` is read once per kind of cutoff and should be a written table.
+    """
     cutoffs = method_cutoffs(rows, by, features, models, model_limits)
     counts = exposure_counts(rows, by, cutoffs, [*features, *models])
     large = counts.filter(F.col("n_exposed") + F.col("n_control") >= min_rows)

@@ -16,7 +16,7 @@ from cohortlab.operators import models as md
 from cohortlab.operators import opportunity as op
 from cohortlab.operators import ranking as rk
 from cohortlab.operators import report as rp
-from cohortlab.operators.cohort import cohort_base, cohort_sweep, modeling_cohort
+from cohortlab.operators.cohort import cohort_base, cohort_sweep, select_cohort
 from cohortlab.operators.dataset import create_modeling_dataset
 from cohortlab.operators.ontology import join_areas
 from cohortlab.operators.ordering import unpivot
@@ -52,9 +52,10 @@ def area_classification(scored: DataFrame, areas: DataFrame, models: Sequence[st
 
 def run_study(features: DataFrame, areas: DataFrame, config: StudyConfig, boosting: bool = True,
               logistic: bool = True, model_limits: Sequence[int] = rk.MODEL_LIMITS) -> StudyResult:
-    """Cohorts are written once; everything after reads those tables."""
-    training = materialize(modeling_cohort(features, config.training))
-    evaluation = materialize(modeling_cohort(features, config.evaluation))
+    """Both cohorts come from one table of pairs; everything after reads written tables."""
+    base = materialize(cohort_base(features, config.phase))
+    training = materialize(select_cohort(base, config.training))
+    evaluation = materialize(select_cohort(base, config.evaluation))
     if config.validate:
         for cohort in (training, evaluation):
             validate_cohort(enforce_keys(cohort, PAIR_KEY, not_null=[OUTCOME]))

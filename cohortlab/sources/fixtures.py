@@ -5,8 +5,11 @@ Parts stand for targets, nations and regions for diseases, line items for eviden
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cohortlab.config import YearBounds
 from cohortlab.functions.frames import dimension_join
@@ -50,8 +53,15 @@ MODALITY_EVIDENCE = {
 MODALITY_ORDER = ["SM", "AB", "PR", "OC"]
 
 
+@lru_cache(maxsize=None)
+def _schema(path: str) -> StructType:
+    """The footer is read once per table and session, not once per use."""
+    return SparkSession.active().read.parquet(path).schema
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    path = f"{sf}/{name}.parquet"
+    return spark.read.schema(_schema(path)).parquet(path)
 
 
 def evidence(spark: SparkSession, sf: str) -> DataFrame:
