@@ -19,15 +19,12 @@ def running_totals(cells: DataFrame, group: list[str], order: list[Column], sums
     ``cells`` has one row per (group, order value). Rows are range-partitioned by (group, order),
     so a hot group is spread over many slices of similar size. The slice numbers are written down
     before they are used twice. Offsets come from a table of one row per (group, slice), which has
-    at most ``groups + slices`` rows.
+    at most ``groups + slices`` rows. Without a number of slices, adaptive execution merges
+    neighbouring ones on small data, which keeps their order.
     """
-    spark = cells.sparkSession
-    slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialize(
-        cells.repartitionByRange(slices, *[F.col(g) for g in group], *order).withColumn(
-            "_slice", F.spark_partition_id()
-        )
-    )
+    keys = [*[F.col(g) for g in group], *order]
+    ordered = cells.repartitionByRange(slices, *keys) if slices else cells.repartitionByRange(*keys)
+    ranged = materialize(ordered.withColumn("_slice", F.spark_partition_id()))
     per_slice = ranged.groupBy(*group, "_slice").agg(*[F.sum(c).alias(c) for c in sums])
     whole = Window.partitionBy(*group)
     earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

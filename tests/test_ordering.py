@@ -29,9 +29,10 @@ def rows(spark, skewed):
     return spark.createDataFrame(skewed)
 
 
-def test_running_totals(rows, skewed):
+@pytest.mark.parametrize("slices", [None, 7, 64])
+def test_running_totals(rows, skewed, slices):
     cells = rows.groupBy("g", "score").agg(F.count("*").alias("n"))
-    found = running_totals(cells, ["g"], [F.col("score").desc()], ["n"]).toPandas()
+    found = running_totals(cells, ["g"], [F.col("score").desc()], ["n"], slices).toPandas()
     want = skewed.groupby(["g", "score"]).size().rename("n").reset_index().sort_values("score", ascending=False)
     want["n_cum"] = want.groupby("g")["n"].cumsum()
     merged = found.merge(want, on=["g", "score"], suffixes=("", "_want"))
