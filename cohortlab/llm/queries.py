@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlab.llm import bpe, sharding
+from cohortlab.llm import bpe, jaccard_join, sharding
 from cohortlab.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,11 @@ def register(fn: Query) -> Query:
     return fn
 
 
+@register
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_documents(read(spark, sf_dir, "documents"))
+
+
 @register
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
