@@ -19,6 +19,9 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: White space and ASCII punctuation, for operators that look at words without their punctuation.
+SPACE_AND_MARKS = _SPACE.copy()
+SPACE_AND_MARKS[[b for b in range(128) if not chr(b).isalnum()]] = True
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -96,11 +99,11 @@ def slices_of(batch: pa.RecordBatch, column: str, limit: int | None = None) -> I
             yield batch.slice(low, high - low)
 
 
-def word_table(column: pa.Array) -> Words:
+def word_table(column: pa.Array, space: np.ndarray = _SPACE) -> Words:
     data, text_offsets = text_buffer(column)
     n = len(data)
     inside = np.zeros(n + 2, bool)
-    np.logical_not(_SPACE[data], out=inside[1 : n + 1])
+    np.logical_not(space[data], out=inside[1 : n + 1])
     # Starts and ends of words, with every border between texts taken as a space as well.
     edge = np.zeros(n + 1, bool)
     edge[text_offsets] = True
