@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlab.llm import bpe, decontaminate, fingerprint, jaccard_join, langid, pii, sharding, toxicity
+from cohortlab.llm import bpe, decontaminate, fingerprint, jaccard_join, langid, pii, ppm, sharding, toxicity
 from cohortlab.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+@register
+def op6_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(read(spark, sf_dir, "documents"))
+
+
 @register
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
