@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlab.llm import bpe, decontaminate, fingerprint, jaccard_join, langid, pii, ppm, sharding, toxicity
+from cohortlab.llm import bpe, decontaminate, fingerprint, jaccard_join, langid, pii, ppm, sharding, toxicity, warc
 from cohortlab.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +26,14 @@ def op1_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(read(spark, sf_dir, "documents"))
 
 
+@register
+def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.audit(*warc.replicas(read(spark, sf_dir, "pages")))
+
+
+ORACLES["op2_merkle_fixity"] = warc.ORACLE
+
+
 @register
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_documents(read(spark, sf_dir, "documents"))
@@ -64,3 +73,8 @@ def op9_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@register
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
