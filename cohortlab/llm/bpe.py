@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
 CACHE_WORDS = 400_000
 NO_RANK = 1 << 30
@@ -127,6 +128,32 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, ids array<int>, decoded binary")
 
 
+def with_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """The documents with ``n_tokens``, ``ids`` and ``round_trip`` (the ids decode to the text's
+    bytes). Columns of these names are replaced."""
+    added = ("n_tokens", "ids", "round_trip")
+    names = [c for c in docs.columns if c not in added]
+    shared = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
+    at = names.index("text")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(shared.value, pattern)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                texts = [text or "" for text in part.column(at).to_pylist()]
+                ids = [encoder.encode(text) for text in texts]
+                same = [encoder.decode(x) == text.encode() for x, text in zip(ids, texts)]
+                columns = [pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*names, *added])
+
+    fields = [docs.schema[c] for c in names]
+    schema = StructType(
+        [*fields, StructField("n_tokens", LongType()), StructField("ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())]
+    )
+    return docs.select(*names).mapInArrow(encode, schema)
+
+
 def digest_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Token counts and digests of ids and of the decoded bytes, made where the ids are made."""
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
