@@ -116,7 +116,7 @@ def thresholds(spark: SparkSession, sf: str) -> list[Threshold]:
     """Calibrated on the training cohort."""
     scored = scored_cohort(spark, sf)
     risk = rk.relative_risk_by_method(scored, [], COMPOSITE_FEATURES, [MODELS[0].slug])
-    found = rk.relative_risk_thresholds(rk.enrich_relative_risk(risk), long_predictions(scored, PAIR_KEY))
+    found = rk.relative_risk_thresholds(materialize(rk.enrich_relative_risk(risk)), long_predictions(scored, PAIR_KEY))
     return collect_thresholds(found, MODELS[0].slug)
 
 
@@ -126,9 +126,19 @@ def statistics(spark: SparkSession, sf: str, limits: list[Threshold]) -> DataFra
 
 
 SWEEP = [
-    StudyConfig("23.12", year, window, 2, fx.BOUNDS) for year in (1996, 1997, 1998) for window in (1, 2)
+    StudyConfig(version, year, window, 2, fx.BOUNDS)
+    for version in ("23.09", "23.12") for year in (1996, 1997, 1998) for window in (1, 2)
 ]
+# The earlier release ends with this year of evidence.
+EARLY_RELEASE, EARLY_LAST_YEAR = "23.09", 1999
 
 
 def swept_cohorts(spark: SparkSession, sf: str) -> DataFrame:
-    return cohort_sweep(cohort_base(features(spark, sf), 2), SWEEP)
+    late = materialize(features(spark, sf))
+    early = late.filter(F.col("year").isNull() | (F.col("year") <= EARLY_LAST_YEAR))
+    bases = {EARLY_RELEASE: early, "23.12": late}
+    base = None
+    for version, known in bases.items():
+        part = cohort_base(known, 2).withColumn("version", F.lit(version))
+        base = part if base is None else base.unionByName(part)
+    return cohort_sweep(base, SWEEP)

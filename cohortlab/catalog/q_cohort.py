@@ -40,11 +40,11 @@ def _modeling_cohort(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("cohort_sweep", f"""
-SELECT {_PAIR}, transition_year, feature_year, last_training_year, "window", split, {TIME}, {OUTCOME} FROM v_sweep""")
+SELECT {_PAIR}, version, transition_year, feature_year, last_training_year, "window", split, {TIME}, {OUTCOME} FROM v_sweep""")
 def _cohort_sweep(spark: SparkSession, sf: str) -> DataFrame:
     swept = inputs.swept_cohorts(spark, sf)
     return swept.select(
-        *PAIR_KEY, "transition_year", "feature_year", "last_training_year", "window", "split", TIME, OUTCOME
+        *PAIR_KEY, "version", "transition_year", "feature_year", "last_training_year", "window", "split", TIME, OUTCOME
     )
 
 

@@ -189,7 +189,7 @@ def _avg_area_metrics(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-CONFIG = ["last_training_year", "window"]
+CONFIG = ["version", "last_training_year", "window"]
 
 
 @query("sweep_summary", """
@@ -198,9 +198,9 @@ v AS (
   SELECT 'relative_risk' AS statistic, "limit", model_slug, relative_risk AS value FROM p
   UNION ALL SELECT 'neg_log10_p_value', "limit", model_slug, CASE WHEN p_value>0 THEN -log10(p_value)+0.0 END FROM p
   UNION ALL SELECT 'relative_risk_ratio', "limit", 'RDG', (max(relative_risk) FILTER (WHERE model_slug='RDG'))/nullif(max(relative_risk) FILTER (WHERE model_slug='OTS'),0)
-    FROM p GROUP BY last_training_year, "window", "limit"),
-f AS (SELECT statistic, "limit", model_slug, CASE WHEN NOT isinf(value) AND NOT isnan(value) THEN value END AS value FROM v)
-SELECT statistic, "limit", model_slug, count(value) AS "count", round(avg(value),5)+0.0 AS mean, round(stddev_samp(value),5)+0.0 AS std, round(min(value),5)+0.0 AS min,
+    FROM p GROUP BY version, last_training_year, "window", "limit"),
+f AS (SELECT statistic, "limit", model_slug, isinf(value) AS endless, CASE WHEN NOT isinf(value) AND NOT isnan(value) THEN value END AS value FROM v)
+SELECT statistic, "limit", model_slug, count(value) AS "count", count(*) FILTER (WHERE endless) AS n_infinite, round(avg(value),5)+0.0 AS mean, round(stddev_samp(value),5)+0.0 AS std, round(min(value),5)+0.0 AS min,
   round(quantile_cont(value,0.25),5)+0.0 AS p25, round(quantile_cont(value,0.5),5)+0.0 AS p50, round(quantile_cont(value,0.75),5)+0.0 AS p75, round(max(value),5)+0.0 AS max
 FROM f GROUP BY 1,2,3""")
 def _sweep_summary(spark: SparkSession, sf: str) -> DataFrame:

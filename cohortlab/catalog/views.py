@@ -191,6 +191,11 @@ LEFT JOIN (SELECT target_id, disease_id, min(year) AS year_first_advanced FROM v
       WHERE year IS NOT NULL AND target_disease__clinical__phase_max__reached>2 GROUP BY 1,2) d
   ON d.target_id=t.target_id AND d.disease_id=t.disease_id"""
 
+# The earlier release of the sweep knows the years up to 1999.
+VIEWS["v_features_early"] = "SELECT * FROM v_features WHERE year IS NULL OR year<=1999"
+for _name in ("v_transitions", "v_base"):
+    VIEWS[f"{_name}_early"] = VIEWS[_name].replace("v_features", "v_features_early").replace("v_transitions", "v_transitions_early")
+
 
 def cohort_sql(first: int, last: int, advanced_by: int) -> str:
     return f"""
@@ -549,15 +554,15 @@ _PAIRS = ", ".join(str(p) for p in SWEEP)
 VIEWS["v_sweep"] = f"""
 SELECT b.* EXCLUDE (year_first_advanced), c.y AS last_training_year, c.w AS "window", c.split, CAST(c.until-transition_year AS INT) AS {TIME},
   year_first_advanced IS NOT NULL AND year_first_advanced<=c.until AS {OUTCOME}
-FROM v_base b JOIN (
+FROM (SELECT *, '23.12' AS version FROM v_base UNION ALL BY NAME SELECT *, '23.09' AS version FROM v_base_early) b JOIN (
   SELECT y, w, 'training' AS split, 1996 AS lo, y AS hi, y+w AS until FROM (VALUES {_PAIRS}) t(y,w)
   UNION ALL SELECT y, w, 'evaluation', y+1, 2000-w, 2000 FROM (VALUES {_PAIRS}) t(y,w)) c
 ON transition_year BETWEEN c.lo AND c.hi"""
 VIEWS["v_sweep_scored"] = scored_sql("v_sweep") + " WHERE split='evaluation'"
 VIEWS["v_sweep_area"] = "SELECT * FROM v_sweep_scored JOIN v_areas USING (disease_id)"
-_SWEEP_BY = ["last_training_year", '"window"', *_AREA]
+_SWEEP_BY = ["version", "last_training_year", '"window"', *_AREA]
 VIEWS["v_sweep_methods"] = f"SELECT * FROM ({methods_sql('v_sweep_area', _SWEEP_BY)}) WHERE contains(method, '__model__')"
 VIEWS["v_sweep_risk"] = risk_sql("v_sweep_area", "v_sweep_methods", _SWEEP_BY, Z90)
 VIEWS["v_sweep_enriched"] = enriched_sql("v_sweep_risk")
 VIEWS["v_sweep_single"] = "SELECT * FROM v_sweep_enriched WHERE n_total>=2 AND therapeutic_area_name<>'all' AND is_primary_model_feature"
-VIEWS["v_sweep_report"] = area_report_sql("v_sweep_enriched", "v_sweep_single", 'last_training_year, "window"')
+VIEWS["v_sweep_report"] = area_report_sql("v_sweep_enriched", "v_sweep_single", 'version, last_training_year, "window"')

@@ -104,28 +104,37 @@ def modeling_cohort(features: DataFrame, spec: CohortSpec) -> DataFrame:
 
 
 def cohort_sweep(base: DataFrame, configs: list[StudyConfig]) -> DataFrame:
-    """The cohorts of all configurations of one data version in one frame.
+    """The cohorts of all configurations in one frame, keyed by version, year and window.
 
-    The configurations are a literal array; each row keeps those whose window holds its transition.
+    ``base`` names its data version in a column ``version``, unless all configurations share one.
+    The configurations are a literal array; each row keeps those of its version whose window holds
+    its transition. One base has one phase, so configurations of several phases are refused.
     """
-    columns = ("last_training_year", "window", "split", "_first", "_last", "max_advancement_year")
+    versions = {config.version for config in configs}
+    if len({config.phase for config in configs}) > 1:
+        raise ValueError("the configurations of a sweep need the same phase")
+    if "version" not in base.columns:
+        if len(versions) > 1:
+            raise ValueError("a base without versions serves configurations of one version only")
+        base = base.withColumn("version", F.lit(configs[0].version))
+    columns = ("_version", "last_training_year", "window", "split", "_first", "_last", "max_advancement_year")
     entries = []
     for config in configs:
         for split in ("training", "evaluation"):
             spec: CohortSpec = getattr(config, split)
             values = (
-                config.last_training_year, config.window, split,
+                config.version, config.last_training_year, config.window, split,
                 spec.min_transition_year, spec.max_transition_year, spec.max_advancement_year,
             )
             entries.append(F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, values)]))
     year = F.col("transition_year")
-    holding = F.filter(F.array(*entries), lambda s: year.between(s["_first"], s["_last"]))
+    holding = F.filter(F.array(*entries), lambda s: (s["_version"] == F.col("version")) & year.between(s["_first"], s["_last"]))
     limit = F.col("max_advancement_year")
     return (
         base.select("*", F.inline(holding))
         .withColumn(OUTCOME, _advanced(limit))
         .withColumn(TRANSITION_TIME, limit - year)
-        .drop("_first", "_last", "max_advancement_year", "year_first_advanced")
+        .drop("_version", "_first", "_last", "max_advancement_year", "year_first_advanced")
     )
 
 

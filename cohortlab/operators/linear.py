@@ -210,6 +210,94 @@ def _nonnegative_solution(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
     return weights
 
 
+@dataclass(frozen=True)
+class GroupStatistics:
+    """What ridge models of any union of groups need, from one pass over raw rows and one over
+    entities: products of (1, features with 0 for missing, missing flags, label), extremes, and the
+    maxima of static target features averaged over targets."""
+
+    features: list[str]
+    products: dict[object, np.ndarray]
+    extremes: dict[object, dict[str, float | None]]
+    fills: dict[str, dict[str, float]]
+
+    def fit(self, name: str, groups: Sequence[object], members: Mapping[str, tuple[bool, Sequence[str] | None]],
+            alpha: float = RIDGE_ALPHA) -> dict[str, LinearModel]:
+        """Models of one named union of groups, as if fitted on its filled and scaled rows."""
+        size, fills = len(self.features), self.fills[name]
+        used = [g for g in groups if g in self.products]
+        raw = sum((self.products[g] for g in used), np.zeros((2 * size + 2, 2 * size + 2)))
+        if not raw[0, 0]:
+            raise ValueError(f"{name}: no training rows")
+        ranges = {}
+        for i, c in enumerate(self.features):
+            seen = [self.extremes[g][f"{c}__{end}"] for g in used for end in ("lo", "hi")]
+            if raw[0, 1 + size + i] > 0:
+                seen.append(fills[c])
+            known = [v for v in seen if v is not None]
+            ranges[c] = (min(known, default=0.0), max(known, default=0.0))
+        # Scaling is affine on the training rows, so it acts on the products.
+        turn = np.zeros((2 * size + 2, size + 2))
+        turn[0, 0] = turn[-1, -1] = 1.0
+        for i, c in enumerate(self.features):
+            low, width = ranges[c][0], (ranges[c][1] - ranges[c][0]) or 1.0
+            turn[0, 1 + i], turn[1 + i, 1 + i], turn[1 + size + i, 1 + i] = -low / width, 1 / width, fills[c] / width
+        return ridge_models(turn.T @ raw @ turn, self.features, members, alpha, ranges, True)
+
+
+def group_statistics(rows: DataFrame, by: str, features: Sequence[str], label: str,
+                     unions: Mapping[str, Sequence[object]]) -> GroupStatistics:
+    """``unions`` names sets of groups whose fill values are wanted, for training or for scoring."""
+    names = list(features)
+    flags = [F.col(c).isNull().cast("double").alias(f"{c}__missing") for c in names]
+    known = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names]
+    products = moments(rows.select(by, *known, *flags, label), [*names, *[f"{c}__missing" for c in names]], label, by)
+    found = rows.groupBy(by).agg(
+        *[F.min(F.col(c).cast("double")).alias(f"{c}__lo") for c in names],
+        *[F.max(F.col(c).cast("double")).alias(f"{c}__hi") for c in names],
+    )
+    extremes = {row[by]: row.asDict() for row in found.collect()}
+    return GroupStatistics(names, products, extremes, union_fills(rows, by, names, unions))
+
+
+def union_fills(rows: DataFrame, by: str, features: Sequence[str],
+                unions: Mapping[str, Sequence[object]]) -> dict[str, dict[str, float]]:
+    """``imputation_means`` of several unions of groups at once."""
+    fills = {name: dict.fromkeys(features, 0.0) for name in unions}
+    static = features_of_kind(list(features), "static", "target")
+    if not static:
+        return fills
+    per_target = rows.groupBy("target_id", by).agg(*[F.max(c).alias(c) for c in static])
+    inside = {name: F.col(by).isin(list(groups)) for name, groups in unions.items()}
+    wide = per_target.groupBy("target_id").agg(
+        *[F.max(F.when(own, F.col(c))).alias(f"{k}__{j}") for k, own in enumerate(inside.values()) for j, c in enumerate(static)]
+    )
+    means = wide.agg(*[F.avg(c).alias(c) for c in wide.columns if c != "target_id"]).first().asDict()
+    for k, name in enumerate(inside):
+        fills[name].update({c: float(means[f"{k}__{j}"] or 0.0) for j, c in enumerate(static)})
+    return fills
+
+
+def grouped_score(by: Column, models: Mapping[object, LinearModel], fills: Mapping[object, Mapping[str, float]]) -> Column:
+    """Score of each row by the model of its group, as one expression over literal maps."""
+    first = next(iter(models.values()))
+    names = list(models)
+
+    def number(value) -> Column:
+        return F.create_map(*[x for g in names for x in (F.lit(g), F.lit(float(value(g))))])[by]
+
+    parts = []
+    for c in first.features:
+        low = {g: models[g].ranges[c][0] if models[g].ranges else 0.0 for g in names}
+        width = {g: (models[g].ranges[c][1] - low[g]) or 1.0 if models[g].ranges else 1.0 for g in names}
+        x = F.coalesce(F.col(c).cast("double"), number(lambda g, c=c: fills[g][c]))
+        x = (x - number(low.get)) / number(width.get)
+        x = clip(x, 0, 1) if first.ranges is not None else x
+        parts.append(x * number(lambda g, c=c: models[g].coefficients[c]))
+    base = F.lit(0.0) if first.positive else number(lambda g: models[g].intercept)
+    return clip(base + total(parts), 0, 1)
+
+
 def fit_ridge(rows: DataFrame, features: Sequence[str], label: str, slug: str = "ridge",
               positive: bool = False, scoring_features: Sequence[str] | None = None,
               alpha: float = RIDGE_ALPHA, scaling: bool = True, imputing: bool = True) -> LinearModel:

@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 from cohortlab.functions.expressions import hash_unit
 from cohortlab.functions.frames import materialize
 from cohortlab.functions.naming import PAIR_KEY
+from cohortlab.operators.folds import stratified_kfold
 from cohortlab.operators.linear import (
     RIDGE_ALPHA,
     LinearModel,
     fit_ridge_family,
-    moments,
-    prepare_training,
-    ridge_models,
+    group_statistics,
+    grouped_score,
     weighted_composite,
 )
 from cohortlab.operators.ordering import unpivot
@@ -35,6 +35,16 @@ PENALTY_STEPS = 10
 RANDOM_BASELINES = 3
 
 
+OWN_CLINICAL = "/target_disease__clinical__"
+#: Parts of a feature's name that bar it from a set, and the part it needs.
+FEATURE_SETS = {
+    "all": ((), ""),
+    "no_time": (("__time__",), ""),
+    "no_tgc": (("__time__", "__genetic_association__", "__clinical__"), ""),
+    "only_genetics": ((), "__genetic_association__"),
+}
+
+
 @dataclass(frozen=True)
 class ModelSpec:
     """``algorithm`` is rdg, gbm, lrg, ots or baseline; ``features`` are those used for scoring."""
@@ -48,13 +58,14 @@ class ModelSpec:
 
 
 def feature_sets(features: Sequence[str]) -> dict[str, list[str]]:
-    core = [f for f in features if not f.startswith("target_disease__clinical__")]
-    no_time = [f for f in core if "__time__" not in f]
+    """Features by set: those whose name matches none of the set's barred parts and, if the set names
+    one, its needed part. A pair's own clinical features are in no set."""
+    def holds(name: str, barred: Sequence[str], needed: str) -> bool:
+        return needed in name and not any(part in name for part in (OWN_CLINICAL, *barred))
+
     return {
-        "all": core,
-        "no_time": no_time,
-        "no_tgc": [f for f in no_time if "__clinical__" not in f and "__genetic_association__" not in f],
-        "only_genetics": [f for f in core if "__genetic_association__" in f],
+        chosen: [f for f in features if holds(f"/{f}", barred, needed)]
+        for chosen, (barred, needed) in FEATURE_SETS.items()
     }
 
 
@@ -126,28 +137,38 @@ def _assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="_raw")
 
 
+@dataclass(frozen=True)
+class Boosting:
+    """Strength of the boosted trees."""
+
+    rounds: int = 100
+    depth: int = 5
+    step: float = 0.1
+
+
 def fit_boosting(rows: DataFrame, features: Sequence[str], label: str,
-                 common: Sequence[Transformer] = ()) -> PipelineModel:
-    trees = GBTClassifier(featuresCol="_raw", labelCol="_label", seed=SEED, maxIter=20)
+                 common: Sequence[Transformer] = (), boosting: Boosting = Boosting()) -> PipelineModel:
+    trees = GBTClassifier(
+        featuresCol="_raw", labelCol="_label", seed=SEED, maxIter=boosting.rounds, maxDepth=boosting.depth, stepSize=boosting.step
+    )
     stages = [*common, _assembler(features), trees]
     return Pipeline(stages=stages).fit(_zero_filled(rows, features, label))
 
 
 def fit_logistic(rows: DataFrame, features: Sequence[str], label: str, key: Sequence[str] = PAIR_KEY,
                  common: Sequence[Transformer] = ()) -> PipelineModel:
-    """Penalty chosen by cross-validated accuracy over folds fixed by a hash of the row key."""
-    fold = F.floor(hash_unit(*[F.col(c) for c in key], seed=SEED) * INNER_FOLDS).cast("int")
-    training = materialize(
-        _zero_filled(rows, features, label)
-        .withColumn("_fold", fold)
-        .select(*features, "_label", "_fold")
-    )
+    """Penalty chosen by cross-validated accuracy over stratified folds of the row key."""
+    plain = materialize(_zero_filled(rows, features, label).select(*dict.fromkeys([*key, *features]), "_label"))
+    folded = stratified_kfold(plain, INNER_FOLDS, "_label", list(key), name="_fold")
+    training = materialize(folded.select(*features, "_label", "_fold"))
     n = training.count()
     logistic = LogisticRegression(
         featuresCol="_scaled", labelCol="_label", standardization=False, tol=1e-4
     )
     scaler = StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True)
-    penalties = [1 / (n * 10 ** (-4 + 8 * i / (PENALTY_STEPS - 1))) for i in range(PENALTY_STEPS)]
+    # The penalty of a fit is per training row: all but one of the inner folds hold 4/5 of them.
+    fitted_on = n * (INNER_FOLDS - 1) / INNER_FOLDS
+    penalties = [1 / (fitted_on * 10 ** (-4 + 8 * i / (PENALTY_STEPS - 1))) for i in range(PENALTY_STEPS)]
     search = CrossValidator(
         estimator=logistic,
         estimatorParamMaps=ParamGridBuilder().addGrid(logistic.regParam, penalties).build(),
@@ -158,12 +179,13 @@ def fit_logistic(rows: DataFrame, features: Sequence[str], label: str, key: Sequ
     )
     prepared = Pipeline(stages=[*common, _assembler(features), scaler]).fit(training)
     scaled = materialize(prepared.transform(training).select("_scaled", "_label", "_fold"))
-    best = search.fit(scaled).bestModel
+    chosen = search.fit(scaled).bestModel.getRegParam()
+    best = logistic.copy({logistic.regParam: chosen * fitted_on / n}).fit(scaled)
     return PipelineModel(stages=[*prepared.stages, best])
 
 
-def fit_models(rows: DataFrame, specs: Sequence[ModelSpec], label: str,
-               core: Sequence[str]) -> dict[str, FittedModel]:
+def fit_models(rows: DataFrame, specs: Sequence[ModelSpec], label: str, core: Sequence[str],
+               boosting: Boosting = Boosting()) -> dict[str, FittedModel]:
     """Fit every specification. All ridge models share one pass; ``core`` are their training
     features. ``rows`` is read several times and should be a written table."""
     ridge = {s.slug: (s.positive, s.features) for s in specs if s.algorithm == "rdg"}
@@ -173,7 +195,7 @@ def fit_models(rows: DataFrame, specs: Sequence[ModelSpec], label: str,
     prior = class_prior(rows, label) if any(s.algorithm == "baseline" for s in specs) else 0.0
     for spec in specs:
         if spec.algorithm == "gbm":
-            fitted[spec.slug] = fit_boosting(rows, spec.features, label)
+            fitted[spec.slug] = fit_boosting(rows, spec.features, label, boosting=boosting)
         elif spec.algorithm == "lrg":
             fitted[spec.slug] = fit_logistic(rows, spec.features, label)
         elif spec.algorithm == "ots":
@@ -246,16 +268,15 @@ def ridge_cv(rows: DataFrame, fold: str, features: Sequence[str], label: str, ke
              positive: bool = False, alpha: float = RIDGE_ALPHA) -> DataFrame:
     """Held-out ridge predictions with one pass to fit all folds.
 
-    The moments of a fold's training rows are those of all rows minus those of the fold. Filling
-    and scaling use all rows.
+    A fold's model takes its fill values, ranges and moments from the other folds only. As with any
+    fitted model, missing values of the rows to score are filled from those rows. ``rows`` should be
+    a written table; rows without a fold get no prediction.
     """
-    prepared, ranges = prepare_training(rows, features, scaling=True, imputing=True)
-    by_fold = moments(prepared, features, label, by=fold)
-    everything = sum(by_fold.values())
-    score = F.lit(None).cast("double")
-    for number, matrix in sorted(by_fold.items()):
-        model = ridge_models(
-            everything - matrix, features, {"m": (positive, None)}, alpha, None, False
-        )["m"]
-        score = F.when(F.col(fold) == number, model.score(dict.fromkeys(features, 0.0))).otherwise(score)
-    return prepared.select(*keep, fold, score.alias("prediction"))
+    folds = [r[0] for r in rows.select(fold).where(F.col(fold).isNotNull()).distinct().collect()]
+    unions = {f"without {f}": [g for g in folds if g != f] for f in folds} | {f"only {f}": [f] for f in folds}
+    found = group_statistics(rows, fold, features, label, unions)
+    models, fills = {}, {}
+    for f in folds:
+        models[f] = found.fit(f"without {f}", unions[f"without {f}"], {"m": (positive, None)}, alpha)["m"]
+        fills[f] = found.fills[f"only {f}"]
+    return rows.select(*keep, fold, grouped_score(F.col(fold), models, fills).alias("prediction"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cohortlab.config import StudyConfig
 from cohortlab.functions.frames import materialize
 from cohortlab.functions.naming import OUTCOME, PAIR_KEY
+from cohortlab.operators import linear as ln
 from cohortlab.operators import metrics as mt
 from cohortlab.operators import models as md
 from cohortlab.operators import opportunity as op
@@ -73,7 +74,7 @@ def run_study(features: DataFrame, areas: DataFrame, config: StudyConfig, boosti
         models=models,
         evaluation=scored,
         relative_risk=risk,
-        thresholds=rk.relative_risk_thresholds(risk, predictions, max(model_limits)),
+        thresholds=rk.relative_risk_thresholds(risk, predictions),
         area_risk=rk.enrich_relative_risk(by_area),
         area_metrics=area_classification(scored, areas, ranked),
     )
@@ -92,31 +93,44 @@ def opportunities(result: StudyResult, static_features: DataFrame, tractability:
     return table, op.opportunity_statistics(table, tractability, areas, limits)
 
 
-def sweep_area_risk(features: DataFrame, areas: DataFrame, configs: Sequence[StudyConfig],
+def sweep_area_risk(features: Mapping[str, DataFrame], areas: DataFrame, configs: Sequence[StudyConfig],
                     area_names: Sequence[str], model_limits: Sequence[int] = rk.MODEL_LIMITS) -> DataFrame:
-    """Area risks of the ridge models and the composite for every configuration.
+    """Area risks of the ridge models and the composite for every (version, year, window).
 
-    The cohorts of all configurations come from one job and are evaluated together; only fitting,
-    which solves a small system per configuration, goes through them in turn.
+    ``features`` has one table per data version. The cohorts of all configurations come from one
+    job, their models from one pass of moments by configuration, and they are scored and evaluated
+    together; the driver only solves a small system per configuration.
     """
-    base = materialize(cohort_base(features, configs[0].phase))
-    cohorts = materialize(cohort_sweep(base, list(configs)))
-    keys = ["last_training_year", "window"]
+    absent = sorted({c.version for c in configs} - set(features))
+    if absent:
+        raise ValueError(f"no features of versions {absent}")
+    if len({c.phase for c in configs}) > 1:
+        raise ValueError("the configurations of a sweep need the same phase")
+    base = None
+    for version in sorted({c.version for c in configs}):
+        part = cohort_base(features[version], configs[0].phase).withColumn("version", F.lit(version))
+        base = part if base is None else base.unionByName(part)
+    keys = ["version", "last_training_year", "window"]
+    cohorts = materialize(
+        cohort_sweep(materialize(base), list(configs)).withColumn("_config", F.concat_ws("|", *keys))
+    )
     described = [*keys, "split", "transition_year", "feature_year"]
-    names = create_modeling_dataset(cohorts.drop(*described)).features
+    names = create_modeling_dataset(cohorts.drop(*described, "_config")).features
     specs = [
         s for s in md.model_grid(names, boosting=False, logistic=False) if s.slug in rk.PRIMARY_MODELS
     ]
-    scored = None
-    for config in configs:
-        own = cohorts.filter(
-            (F.col("last_training_year") == config.last_training_year) & (F.col("window") == config.window)
-        )
-        models = md.fit_models(
-            own.filter(F.col("split") == "training"), specs, OUTCOME, md.feature_sets(names)["all"]
-        )
-        part = md.score_models(own.filter(F.col("split") == "evaluation"), models)
-        scored = part if scored is None else scored.unionByName(part)
+    core = md.feature_sets(names)["all"]
+    groups = ["|".join(map(str, (c.version, c.last_training_year, c.window))) for c in configs]
+    later, earlier = (cohorts.filter(F.col("split") == split) for split in ("evaluation", "training"))
+    ridge = {s.slug: (s.positive, s.features) for s in specs if s.algorithm == "rdg"}
+    unions = {g: [g] for g in groups}
+    found = ln.group_statistics(earlier, "_config", core, OUTCOME, unions)
+    models = {g: found.fit(g, [g], ridge) for g in groups}
+    fills = ln.union_fills(later, "_config", core, unions)
+    config = F.col("_config")
+    scores = {slug: ln.grouped_score(config, {g: models[g][slug] for g in groups}, fills) for slug in ridge}
+    scores |= {s.slug: ln.weighted_composite(s.features) for s in specs if s.algorithm == "ots"}
+    scored = later.withColumns(scores).drop("_config")
     rows = join_areas(materialize(scored), areas)
     slugs = [s.slug for s in specs]
     risk = rk.relative_risk_by_method(rows, [*keys, *AREA], [], slugs, model_limits, min_rows=2)

@@ -92,14 +92,18 @@ def test_composite_refuses_unknown_sources():
 
 def test_ridge_cv_equals_refitting_each_fold(normal_rows):
     rows = labelled(normal_rows, [0.02, 0.01, -0.03], 0.5).withColumn("fold", (F.col("id") % 3).cast("int"))
-    names = ["X0", "X1", "X2"]
+    # One fold has the extremes and the gaps, so that what leaks from it would show.
+    rows = rows.withColumns({
+        "X0": F.when((F.col("fold") == 1) & (F.col("id") % 7 == 0), None).otherwise(F.col("X0")),
+        "X1": F.when(F.col("fold") == 2, F.col("X1") * 5).otherwise(F.col("X1")),
+        "target_id": F.col("id") % 11,
+        "target__tissue_specificity": F.when(F.col("id") % 5 > 0, (F.col("id") % 13) * (F.col("fold") + 1)),
+    })
+    names = ["X0", "X1", "X2", "target__tissue_specificity"]
     got = md.ridge_cv(rows, "fold", names, "y", ["id"], positive=False)
-    prepared, _ = ln.prepare_training(rows, names, True, True)
     for number in range(3):
-        model = ln.fit_ridge(
-            prepared.filter(F.col("fold") != number), names, "y", scaling=False, imputing=False
-        )
-        test = model.predict(prepared.filter(F.col("fold") == number), "again").select("id", "again")
+        model = ln.fit_ridge(rows.filter(F.col("fold") != number), names, "y")
+        test = model.predict(rows.filter(F.col("fold") == number), "again").select("id", "again")
         worst = test.join(got, "id").agg(F.max(F.abs(F.col("again") - F.col("prediction")))).first()[0]
         assert worst < 1e-9
 

@@ -4,8 +4,11 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from cohortlab.config import StudyConfig
+from cohortlab.config import StudyConfig, sweep_configs
+from cohortlab.functions.naming import OUTCOME
+from cohortlab.operators import linear as ln
 from cohortlab.operators import models as md
+from cohortlab.operators.cohort import cohort_base, cohort_sweep, select_cohort
 from cohortlab.operators.dataset import create_dataset, create_modeling_dataset
 from cohortlab.operators.evidence import temporalize_evidence
 from cohortlab.operators.opportunity import tractability_buckets
@@ -110,10 +113,41 @@ def test_opportunities_cover_all_pairs(study, exported):
 
 
 def test_sweep_reports_every_configuration(exported):
-    configs = [StudyConfig("23.12", y, 1, 2, fx.BOUNDS) for y in (1996, 1997)]
-    risk = sweep_area_risk(exported["temporal_features"], exported["therapeutic_areas"], configs, AREAS, (5, 10))
-    found = {(r[0], r[1]) for r in risk.select("last_training_year", "window").distinct().collect()}
-    assert found == {(1996, 1), (1997, 1)}
+    features, areas = exported["temporal_features"], exported["therapeutic_areas"]
+    versions = {"23.06": features.filter("year IS NULL OR year <= 1998"), "23.09": features.filter("year IS NULL OR year <= 1999"), "23.12": features}
+    configs = sweep_configs(list(versions), 1997, (-1, 0, 1), (1, 2), 2, fx.BOUNDS)
+    assert len(configs) == 18
+    risk = sweep_area_risk(versions, areas, configs, AREAS, (5, 10)).persist()
+    keys = ["version", "last_training_year", "window", "therapeutic_area_name", "method"]
+    assert risk.groupBy(*keys).count().filter("count > 1").count() == 0
+    found = {tuple(r) for r in risk.select(*keys[:3]).distinct().collect()}
+    known = {"23.06": 1998, "23.09": 1999, "23.12": 2000}
+    # Where no transition can follow the training years, there is nothing to report.
+    able = [c for c in configs if c.last_training_year < min(2000 - c.window, known[c.version])]
+    assert found == {(c.version, c.last_training_year, c.window) for c in able} and len(able) == 14
+
+
+def test_sweep_refuses_what_it_cannot_serve(exported):
+    features = exported["temporal_features"]
+    one, two = StudyConfig("23.12", 1997, 1, 2, fx.BOUNDS), StudyConfig("23.12", 1997, 2, 3, fx.BOUNDS)
+    with pytest.raises(ValueError, match="phase"):
+        sweep_area_risk({"23.12": features}, exported["therapeutic_areas"], [one, two], AREAS)
+    with pytest.raises(ValueError, match="versions"):
+        sweep_area_risk({"23.09": features}, exported["therapeutic_areas"], [one], AREAS)
+    with pytest.raises(ValueError, match="one version"):
+        cohort_sweep(features, [one, StudyConfig("23.09", 1997, 1, 2, fx.BOUNDS)])
+
+
+def test_swept_models_equal_single_fits(exported):
+    base = cohort_base(exported["temporal_features"], 2)
+    config = StudyConfig("23.12", 1997, 1, 2, fx.BOUNDS)
+    rows = select_cohort(base, config.training).withColumn("g", F.lit("a")).persist()
+    names = md.feature_sets(create_modeling_dataset(rows.drop("g", "transition_year", "feature_year")).features)["all"]
+    one = ln.fit_ridge(rows, names, OUTCOME, positive=True)
+    stats = ln.group_statistics(rows, "g", names, OUTCOME, {"a": ["a"]})
+    other = stats.fit("a", ["a"], {"ridge": (True, None)})["ridge"]
+    both = rows.select(one.score(one.fills(rows)).alias("x"), ln.grouped_score(F.col("g"), {"a": other}, {"a": stats.fills["a"]}).alias("y"))
+    assert both.agg(F.max(F.abs(F.col("x") - F.col("y")))).first()[0] < 1e-9
 
 
 def test_dataset_round_trip(spark, study, tmp_path):
@@ -121,7 +155,7 @@ def test_dataset_round_trip(spark, study, tmp_path):
     dataset = create_modeling_dataset(rows)
     assert "target_disease__time__transition" in dataset.features
     assert dataset.outcome_type == "classification:binary"
-    boosted = md.fit_boosting(dataset.rows, dataset.features, dataset.outcomes[0])
+    boosted = md.fit_boosting(dataset.rows, dataset.features, dataset.outcomes[0], boosting=md.Boosting(rounds=10))
     linear = study.models["rdg__all__positive"]
     save_dataset(dataset, str(tmp_path / "ds"), {"linear": linear, "boosted": boosted})
     again, models = load_dataset(spark, str(tmp_path / "ds"))
