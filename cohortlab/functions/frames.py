@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 SALTS_CONF = "spark.cohortlab.salts"
 DEFAULT_SALTS = 32
+#: A key is hot from this share of a partition's even part on: at most 4 x partitions keys are.
+HOT_SHARE = 4
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -62,9 +64,21 @@ def salt_count(spark: SparkSession) -> int:
     return int(spark.conf.get(SALTS_CONF, str(DEFAULT_SALTS)))
 
 
-def row_salt(columns: list[str], salts: int) -> Column:
-    """A slice number computed from the row itself, so that retried tasks agree."""
-    return F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(salts)).cast("int")
+def row_salt(rows: DataFrame, columns: list[str], salts: int) -> Column:
+    """A slice number computed from the row and the number of its partition, so that retried tasks
+    agree and equal rows are spread as well. Map columns count by their JSON text."""
+    kinds = dict(rows.dtypes)
+    parts = [F.to_json(c) if kinds[c].startswith("map<") else F.col(c) for c in columns]
+    return F.pmod(F.xxhash64(*parts, F.spark_partition_id()), F.lit(salts)).cast("int")
+
+
+def hot_keys(facts: DataFrame, on: list[str], share: int) -> DataFrame:
+    """Keys with more than 1 / ``share`` of all rows: fewer than ``share`` of them, as a written table."""
+    counted = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    # Counts are spread over the keys' shuffle; only sums meet in one row.
+    counted = materialize(counted)
+    total = counted.agg(F.sum("_n")).first()[0] or 0
+    return materialize(counted.where(F.col("_n") * share > F.lit(total)).select(*on))
 
 
 def dimension_join(facts: DataFrame, dimension: DataFrame, on: list[str], how: str = "inner",
@@ -73,10 +87,11 @@ def dimension_join(facts: DataFrame, dimension: DataFrame, on: list[str], how: s
 
     Catalyst's estimate of a joined or aggregated dimension can be far too high. Where it exceeds
     the broadcast threshold, the dimension is written, which also keeps it from being computed
-    again, and its true size decides. A small one is broadcast. A larger one is repeated once per
-    salt and the facts of a key are spread over the salts by the hash of ``spread_by``, so a hot
-    key is shared by many tasks. Adaptive execution may split further: the salt is dropped, so
-    nothing downstream relies on the partitioning of the join.
+    again, and its true size decides. A small one is broadcast. For a larger one the facts are
+    counted by key: rows of hot keys are spread over salts by the hash of ``spread_by`` (default:
+    all other columns) and their dimension rows repeated once per salt; all others are joined
+    plainly. Adaptive execution may split further, as the salt is dropped and nothing downstream
+    relies on the partitioning of the join. ``facts`` is then read twice.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"the dimension side cannot be kept whole in a {how!r} join")
@@ -85,7 +100,15 @@ def dimension_join(facts: DataFrame, dimension: DataFrame, on: list[str], how: s
     if fits_broadcast(dimension):
         return facts.join(F.broadcast(dimension), on, how)
     salts = salt_count(facts.sparkSession)
+    share = HOT_SHARE * int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    hot = hot_keys(facts, on, share)
+    if hot.isEmpty():
+        return facts.join(dimension, on, how)
+    marks = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     spread = spread_by or [c for c in facts.columns if c not in on]
-    salted = facts.withColumn("_salt", row_salt(spread, salts))
-    repeated = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    salted = facts.join(marks, on, "left").withColumn(
+        "_salt", F.when(F.col("_hot"), row_salt(facts, spread, salts)).otherwise(F.lit(0))
+    )
+    copies = F.when(F.col("_hot"), F.lit(salts - 1)).otherwise(F.lit(0))
+    repeated = dimension.join(marks, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), copies)))
+    return salted.drop("_hot").join(repeated.drop("_hot"), [*on, "_salt"], how).drop("_salt")

@@ -28,9 +28,12 @@ EPSILON = sys.float_info.epsilon
 
 def scored_rows(rows: DataFrame, by: Sequence[str], key: Sequence[str], truth: str,
                 score: str) -> DataFrame:
-    """Rows with a truth, -1 read as 0, in columns ``y`` and ``score``."""
+    """Rows with a truth, -1 read as 0, in columns ``y`` and ``score``. Any other truth than -1, 0
+    and 1 fails the job that reads it."""
     y = F.col(truth).cast("double")
-    return rows.filter(y.isNotNull()).select(
+    bad = F.concat(F.lit(f"{truth} is not in (-1, 0, 1): "), y.cast("string"))
+    y = F.when(y.isin(-1.0, 0.0, 1.0), y).otherwise(F.raise_error(bad).cast("double"))
+    return rows.filter(F.col(truth).isNotNull()).select(
         *by, *key, F.when(y == -1, 0.0).otherwise(y).alias("y"), F.col(score).cast("double").alias("score")
     )
 
@@ -243,7 +246,7 @@ def kendall_tau(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     placed = running_totals(per_bit, [*by, "_bit", "_prefix"], [F.col("score").asc()], ["zeros"])
     below = F.col("zeros_cum") - F.col("zeros")
     above = F.col("zeros_total") - F.col("zeros_cum")
-    net = placed.groupBy(*by).agg(F.sum(F.col("ones") * (below - above)).cast("double").alias("_net"))
+    net = placed.groupBy(*by).agg(F.sum(F.col("ones").cast("double") * (below - above)).alias("_net"))
 
     def tied_pairs(df: DataFrame, name: str) -> DataFrame:
         n = F.col("n").cast("double")

@@ -56,7 +56,7 @@ def top_rows(df: DataFrame, group: list[str], order: list[Column], spread_by: li
     its salt.
     """
     salts = salt_count(df.sparkSession)
-    salted = df.withColumn("_salt", row_salt(spread_by, salts))
+    salted = df.withColumn("_salt", row_salt(df, spread_by, salts))
     first = Window.partitionBy(*group, "_salt").orderBy(*order)
     final = Window.partitionBy(*group).orderBy(*order)
     return (

@@ -13,7 +13,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlab.functions.frames import dimension_join
+from cohortlab.functions.frames import dimension_join, materialize
 from cohortlab.functions.naming import OUTCOME, PAIR_KEY, method_parts
 from cohortlab.operators.ordering import exact_quantiles, top_rows, topk_cutoffs, unpivot
 from cohortlab.operators.stats import with_relative_risk
@@ -23,6 +23,7 @@ MODEL_PREFIX = "target_disease__model__"
 QUANTILES = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)
 LITERATURE_LIMITS = (100, 250, 500)
 MODEL_LIMITS = (10, 25, 50, 75, 100, 250, 500)
+#: Entity features with up to this many distinct values have each of them as a cutoff.
 MAX_LISTED_VALUES = 10
 BENCHMARKS = (
     ("omim", "OMIM", "OMIM", "target_disease__genetic_association__omim"),
@@ -211,12 +212,22 @@ def enrich_relative_risk(risk: DataFrame, models: Mapping[str, str] = PRIMARY_MO
     )
 
 
-def calibrate_limits(enriched: DataFrame) -> DataFrame:
+def calibrate_limits(enriched: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per model and benchmark, the limits between which the model's risk falls to the benchmark's.
 
     Lower: largest limit with a higher risk; upper: smallest limit with one no higher; ``limit`` is
-    their mean, NULL if either is missing. Both sides are a handful of rows per model.
+    their mean, NULL if either is missing. Groups (``by``) are calibrated apart, and a group's two
+    sides are a handful of rows: each benchmark and each (model, limit) once, which is checked.
     """
+    by = list(by)
+    repeated = (
+        enriched.filter("is_primary_benchmark_feature OR is_primary_model_feature")
+        .groupBy(*by, "benchmark_name", "model_name", "limit")
+        .count()
+        .filter("count > 1")
+    )
+    if not repeated.isEmpty():
+        raise ValueError("a benchmark or a (model, limit) occurs twice in a group")
     key = ["benchmark_name", "benchmark_slug", "benchmark_relative_risk", "benchmark_n_pairs"]
     benchmark = F.struct(
         "benchmark_name", "benchmark_slug", F.col("relative_risk").alias("benchmark_relative_risk"),
@@ -225,15 +236,15 @@ def calibrate_limits(enriched: DataFrame) -> DataFrame:
     model = F.struct(
         F.col("model_name").alias("model"), "limit", F.col("relative_risk").alias("_risk")
     )
-    sides = enriched.agg(
+    sides = enriched.groupBy(*by).agg(
         F.collect_list(F.when(F.col("is_primary_benchmark_feature"), benchmark)).alias("_benchmarks"),
         F.collect_list(F.when(F.col("is_primary_model_feature"), model)).alias("_models"),
     )
-    compared = sides.select("_models", F.inline("_benchmarks")).select(*key, F.inline("_models"))
+    compared = sides.select(*by, "_models", F.inline("_benchmarks")).select(*by, *key, F.inline("_models"))
     above = F.col("_risk") > F.col("benchmark_relative_risk")
     below = F.col("_risk") <= F.col("benchmark_relative_risk")
     return (
-        compared.groupBy("model", *key)
+        compared.groupBy(*by, "model", *key)
         .agg(
             F.max(F.when(above, F.col("limit"))).alias("limit_lower_bound"),
             F.min(F.when(below, F.col("limit"))).alias("limit_upper_bound"),
@@ -243,14 +254,15 @@ def calibrate_limits(enriched: DataFrame) -> DataFrame:
     )
 
 
-def relative_risk_thresholds(enriched: DataFrame, predictions: DataFrame,
-                             deepest: int = max(MODEL_LIMITS)) -> DataFrame:
+def relative_risk_thresholds(enriched: DataFrame, predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Calibrated limits with the model score at that rank; NULL if the ranking is shorter.
 
-    ``predictions`` has rows (pair, model, prediction). No limit exceeds ``deepest``, the largest
-    limit that was evaluated, so only that many rows per model are ranked.
+    ``predictions`` has rows (group, pair, model, prediction). As many rows per group and model are
+    ranked as the largest calibrated limit asks for. ``enriched`` should be a written table.
     """
-    limits = calibrate_limits(enriched).withColumn("rn", F.floor("limit").cast("int"))
-    ranked = top_rows(predictions, ["model"], [F.col("prediction").desc()], PAIR_KEY, deepest)
-    scores = ranked.select("model", "rn", F.col("prediction").alias("model_prediction_threshold"))
-    return limits.join(scores, ["model", "rn"], "left").drop("rn")
+    by = list(by)
+    limits = materialize(calibrate_limits(enriched, by).withColumn("rn", F.floor("limit").cast("int")))
+    deepest = limits.agg(F.max("rn")).first()[0] or 1
+    ranked = top_rows(predictions, [*by, "model"], [F.col("prediction").desc()], PAIR_KEY, deepest)
+    scores = ranked.select(*by, "model", "rn", F.col("prediction").alias("model_prediction_threshold"))
+    return limits.join(scores, [*by, "model", "rn"], "left").drop("rn")

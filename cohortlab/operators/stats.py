@@ -30,10 +30,8 @@ def advancement_stats(features: DataFrame, initial_phases: Sequence[int], first:
 
     Evidence of the same year counts as "after".
     """
-    early = F.greatest(
-        F.lit(0),
-        *[F.coalesce(f"target_disease__clinical__phase{p}__reached", F.lit(0)) for p in initial_phases],
-    ) > 0
+    phases = F.array(*[f"target_disease__clinical__phase{p}__reached" for p in initial_phases])
+    early = F.coalesce(F.array_max(phases) > 0, F.lit(False))
     beyond = F.col(PAIR_PHASE) > max(initial_phases)
     reached, surpassed = F.col("reached"), F.col("surpassed")
     per_pair = first_years(
@@ -199,6 +197,9 @@ def cohort_stats(cohort: DataFrame, areas: DataFrame) -> DataFrame:
     """
     by = ["therapeutic_area_name", "split"]
     names = areas.select("disease_id", "therapeutic_area_name").distinct()
+    nowhere = cohort.select("disease_id").distinct().join(names, "disease_id", "left_anti")
+    if not nowhere.isEmpty():
+        raise ValueError(f"diseases without a therapeutic area: {[r[0] for r in nowhere.limit(5).collect()]}")
     has_evidence = F.greatest(
         F.lit(False), *[F.coalesce(F.col(c) > 0, F.lit(False)) for c in pair_evidence(cohort.columns)]
     )
@@ -285,10 +286,12 @@ def presence_combinations(cohort: DataFrame) -> DataFrame:
 
 
 def describe(values: DataFrame, by: list[str], value: str) -> DataFrame:
-    """count, mean, std, min, quartiles and max of a small result table, over finite values."""
+    """count, mean, std, min, quartiles and max of a small result table, over finite values, and how
+    many infinite ones there are beside them."""
     x = F.when(F.abs(value) < F.lit(float("inf")), F.col(value))
     return values.groupBy(*by).agg(
         F.count(x).alias("count"),
+        F.count(F.when(F.abs(value) == F.lit(float("inf")), 1)).alias("n_infinite"),
         F.avg(x).alias("mean"),
         F.stddev_samp(x).alias("std"),
         F.min(x).alias("min"),
