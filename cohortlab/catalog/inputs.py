@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,17 +27,26 @@ from cohortlab.sources import fixtures as fx
 from cohortlab.sources.registry import load_targets
 
 
-def stages(spark: SparkSession, sf: str) -> DataFrame:
-    return ev.clinical_stages(ev.clinical_evidence(fx.evidence(spark, sf)), fx.BOUNDS)
+class Dated(NamedTuple):
+    """Written tables that every feature plan starts from."""
+
+    temporal: DataFrame
+    stages: DataFrame
 
 
-def written_stages(spark: SparkSession, sf: str) -> DataFrame:
-    """Stages feed many branches of the feature plans, so they are written once."""
-    return materialize(stages(spark, sf))
+def dated(spark: SparkSession, sf: str) -> Dated:
+    """Evidence is joined and written once; its dated form and the stages both come from that."""
+    evidence = materialize(fx.evidence(spark, sf))
+    temporal = ev.temporalize_evidence(ev.augment_evidence(evidence), fx.publication_years(spark, sf), fx.BOUNDS)
+    return Dated(materialize(temporal), materialize(ev.clinical_stages(ev.clinical_evidence(evidence), fx.BOUNDS)))
+
+
+def stages(spark: SparkSession, sf: str) -> DataFrame:
+    return ev.clinical_stages(ev.clinical_evidence(fx.evidence(spark, sf)), fx.BOUNDS)
 
 
 def temporalized(spark: SparkSession, sf: str) -> DataFrame:
-    augmented = ev.augment_evidence(fx.evidence(spark, sf))
+    augmented = ev.augment_evidence(materialize(fx.evidence(spark, sf)))
     return ev.temporalize_evidence(augmented, fx.publication_years(spark, sf), fx.BOUNDS)
 
 
@@ -43,15 +54,15 @@ def target_features(spark: SparkSession, sf: str) -> DataFrame:
     return ev.target_features(load_targets(fx.targets(spark, sf), fx.prioritisation(spark, sf)))
 
 
-def features(spark: SparkSession, sf: str) -> DataFrame:
+def features(spark: SparkSession, sf: str, known: Dated | None = None) -> DataFrame:
     """Temporal features of pairs in trials, with target properties."""
-    temporal = ft.temporal_features(temporalized(spark, sf), written_stages(spark, sf), fx.SOURCES)
+    temporal = ft.temporal_features(*(known or dated(spark, sf)), fx.SOURCES)
     return ft.add_target_features(temporal, target_features(spark, sf))
 
 
-def present_features(spark: SparkSession, sf: str) -> DataFrame:
+def present_features(spark: SparkSession, sf: str, known: Dated | None = None) -> DataFrame:
     """All-time features of every pair, with target properties."""
-    static = ft.static_features(temporalized(spark, sf), written_stages(spark, sf), fx.SOURCES)
+    static = ft.static_features(*(known or dated(spark, sf)), fx.SOURCES)
     return ft.add_target_features(static, target_features(spark, sf))
 
 
@@ -63,8 +74,8 @@ TRAINING = CohortSpec(2, 1996, 1998, 1999)
 EVALUATION = CohortSpec(2, 1999, 1999, 2001)
 
 
-def cohort(spark: SparkSession, sf: str, spec: CohortSpec = TRAINING) -> DataFrame:
-    return modeling_cohort(features(spark, sf), spec)
+def cohort(spark: SparkSession, sf: str, spec: CohortSpec = TRAINING, known: Dated | None = None) -> DataFrame:
+    return modeling_cohort(features(spark, sf, known), spec)
 
 
 def split_cohorts(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,31 +109,35 @@ def with_scores(rows: DataFrame) -> DataFrame:
     return rows.withColumns({name: F.round(score, 6) for name, score in scores.items()})
 
 
-def scored_cohort(spark: SparkSession, sf: str) -> DataFrame:
+def scored_cohort(spark: SparkSession, sf: str, known: Dated | None = None) -> DataFrame:
     """Written down, because every cutoff of a ranking reads it again."""
-    return materialize(with_scores(cohort(spark, sf)))
+    return materialize(with_scores(cohort(spark, sf, known=known)))
 
 
 def long_predictions(scored: DataFrame, keep: list[str]) -> DataFrame:
     return unpivot(scored.select(*keep, *MODEL_NAMES), keep, MODEL_NAMES, "model", "prediction")
 
 
-def opportunities(spark: SparkSession, sf: str) -> DataFrame:
-    table = opportunity_table(present_features(spark, sf), MODELS[0])
+def opportunities(spark: SparkSession, sf: str, known: Dated | None = None) -> DataFrame:
+    table = opportunity_table(materialize(present_features(spark, sf, known)), MODELS[0])
     return table.withColumn("prediction", F.round("prediction", 6))
 
 
-def thresholds(spark: SparkSession, sf: str) -> list[Threshold]:
+def thresholds(spark: SparkSession, sf: str, known: Dated | None = None) -> list[Threshold]:
     """Calibrated on the training cohort."""
-    scored = scored_cohort(spark, sf)
+    scored = scored_cohort(spark, sf, known)
     risk = rk.relative_risk_by_method(scored, [], COMPOSITE_FEATURES, [MODELS[0].slug])
     found = rk.relative_risk_thresholds(materialize(rk.enrich_relative_risk(risk)), long_predictions(scored, PAIR_KEY))
     return collect_thresholds(found, MODELS[0].slug)
 
 
-def statistics(spark: SparkSession, sf: str, limits: list[Threshold]) -> DataFrame:
+def statistics(spark: SparkSession, sf: str) -> tuple[DataFrame, list[Threshold]]:
+    """Statistics per grouping, written once, and the thresholds; both from the same dated evidence."""
+    known = dated(spark, sf)
+    limits = thresholds(spark, sf, known)
     tractability = ev.tractability(fx.targets(spark, sf))
-    return opportunity_statistics(opportunities(spark, sf), tractability, areas(spark, sf), limits)
+    table = opportunity_statistics(opportunities(spark, sf, known), tractability, areas(spark, sf), limits)
+    return materialize(table), limits
 
 
 SWEEP = [

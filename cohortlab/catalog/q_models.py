@@ -164,7 +164,7 @@ def _predict_long(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("run_cv")
 def _run_cv(spark: SparkSession, sf: str) -> DataFrame:
-    rows = materialize(fd.group_kfold(inputs.cohort(spark, sf), 3, "target_id"))
+    rows = materialize(fd.group_kfold(materialize(inputs.cohort(spark, sf)), 3, "target_id"))
     specs = [s for s in md.model_grid(CORE, False, False) if s.slug in (*MODEL_NAMES, "baseline__random_seed_0")]
 
     def score(predictions: DataFrame) -> DataFrame:
@@ -177,9 +177,27 @@ def _run_cv(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(scores)
 
 
+# Each fold is scaled by the ranges and fitted on the moments of the other folds alone.
+@query("ridge_cv_closed", f"""
+WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_linenumber % 3 AS fold, l_quantity/50 AS x1, l_discount*10 AS x2,
+    l_extendedprice/100000 AS y FROM lineitem),
+lim AS (SELECT f.fold, min(x1) AS lo1, max(x1)-min(x1) AS d1, min(x2) AS lo2, max(x2)-min(x2) AS d2
+  FROM (SELECT DISTINCT fold FROM r) f JOIN r ON r.fold<>f.fold GROUP BY 1),
+m AS (SELECT fold, 1e-6::DOUBLE AS a, avg(s1) AS x1, avg(s2) AS x2, avg(y) AS y, count(*)*var_pop(s1) AS s11, count(*)*var_pop(s2) AS s22,
+    count(*)*covar_pop(s1,s2) AS s12, count(*)*covar_pop(s1,y) AS c1, count(*)*covar_pop(s2,y) AS c2
+  FROM (SELECT lim.fold, (x1-lo1)/d1 AS s1, (x2-lo2)/d2 AS s2, y FROM lim JOIN r ON r.fold<>lim.fold) GROUP BY 1),
+w AS (SELECT *, (c1*(s22+a)-c2*s12)/((s11+a)*(s22+a)-s12*s12) AS w1, (c2*(s11+a)-c1*s12)/((s11+a)*(s22+a)-s12*s12) AS w2 FROM m)
+SELECT l_orderkey, l_linenumber, l_partkey, r.fold, {r6('greatest(0.0,least(1.0,w.y-w1*w.x1-w2*w.x2+w1*greatest(0.0,least(1.0,(r.x1-lo1)/d1))'
+    '+w2*greatest(0.0,least(1.0,(r.x2-lo2)/d2))))', 'prediction')}
+FROM r JOIN w ON w.fold=r.fold JOIN lim ON lim.fold=r.fold""")
+def _ridge_cv_closed(spark: SparkSession, sf: str) -> DataFrame:
+    rows = materialize(_ridge_rows(spark, sf).withColumn("fold", F.col("l_linenumber") % 3))
+    return rounded(md.ridge_cv(rows, "fold", ["x1", "x2"], "y", ["l_orderkey", "l_linenumber", "l_partkey"]))
+
+
 @query("ridge_cv")
 def _ridge_cv(spark: SparkSession, sf: str) -> DataFrame:
-    rows = materialize(fd.group_kfold(inputs.cohort(spark, sf), 5, "target_id"))
+    rows = materialize(fd.group_kfold(materialize(inputs.cohort(spark, sf)), 5, "target_id"))
     return rounded(md.ridge_cv(rows, "fold", CORE, OUTCOME, PAIR_KEY, positive=True))
 
 

@@ -46,7 +46,7 @@ def _opportunity_groupings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("opportunity_stats", "SELECT * FROM v_opp_stats")
 def _opportunity_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return inputs.statistics(spark, sf, inputs.thresholds(spark, sf))
+    return inputs.statistics(spark, sf)[0]
 
 
 _MODALITY = ["ALL__ALL"] + [f"{m}__{e}" for m in ("OC", "AB", "SM", "PR") for e in ("ALL", "HIGH", "MED", "LOW")]
@@ -66,7 +66,7 @@ SELECT disease__therapeutic_area AS therapeutic_area, target__tractability__moda
   model__n_pairs__over_threshold AS n FROM v_opp_stats WHERE target_disease__stage='NONE' AND benchmark_name='eva'
   AND target__tractability__evidence IN ('ALL','HIGH','MED','LOW')""", _MODALITY))
 def _opps_by_modality(spark: SparkSession, sf: str) -> DataFrame:
-    return rp.opportunities_by_modality(inputs.statistics(spark, sf, inputs.thresholds(spark, sf)), "eva")
+    return rp.opportunities_by_modality(inputs.statistics(spark, sf)[0], "eva")
 
 
 _STATS_OVER = "SELECT disease__therapeutic_area AS therapeutic_area, model__n_pairs__over_threshold AS n, {} AS label FROM v_opp_stats WHERE {}"
@@ -81,7 +81,7 @@ _CATEGORY += ["threshold__OMIM", "threshold__EVA", "threshold__OTG", "tractabili
     _STATS_OVER.format("'tractability__'||target__tractability__modality", "benchmark_name='eva' AND target_disease__stage='NONE' AND target__tractability__evidence='HIGH'"),
 ]), _CATEGORY))
 def _opps_by_category(spark: SparkSession, sf: str) -> DataFrame:
-    return rp.opportunities_by_category(inputs.statistics(spark, sf, inputs.thresholds(spark, sf)), "eva")
+    return rp.opportunities_by_category(inputs.statistics(spark, sf)[0], "eva")
 
 
 @query("opportunity_funnel", """
@@ -100,8 +100,8 @@ SELECT 'tractability', CASE target__tractability__modality WHEN 'PR' THEN 'PROTA
   CAST(CASE target__tractability__evidence WHEN 'LOW' THEN 0 WHEN 'MED' THEN 1 ELSE 2 END AS INT), n, round(n/nullif(sum(n) OVER (PARTITION BY target__tractability__modality),0)::DOUBLE,6)+0.0
 FROM s WHERE target__tractability__evidence<>'ALL' AND target__tractability__modality<>'ALL' AND benchmark_slug='EVA' AND target_disease__stage='NONE'""")
 def _opportunity_funnel(spark: SparkSession, sf: str) -> DataFrame:
-    limits = inputs.thresholds(spark, sf)
-    return rounded(rp.opportunity_funnel(inputs.statistics(spark, sf, limits), limits))
+    table, limits = inputs.statistics(spark, sf)
+    return rounded(rp.opportunity_funnel(table, limits))
 
 
 _CORE_GROUP = """CASE WHEN is_model_feature THEN '1. model' WHEN contains(method,'__genetic_association__') THEN '2. genetic'
