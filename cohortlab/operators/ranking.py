@@ -1,16 +1,17 @@
 """How much more often do the best-ranked pairs advance? Relative risk by ranking method.
 
-A *method* is an exposure: a feature or model score at or above some cutoff. All cutoffs of a group
-(all rows, or one therapeutic area) form one array; each row lists the methods it is exposed to,
-and one aggregate counts rows and outcomes per method.
+A *method* is an exposure: a feature or model score at or above some cutoff. Each value of a row is
+placed once among the cutoffs of its column in its group (all rows, or one therapeutic area); counts
+per place are a small table from which every method's counts follow.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.functions.frames import dimension_join, materialize
@@ -127,53 +128,60 @@ def exposure_counts(rows: DataFrame, by: Sequence[str], cutoffs: DataFrame, colu
                     outcome: str = OUTCOME) -> DataFrame:
     """Rows and outcomes per group and method, exposed and not.
 
-    Without ``by`` the few hundred cutoffs become a literal; with it they are joined as one array
-    per group.
+    The cutoffs of a column are nested, so each value is placed once among them: place 2k lies above
+    cutoff k and below the next, place 2k - 1 on cutoff k. Counts per (column, place) are a small table,
+    and the counts of a method are sums over its range of places. Without ``by`` the cutoffs are
+    literals; with it each group brings its own as a map.
     """
     by = list(by)
-    position = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column")).cast("int")
-    entry = F.struct("method", position.alias("position"), "test", "cutoff")
-    packed = cutoffs.select(*by, entry.alias("m")).groupBy(*by).agg(F.collect_list("m").alias("_methods"))
-    values = F.array(*[F.col(c).cast("double") for c in columns])
-    wanted = rows.select(*by, *PAIR_KEY, F.col(outcome).alias("_outcome"), values.alias("_values"))
+    key = [*by, "column"]
+    cutoffs = materialize(cutoffs)
+    points = materialize(cutoffs.groupBy(*key).agg(F.sort_array(F.collect_set("cutoff")).alias("_points")))
+    wanted = rows.select(*by, *PAIR_KEY, F.col(outcome).alias("_outcome"), *[F.col(c).cast("double").alias(c) for c in columns])
     if by:
+        packed = points.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("column", "_points"))).alias("_of"))
         ready = dimension_join(wanted, packed, by, spread_by=PAIR_KEY)
+        places = {c: _place_in(F.col(c), F.col("_of")[c]) for c in columns}
     else:
-        found = packed.first()["_methods"]
-        literal = F.array(
-            *[
-                F.struct(*[F.lit(m[name]).alias(name) for name in ("method", "position", "test", "cutoff")])
-                for m in found
-            ]
-        )
-        ready = wanted.withColumn("_methods", literal)
-
-    def exposed(m: Column) -> Column:
-        value = F.element_at("_values", m["position"])
-        return (
-            F.when(m["test"] == POSITIVE, value > 0)
-            .when(m["test"] == EQUAL, value == m["cutoff"])
-            .otherwise(value >= m["cutoff"])
-        )
-
-    everyone = F.lit("")
-    hit = F.concat(F.array(everyone), F.transform(F.filter("_methods", exposed), lambda m: m["method"]))
-    counts = (
-        ready.select(*by, "_outcome", F.explode(hit).alias("method"))
+        ready = wanted
+        places = {row["column"]: _place_among(F.col(row["column"]), row["_points"]) for row in points.collect()}
+    cells = [F.when(place.isNotNull(), F.struct(F.lit(c).alias("column"), place.alias("place"))) for c, place in places.items()]
+    everyone = F.struct(F.lit("").alias("column"), F.lit(0).alias("place"))
+    counted = materialize(
+        ready.select(*by, "_outcome", F.inline(F.array_compact(F.array(everyone, *cells))))
+        .groupBy(*key, "place")
+        .agg(F.count("*").alias("_n"), F.count(F.when(F.col("_outcome"), 1)).alias("_hits"))
+    )
+    at = (2 * F.array_position("_points", F.col("cutoff"))).cast("int")
+    first = F.when(F.col("test") == POSITIVE, at).otherwise(at - 1)
+    ranges = cutoffs.join(points, key).select(
+        *key, "method", first.alias("_first"), F.when(F.col("test") == EQUAL, at - 1).alias("_last")
+    )
+    held = F.col("place").between(F.col("_first"), F.coalesce("_last", "place"))
+    exposed = (
+        ranges.join(counted, key)
+        .where(held)
         .groupBy(*by, "method")
-        .agg(F.count("*").alias("n_exposed"), F.count(F.when(F.col("_outcome"), 1)).alias("n_exposed_true"))
+        .agg(F.sum("_n").alias("n_exposed"), F.sum("_hits").alias("n_exposed_true"))
     )
-    of_group = Window.partitionBy(*by)
-    total = {
-        c: F.max(F.when(F.col("method") == everyone, F.col(c))).over(of_group)
-        for c in ("n_exposed", "n_exposed_true")
-    }
-    return counts.withColumns(
-        {
-            "n_control": total["n_exposed"] - F.col("n_exposed"),
-            "n_control_true": total["n_exposed_true"] - F.col("n_exposed_true"),
-        }
-    ).filter(F.col("method") != everyone)
+    whole = counted.where("column = ''").select(*by, F.col("_n").alias("_all"), F.col("_hits").alias("_all_true"))
+    both = exposed.join(whole, by) if by else exposed.join(F.broadcast(whole))
+    return both.select(
+        *by, "method", "n_exposed", "n_exposed_true",
+        (F.col("_all") - F.col("n_exposed")).alias("n_control"),
+        (F.col("_all_true") - F.col("n_exposed_true")).alias("n_control_true"),
+    )
+
+
+def _place_among(value: Column, points: Sequence[float]) -> Column:
+    """Place of a value among literal cutoffs, as plain comparisons."""
+    steps = [(value > p).cast("int") + (value >= p).cast("int") for p in points]
+    return reduce(lambda a, b: a + b, steps, F.lit(0))
+
+
+def _place_in(value: Column, points: Column) -> Column:
+    below = F.size(F.filter(points, lambda p: p < value))
+    return F.when(value.isNotNull() & points.isNotNull(), below + F.size(F.filter(points, lambda p: p <= value)))
 
 
 def relative_risk_by_method(rows: DataFrame, by: Sequence[str], features: Sequence[str],
