@@ -144,11 +144,11 @@ def _clinical_stages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("augment_evidence", """
-SELECT "targetId","diseaseId","datatypeId","datasourceId",score,literature[1] AS first_paper,
+SELECT "targetId","diseaseId","datatypeId","datasourceId",score,array_to_string(literature, '|') AS papers,
   "publicationYear","clinicalPhase","studyStartDate" FROM v_augmented""")
 def _augment_evidence(spark: SparkSession, sf: str) -> DataFrame:
     augmented = ev.augment_evidence(fx.evidence(spark, sf))
-    return augmented.withColumn("first_paper", F.col("literature")[0]).drop("literature")
+    return augmented.withColumn("papers", F.array_join("literature", "|")).drop("literature")
 
 
 @query("temporalize_evidence", "SELECT * FROM v_temporalized")

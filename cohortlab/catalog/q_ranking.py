@@ -38,12 +38,12 @@ def _exact_quantiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("unpivot_scores", f"""
-SELECT target_id, disease_id, feature, score FROM v_pivot UNPIVOT (score FOR feature IN ({listing(SCORES)})) WHERE year IS NULL""")
+SELECT target_id, disease_id, year, feature, score FROM v_pivot UNPIVOT (score FOR feature IN ({listing(SCORES)}))""")
 def _unpivot_scores(spark: SparkSession, sf: str) -> DataFrame:
     from cohortlab.operators.features import pivot_features
 
-    wide = pivot_features(inputs.temporalized(spark, sf).filter(F.col("year").isNull()), fx.SOURCES)
-    return unpivot(wide, PAIR_KEY, SCORES, "feature", "score", keep_nulls=False)
+    wide = pivot_features(inputs.temporalized(spark, sf), fx.SOURCES)
+    return unpivot(wide, [*PAIR_KEY, "year"], SCORES, "feature", "score", keep_nulls=False)
 
 
 @query("binarize_features", f"""
