@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.catalog import inputs
 from cohortlab.catalog.registry import query, rounded
-from cohortlab.catalog.views import ALL_FEATURES, ENTITY, MODEL_NAMES, OUTCOME, SCORES, TARGET_STATIC, TIME, listing, r6
+from cohortlab.catalog.views import ENTITY, MODEL_NAMES, OUTCOME, SCORES, TARGET_STATIC, TIME, listing, r6
 from cohortlab.functions.frames import materialize
 from cohortlab.functions.naming import PAIR_KEY
 from cohortlab.operators import explain as ex
