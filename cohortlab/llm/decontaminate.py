@@ -82,27 +82,42 @@ def item_seeds(ids: list, texts: list[str | None]) -> Seeds:
     return seeds
 
 
-def best_stretch(same: np.ndarray) -> tuple[int, int]:
-    """Stretch of the best score, a difference costing as much as ``MIN_SAME`` allows for."""
-    score = np.where(same, 100 - MIN_SAME, -MIN_SAME)
-    total = np.concatenate(([0], np.cumsum(score)))
-    lowest = np.minimum.accumulate(total)
-    end = int(np.argmax(total - lowest))
-    start = int(np.flatnonzero(total[: end + 1] == lowest[end])[-1])
+def longest_stretch(same: np.ndarray, least: int) -> tuple[int, int] | None:
+    """The longest stretch of at least ``least`` words that agrees enough, if there is one, without
+    differing words at its ends as far as ``least`` allows."""
+    if len(same) < least:
+        return None
+    # A difference costs as much as ``MIN_SAME`` allows for, so a stretch agrees enough if its total is not negative.
+    total = np.concatenate(([0], np.cumsum(np.where(same, 100 - MIN_SAME, -MIN_SAME))))
+    # The first place with a total no higher than that at the end is where the running minimum gets there.
+    first = np.searchsorted(-np.minimum.accumulate(total), -total)
+    length = np.arange(len(total)) - first
+    end = int(np.argmax(length))
+    start = int(first[end])
+    if end - start < least:
+        return None
+    while end - start > least and not same[end - 1]:
+        end -= 1
+    while end - start > least and not same[start]:
+        start += 1
     return start, end
 
 
 def overlaps_in(words: np.ndarray, hits: set[tuple[int, int]], seeds: Seeds) -> list[tuple]:
-    """Verified stretches of one document: the longest per item among the hit diagonals."""
+    """Verified stretches of one document: per item, of the longest on each hit diagonal the one with
+    most words that agree."""
     best: dict[int, tuple] = {}
-    for item, shift in hits:
+    for item, shift in sorted(hits):
         theirs = seeds.words[item]
         low, high = max(0, -shift), min(len(theirs), len(words) - shift)
         same = words[low + shift : high + shift] == theirs[low:high]
-        start, end = best_stretch(same)
-        n, equal = end - start, int(same[start:end].sum())
-        if n >= min(MIN_WORDS, len(theirs)) and 100 * equal >= MIN_SAME * n and (item not in best or equal > best[item][3]):
-            best[item] = (low + start + shift, low + start, n, equal)
+        found = longest_stretch(same, min(MIN_WORDS, len(theirs)))
+        if found is None:
+            continue
+        start, end = found
+        equal = int(same[start:end].sum())
+        if item not in best or equal > best[item][3]:
+            best[item] = (low + start + shift, low + start, end - start, equal)
     return [(seeds.ids[item], *best[item]) for item in sorted(best)]
 
 

@@ -225,6 +225,34 @@ def test_masks_accept_any_two_substitutions_in_twelve_words():
         )
 
 
+def test_any_stretch_that_agrees_enough_is_accepted():
+    least, share = decontaminate.MIN_WORDS, decontaminate.MIN_SAME
+    for n in range(10, 21):
+        same = (np.arange(1 << n)[:, None] >> np.arange(n)) & 1 > 0
+        total = np.concatenate((np.zeros((1 << n, 1), int), np.cumsum(same, 1)), 1)
+        longest = np.zeros(1 << n, int)
+        for a in range(n):
+            for b in range(a + least, n + 1):
+                longest = np.where(100 * (total[:, b] - total[:, a]) >= share * (b - a), np.maximum(longest, b - a), longest)
+        # Every pattern of up to 14 words; of longer ones every 97th and the first that the shortest stretch decides.
+        rows = range(1 << n) if n <= 14 else [*range(0, 1 << n, 97), *np.flatnonzero(longest == least)[:2000]]
+        for row in rows:
+            found = decontaminate.longest_stretch(same[row], least)
+            assert (found is not None) == (longest[row] > 0)
+            if found:
+                start, end = found
+                assert least <= end - start <= longest[row] and 100 * same[row, start:end].sum() >= share * (end - start)
+
+
+def test_exact_run_does_not_hide_a_longer_stretch(spark):
+    item = [f"w{i}" for i in range(13)]
+    text = [*item[:11], "changed", item[12]]
+    docs = edge.documents(spark, [(1, " ".join(text), "en")])
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(item[:12]))], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.n_words, r.n_same) for r in decontaminate.find_overlaps(docs, bench).collect()}
+    assert {(1, 7, 13, 12), (1, 8, 12, 11)} <= got
+
+
 def test_planted_passages_are_found_and_clean_ones_left(spark):
     random.seed(8)
     vocabulary = [f"v{i}" for i in range(3000)]
