@@ -1,10 +1,10 @@
 """Benchmark decontamination with spaced seeds.
 
-Fixed masks over windows of ``SPAN`` words ignore some positions, so a window still meets its copy
-when words at those positions were substituted. Hashes of the masked windows of the test items are
-joined with those of the documents, and around every hit the two texts are compared word by word on
-that diagonal: a stretch counts that has at least ``MIN_WORDS`` words (or the whole item, if it is
-shorter) of which at least ``MIN_SAME`` of 100 agree.
+Fixed masks over windows of words ignore some positions, so a window still meets its copy when words
+at those positions were substituted. Hashes of the masked windows of the test items are joined with
+those of the documents, and around every hit the two texts are compared word by word on that diagonal:
+a stretch counts that has at least ``MIN_WORDS`` words (or the whole item, if it is shorter) of which
+at least ``MIN_SAME`` of 100 agree. Every such stretch has a masked window without a substitution.
 
 Test items are taken in blocks of at most ``BLOCK_BYTES`` of text, one scan of the documents per
 block, so what is broadcast has a fixed bound and a test set of any size is handled. Documents are
@@ -28,11 +28,33 @@ SPAN = 10
 #: Positions that are compared; the others may differ. Any two substitutions in twelve words leave a
 #: window that one of the masks accepts.
 MASKS = ("1100010111", "1001100111", "1101101001", "1010011101")
+#: With these, any 3 substitutions in 12 words do, any 4 in 16 and any 5 in 20. Each longer stretch that
+#: agrees enough holds one of these, or falls into two of which one agrees enough.
+MORE_MASKS = ("11111001", "110101000011", "1110001011", "1001011011", "110000101011")
+#: By length, masks over whole items below ``MIN_WORDS``. Of up to three words none may differ, of up to
+#: seven one and of up to eleven two.
+SHORT_MASKS = {
+    1: ("1",),
+    2: ("11",),
+    3: ("111",),
+    4: ("0111", "1011", "1101", "1110"),
+    5: ("00111", "11001", "01110"),
+    6: ("001111", "110011", "111100"),
+    7: ("0011111", "1100111", "1111001", "0111110"),
+    8: ("00001111", "01110001", "10010110", "11101000", "10011001", "01100110"),
+    9: ("000011111", "011100011", "101101100", "110010101", "110011010", "001110110", "001111001", "010001111"),
+    10: (
+        "0000111111", "0111000111", "0111111000", "1001011011", "1001101101", "1001110110", "1110001110", "1110110001", "1111001001",
+    ),
+    11: (
+        "00000111111", "01111000011", "10011011100", "11100100101", "11100011010", "10011100011", "01111100100", "00011111001",
+    ),
+}
 MIN_WORDS = 12
 MIN_SAME = 75
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 _TABLE_BITS = 22
-_KEYS = mix(np.arange(1, SPAN + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+_KEYS = mix(np.arange(1, MIN_WORDS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def masked_hashes(hashes: np.ndarray, mask: str) -> np.ndarray:
@@ -42,7 +64,7 @@ def masked_hashes(hashes: np.ndarray, mask: str) -> np.ndarray:
     if n > 0:
         for k, kept in enumerate(mask):
             if kept == "1":
-                total += hashes[k : k + n] * _KEYS[k % SPAN]
+                total += hashes[k : k + n] * _KEYS[k]
     return mix(total ^ np.uint64(len(mask)))
 
 
@@ -62,15 +84,17 @@ class Seeds:
 def item_seeds(ids: list, texts: list[str | None]) -> Seeds:
     table = word_table(pa.array([text or "" for text in texts], pa.string()))
     words = [table.hashes[a:b] for a, b in zip(table.offsets, table.offsets[1:])]
-    # Items shorter than the span are compared whole, by a mask of their own length.
-    short = sorted({len(w) for w in words if 0 < len(w) < SPAN})
-    masks = [*MASKS, *("1" * n for n in short)]
-    seeds = Seeds(ids, words, masks, [], [], [], [])
-    for mask in masks:
-        fits = [i for i, w in enumerate(words) if (len(w) >= SPAN if len(mask) == SPAN else len(w) == len(mask))]
+    # Items below the least stretch are compared whole, by masks of their own length (0: all others).
+    by_length: dict[int, list[int]] = {}
+    for i, own in enumerate(words):
+        if len(own):
+            by_length.setdefault(len(own) if len(own) < MIN_WORDS else 0, []).append(i)
+    pairs = [(mask, fits) for n, fits in sorted(by_length.items()) for mask in (SHORT_MASKS[n] if n else (*MASKS, *MORE_MASKS))]
+    seeds = Seeds(ids, words, [mask for mask, _ in pairs], [], [], [], [])
+    for mask, fits in pairs:
         parts = [masked_hashes(words[i], mask) for i in fits]
-        item = np.repeat(np.array(fits, np.int64), [len(p) for p in parts])
-        at = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(p)) for p in parts]])
+        item = np.repeat(np.array(fits, np.int32), [len(p) for p in parts])
+        at = np.concatenate([np.zeros(0, np.int32), *[np.arange(len(p), dtype=np.int32) for p in parts]])
         hashes = np.concatenate([np.zeros(0, np.uint64), *parts])
         order = np.argsort(hashes, kind="stable")
         present = np.zeros(1 << _TABLE_BITS, bool)

@@ -225,6 +225,33 @@ def test_masks_accept_any_two_substitutions_in_twelve_words():
         )
 
 
+def test_masks_accept_all_substitutions_of_valid_stretches():
+    for n in range(1, 24):
+        masks = decontaminate.SHORT_MASKS[n] if n < decontaminate.MIN_WORDS else (*decontaminate.MASKS, *decontaminate.MORE_MASKS)
+        for k in range(n * (100 - decontaminate.MIN_SAME) // 100 + 1):
+            changed = np.array([sum(1 << c for c in cs) for cs in itertools.combinations(range(n), k)])
+            free = np.zeros(len(changed), bool)
+            for mask in masks:
+                kept = sum(1 << i for i, c in enumerate(mask) if c == "1")
+                for start in range(n - len(mask) + 1):
+                    free |= changed & (kept << start) == 0
+            assert free.all(), (n, k)
+
+
+def test_short_items_are_found_with_substitutions(spark):
+    rows, items, want = [], [], set()
+    for n in range(1, 13):
+        item = [f"s{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(item)))
+        for k in range(n // 4 + 2):
+            for changed in itertools.combinations(range(n), k):
+                rows.append((len(rows), " ".join(["before", *("other" if i in changed else w for i, w in enumerate(item)), "after"]), "en"))
+                if 4 * k <= n:
+                    want.add((rows[-1][0], n))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_overlaps(edge.documents(spark, rows), bench).collect()} == want
+
+
 def test_any_stretch_that_agrees_enough_is_accepted():
     least, share = decontaminate.MIN_WORDS, decontaminate.MIN_SAME
     for n in range(10, 21):
