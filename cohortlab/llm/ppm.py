@@ -6,12 +6,14 @@ that occurred; where it did not follow, the model escapes (method C: as many esc
 symbols) to the next shorter context, without the symbols of the context it left (exclusion), and at
 last to a uniform choice. The score is the log10 probability of a text with its end mark.
 
-Nodes below 1 / ``NODES`` of the training bytes are left out, at every size and in every order alike,
-so there are at most ``NODES`` nodes per order: what is broadcast has a fixed bound. What a context
-lost in this way counts as escapes from it.
-
-The base counts words. Words of all texts meet by hash in the shuffle, packed by slice of texts; there
-they are counted over the training texts, and each text's part of its score goes back packed as well.
+Every node is kept. Those of orders up to ``SHARED`` are broadcast: they number at most 256 to the power
+of ``SHARED`` + 1, whatever the size of the corpus. The others are dealt by the hash of the last bytes of
+their context. The distinct grams of each group of slices of texts meet them there, packed, and go back
+to the group's texts with their log probabilities. ``NODES`` can leave out nodes below 1 / ``NODES`` of the training
+bytes; what a context loses in this way counts as escapes from it.
+
+The base counts words. Words of all texts meet by hash in the same shuffle, packed by slice of texts;
+there they are counted over the training texts, and each text's part of its score goes back packed as well.
 """
 
 from __future__ import annotations
@@ -24,18 +26,24 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cohortlab.functions.frames import materialize
 from cohortlab.llm.tables import fold, shuffle_partitions
-from cohortlab.llm.words import runs, slices_of, sum_by_row, text_buffer, word_table
+from cohortlab.llm.words import mix, runs, slices_of, sum_by_row, text_buffer, word_table
 
 FOLDS, HELD_OUT = 5, 1
 ORDER = 5
-NODES = 1 << 20
+#: Highest order whose nodes are broadcast; longer contexts are dealt by one byte more.
+SHARED = 2
+#: None keeps all nodes.
+NODES: int | None = None
 #: Marks that do not occur in UTF-8.
 START, END = 0xFE, 0xFF
 SYMBOLS = 255
 FLUSH_GRAMS = 1 << 19
+#: Slices of texts whose grams are looked up together, and the level at which texts are compressed.
+GROUP, LEVEL = 8, 9
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -113,47 +121,104 @@ def _found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, table[at] == keys
 
 
-def build_trie(nodes: list[np.ndarray], counts: list[np.ndarray], total: int) -> Trie:
+def build_trie(nodes: list[np.ndarray], counts: list[np.ndarray], total: int, limit: int | None) -> Trie:
     """``nodes[k]``: sorted context (k bytes) and symbol in one number; ``counts[k]``: how often."""
-    trie = Trie([], [], [], nodes, counts, [], [])
+    trie = Trie([], [], [], [], [], [], [])
     for k, (own, number) in enumerate(zip(nodes, counts)):
+        every = runs(own >> np.uint64(8))
+        before = np.add.reduceat(number, every) if len(every) else number[:0]
+        before = np.repeat(before, np.diff(np.append(every, len(own))))
+        if limit is not None:
+            kept = number * limit >= total
+            own, number, before = own[kept], number[kept], before[kept]
+        trie.nodes.append(own)
+        trie.counts.append(number)
         context = own >> np.uint64(8)
         heads = runs(context)
         trie.contexts.append(context[heads])
         trie.totals.append(np.add.reduceat(number, heads) if len(heads) else number[:0])
         trie.distinct.append(np.diff(np.append(heads, len(own))))
         if k:
-            at, seen = _found(nodes[k - 1], trie.contexts[k])
-            before = np.where(seen, counts[k - 1][at] if len(counts[k - 1]) else 0, 0)
-            at, seen = _found(nodes[k - 1], own & np.uint64((1 << (8 * k)) - 1))
-            below = np.where(seen, counts[k - 1][at] if len(counts[k - 1]) else 0, 0)
+            at, seen = _found(trie.nodes[k - 1], own & np.uint64((1 << (8 * k)) - 1))
+            below = np.where(seen, trie.counts[k - 1][at] if len(trie.counts[k - 1]) else 0, 0)
             trie.excluded.append(np.add.reduceat(below, heads) if len(heads) else below[:0])
         else:
-            before = np.full(len(heads), total)
             trie.excluded.append(np.zeros(len(heads), np.int64))
-        trie.pruned.append(np.maximum(before - trie.totals[k], 0))
+        # Start marks are no symbols, so a context that ends with one has no count of its own.
+        marked = (trie.contexts[k] & np.uint64(0xFF)) == START
+        trie.pruned.append(np.where(marked, 0, before[heads] - trie.totals[k]))
     return trie
 
 
-def train(texts: DataFrame) -> Trie:
-    """Trie of the training texts (column ``text``)."""
+def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their sums."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    heads = runs(keys)
+    return keys[heads], np.add.reduceat(counts[order], heads) if len(heads) else counts[:0]
+
+
+@dataclass
+class Low:
+    """Nodes and counts of the orders up to ``SHARED``, the training bytes and the limit of nodes."""
+
+    nodes: list[np.ndarray]
+    counts: list[np.ndarray]
+    total: int
+    limit: int | None
+
+
+def train(texts: DataFrame) -> tuple[DataFrame, Low]:
+    """Counts of all grams of the training texts (column ``text``) as a written table, and low orders."""
     counted = materialize(
         texts.select("text").mapInArrow(_count_grams, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     )
     total = counted.agg(F.sum("n")).first()[0] or 0
-    nodes, counts = [], []
-    for k in range(ORDER + 1):
-        own = (
-            counted.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("node"))
-            .agg(F.sum("n").alias("n"))
-            .where(F.col("n") * NODES >= F.lit(total))
-            .toPandas()
-        )
-        keys = own["node"].to_numpy(np.int64).astype(np.uint64)
-        order = np.argsort(keys)
-        nodes.append(keys[order])
-        counts.append(own["n"].to_numpy(np.int64)[order])
-    return build_trie(nodes, counts, total)
+    low = Low([], [], total, NODES)
+    for k in range(SHARED + 1):
+        node = F.col("gram").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1))
+        own = counted.groupBy(node.alias("node")).agg(F.sum("n").alias("n")).toPandas()
+        keys, counts = _merged(own["node"].to_numpy(np.int64).astype(np.uint64), own["n"].to_numpy(np.int64))
+        low.nodes.append(keys)
+        low.counts.append(counts)
+    return counted, low
+
+
+def part_trie(keys: np.ndarray, counts: np.ndarray, low: Low) -> Trie:
+    """Trie of the low orders and of all longer contexts that were dealt to one part."""
+    nodes, numbers = list(low.nodes), list(low.counts)
+    for k in range(SHARED + 1, ORDER + 1):
+        own, number = _merged(keys & np.uint64((1 << (8 * (k + 1))) - 1), counts)
+        nodes.append(own)
+        numbers.append(number)
+    return build_trie(nodes, numbers, low.total, low.limit)
+
+
+def gram_parts(grams: np.ndarray, parts: int) -> np.ndarray:
+    """Part of each gram, by the last bytes of its context."""
+    context = (grams >> np.uint64(8)) & np.uint64((1 << (8 * (SHARED + 1))) - 1)
+    return (mix(context) % np.uint64(parts)).astype(np.int64)
+
+
+def by_part(grams: np.ndarray, parts: int) -> tuple[np.ndarray, Iterator[tuple[int, int, int]]]:
+    """Order of sorted grams by part, and part, start and end of each part in it."""
+    place = gram_parts(grams, parts)
+    order = np.argsort(place, kind="stable")
+    place = place[order]
+    edges = np.append(runs(place), len(place))
+    return order, ((int(place[a]), int(a), int(b)) for a, b in zip(edges, edges[1:]))
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes, led by how many there are."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+    return len(values).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes, kind: type) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[8:], width * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).reshape(n)
 
 
 def gram_log10(grams: np.ndarray, trie: Trie) -> np.ndarray:
@@ -187,38 +252,74 @@ def gram_log10(grams: np.ndarray, trie: Trie) -> np.ndarray:
     return result
 
 
-def text_log10(column: pa.Array, trie: Trie) -> np.ndarray:
-    """Score of each text: every distinct gram of a slice is looked up once."""
+def text_log10(column: pa.Array, known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Score of each text of a slice from sorted grams, all of the slice's among them, and their log
+    probabilities."""
     grams, offsets = byte_grams(column)
     order = np.argsort(grams)
     ordered = grams[order]
     heads = runs(ordered)
-    values = np.repeat(gram_log10(ordered[heads], trie), np.diff(np.append(heads, len(ordered))))
     each = np.empty(len(grams))
-    each[order] = values
+    each[order] = np.repeat(values[np.searchsorted(known, ordered[heads])], np.diff(np.append(heads, len(ordered))))
     return sum_by_row(each, offsets)
 
 
-def _pack_words(shared, parts: int):
-    """Per slice of texts: one row of kind 0 with the texts' own columns, and one row of kind 1 per
-    part of the word hashes with the words, the texts that hold them and how often."""
+PACKED = "part int, slice bigint, kind int, a binary, b binary, c binary, d binary"
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["part", "slice", "kind", "a", "b", "c", "d"])
+
+
+def _pack_counts(parts: int):
+    """Rows of kind 3: grams and counts of one part."""
+
+    def shown(keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        grams, number = _merged(np.concatenate(keys), np.concatenate(counts))
+        order, spans = by_part(grams, parts)
+        return _packed([(part, -1, 3, squeezed(grams[order[a:b]]), squeezed(number[order[a:b]]), b"", b"") for part, a, b in spans])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number = TaskContext.get().partitionId(), 0
+        keys, counts, held = [], [], 0
+        for batch in batches:
+            keys.append(batch.column(0).to_numpy().astype(np.uint64))
+            counts.append(batch.column(1).to_numpy())
+            held += batch.num_rows
+            if held >= FLUSH_GRAMS:
+                yield shown(keys, counts)
+                keys, counts, held = [], [], 0
+        if held:
+            yield shown(keys, counts)
+
+    return pack
+
+
+def _pack_texts(parts: int):
+    """Per slice of texts: one row of kind 0 with the texts and their own columns, and one row of kind 1
+    per part of the word hashes with the words, the texts that hold them and how often. Per group of
+    slices: one row of kind 2 per part of the contexts with the distinct grams. Texts are numbered and
+    all rows named by group."""
+
+    def grams_of(known: np.ndarray, name: int) -> pa.RecordBatch:
+        order, spans = by_part(known, parts)
+        return _packed([(p, name, 2, squeezed(known[order[a:b]]), b"", b"", b"") for p, a, b in spans])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number, first, known = TaskContext.get().partitionId(), 0, 0, np.zeros(0, np.uint64)
         for batch in batches:
             for part in slices_of(batch, "text"):
                 table, rows = word_table(part.column(1)), part.num_rows
-                name = task << 32 | number
-                number += 1
+                name = task << 32 | number // GROUP
                 held_out = np.asarray(part.column(2).to_numpy(zero_copy_only=False), bool)
                 info = pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(table.counts.astype(np.int64) + 1), pa.array(text_log10(part.column(1), shared.value))],
-                    names=["doc_id", "held_out", "n_tokens", "score"],
+                    [part.column(0), part.column(2), pa.array(table.counts.astype(np.int64) + 1), part.column(1)],
+                    names=["doc_id", "held_out", "n_tokens", "text"],
                 )
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, info.schema) as writer:
+                with pa.ipc.new_stream(sink, info.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as writer:
                     writer.write_batch(info)
-                out = [(name % parts, name, 0, sink.getvalue().to_pybytes(), b"", b"", b"")]
+                out = [(name % parts, name, 0, sink.getvalue().to_pybytes(), first.to_bytes(8, "little"), b"", b"")]
                 # The end of each text is a word of its own.
                 hashes = np.concatenate((table.hashes, np.zeros(rows, np.uint64)))
                 owner = np.concatenate((table.owner, np.arange(rows)))
@@ -237,38 +338,73 @@ def _pack_words(shared, parts: int):
                     heads = runs(hashes[low:high])
                     spread = np.diff(np.append(heads, high - low)).astype(np.uint32)
                     # Texts that are learnt from are marked in the lowest bit.
-                    who = (owner[low:high].astype(np.uint32) << np.uint32(1)) | learnt[low:high]
+                    who = ((owner[low:high] + first).astype(np.uint32) << np.uint32(1)) | learnt[low:high]
                     out.append(
-                        (int(place[low]), name, 1, hashes[low:high][heads].tobytes(), spread.tobytes(), who.astype(np.uint32).tobytes(), times[low:high].astype(np.uint32).tobytes())
+                        (int(place[low]), name, 1, hashes[low:high][heads].tobytes(), squeezed(spread), squeezed(who.astype(np.uint32)), squeezed(times[low:high].astype(np.uint32)))
                     )
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4))],
-                    names=["part", "slice", "kind", "a", "b", "c", "d"],
-                )
+                yield _packed(out)
+                grams, _ = byte_grams(part.column(1))
+                grams.sort()
+                known = np.union1d(known, grams[runs(grams)])
+                number, first = number + 1, first + rows
+                if number % GROUP == 0:
+                    yield grams_of(known, name)
+                    first, known = 0, known[:0]
+        if len(known):
+            yield grams_of(known, name)
 
     return pack
 
 
+def _weighed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+    names = ["slice", "kind", "a", "b", "c", "tokens", "words"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+
+def _weigh(shared):
+    """What meets in a task: words (kinds 0 to 2 of ``_weigh_words``), and grams with the counts of their
+    part, whose log probabilities go back with them (kind 3)."""
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, keys, counts = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+
+        def others() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kind = batch.column(2).to_numpy()
+                for i in np.flatnonzero(kind == 2):
+                    asked.append((batch.column(1)[i].as_py(), unsqueezed(batch.column(3)[i].as_py(), np.uint64)))
+                for i in np.flatnonzero(kind == 3):
+                    keys.append(unsqueezed(batch.column(3)[i].as_py(), np.uint64))
+                    counts.append(unsqueezed(batch.column(4)[i].as_py(), np.int64))
+                yield batch.filter(pa.array(kind < 2))
+
+        yield from _weigh_words(others())
+        if asked:
+            trie = part_trie(np.concatenate(keys), np.concatenate(counts), shared.value)
+            grams, place = np.unique(np.concatenate([own for _, own in asked]), return_inverse=True)
+            values, at = gram_log10(grams, trie), 0
+            for name, own in asked:
+                yield _weighed([(name, 3, squeezed(own), squeezed(values[place[at : at + len(own)]]), b"", 0, 0)])
+                at += len(own)
+
+    return weigh
+
+
 def _weigh_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the words of a part, and each text's sum over them, packed by slice (kind 1);
-    the part's tokens and distinct words (kind 2); texts' own columns go through (kind 0)."""
+    the part's tokens and distinct words (kind 2); texts and their own columns go through (kind 0)."""
     words, learnt, who, times, spans = [], [], [], [], []
-    schema = ["slice", "kind", "a", "b", "c", "tokens", "words"]
-
-    def shown(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=schema)
-
     for batch in batches:
         for part, name, kind, a, b, c, d in zip(*[batch.column(i).to_pylist() for i in range(7)]):
             if kind == 0:
-                yield shown([(name, 0, a, b"", b"", 0, 0)])
+                yield _weighed([(name, 0, a, b, b"", 0, 0)])
                 continue
-            spread = np.frombuffer(b, np.uint32).astype(np.int64)
+            spread = unsqueezed(b, np.uint32).astype(np.int64)
             words.append(np.frombuffer(a, np.uint64))
-            texts = np.frombuffer(c, np.uint32)
+            texts = unsqueezed(c, np.uint32)
             who.append(texts)
-            times.append(np.frombuffer(d, np.uint32))
+            times.append(unsqueezed(d, np.uint32))
             spans.append((name, spread))
             ends = np.cumsum(spread)
             weight = np.concatenate(([0], np.cumsum(times[-1].astype(np.int64) * (texts & 1))))
@@ -278,7 +414,7 @@ def _weigh_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     every = np.concatenate(words)
     names, place = np.unique(every, return_inverse=True)
     total = np.bincount(place, np.concatenate(learnt), len(names)).astype(np.int64)
-    yield shown([(-1, 2, b"", b"", b"", int(total.sum()), int((total > 0).sum()))])
+    yield _weighed([(-1, 2, b"", b"", b"", int(total.sum()), int((total > 0).sum()))])
     at = 0
     for (name, spread), texts, number in zip(spans, who, times):
         count = np.repeat(total[place[at : at + len(spread)]], spread)
@@ -287,37 +423,43 @@ def _weigh_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.bincount(rows, number * np.log10(count + 0.5))
         known = np.bincount(rows, number * (count > 0), len(sums)).astype(np.uint32)
         held = np.flatnonzero(np.bincount(rows))
-        yield shown([(name, 1, held.astype(np.uint32).tobytes(), sums[held].tobytes(), known[held].tobytes(), 0, 0)])
-
-
-def _finish(tokens: int, words: int):
-    def finish(rows: pa.Table) -> pa.Table:
-        own, parts = None, []
-        for k, a, b, c in zip(*[rows.column(i).to_pylist() for i in (1, 2, 3, 4)]):
-            if k == 0:
-                own = pa.ipc.open_stream(a).read_all()
-            else:
-                parts.append((np.frombuffer(a, np.uint32), np.frombuffer(b, np.float64), np.frombuffer(c, np.uint32)))
-        sums, known = np.zeros(own.num_rows), np.zeros(own.num_rows, np.int64)
-        # A fixed order of addition gives the same digits whatever the order of arrival.
-        for at, part, seen in sorted(parts, key=lambda p: (p[0].tobytes(), p[1].tobytes())):
-            sums[at] += part
-            known[at] += seen
-        n = own.column("n_tokens").to_numpy()
-        base = sums - n * np.log10(tokens + 0.5 * (words + 1))
-        return pa.table(
-            {
-                "doc_id": own.column("doc_id"),
-                "held_out": own.column("held_out"),
-                "n_tokens": own.column("n_tokens"),
-                "n_known": pa.array(known),
-                "train_tokens": pa.array(np.full(len(n), tokens, np.int64)),
-                "base_score": pa.array(base),
-                "score": own.column("score"),
-            }
-        )
-
-    return finish
+        yield _weighed([(name, 1, held.astype(np.uint32).tobytes(), sums[held].tobytes(), known[held].tobytes(), 0, 0)])
+
+
+def _finish(rows: pa.Table) -> pa.Table:
+    """Scores of the texts of a group, the base without its totals; rows without a text (``tokens`` set)
+    carry the totals of the parts."""
+    if not rows.num_rows or rows.column(1)[0].as_py() == 2:
+        n = rows.num_rows
+        nothing = {name: pa.nulls(n, kind) for name, kind in (("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("sums", pa.float64()), ("score", pa.float64()))}
+        return pa.table({**nothing, "tokens": rows.column("tokens"), "words": rows.column("words")})
+    texts, parts, grams, values = {}, [], [], []
+    for k, a, b, c in zip(*[rows.column(i).to_pylist() for i in (1, 2, 3, 4)]):
+        if k == 0:
+            texts[int.from_bytes(b, "little")] = a
+        elif k == 3:
+            grams.append(unsqueezed(a, np.uint64))
+            values.append(unsqueezed(b, np.float64))
+        else:
+            parts.append((np.frombuffer(a, np.uint32), np.frombuffer(b, np.float64), np.frombuffer(c, np.uint32)))
+    grams, values = np.concatenate(grams), np.concatenate(values)
+    order = np.argsort(grams)
+    grams, values = grams[order], values[order]
+    own, scores = [], []
+    for first in sorted(texts):
+        table = pa.ipc.open_stream(texts[first]).read_all()
+        scores.append(text_log10(table.column("text").combine_chunks(), grams, values))
+        own.append(table.drop_columns("text"))
+    own = pa.concat_tables(own)
+    sums, known = np.zeros(own.num_rows), np.zeros(own.num_rows, np.int64)
+    # A fixed order of addition gives the same digits whatever the order of arrival.
+    for at, part, seen in sorted(parts, key=lambda p: (p[0].tobytes(), p[1].tobytes())):
+        sums[at] += part
+        known[at] += seen
+    nothing = pa.nulls(own.num_rows, pa.int64())
+    score = pa.array(np.concatenate(scores))
+    own = own.append_column("n_known", pa.array(known)).append_column("sums", pa.array(sums)).append_column("score", score)
+    return own.append_column("tokens", nothing).append_column("words", nothing)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -331,17 +473,24 @@ def score_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     texts = docs.select("doc_id", "text", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"))
-    shared = spark.sparkContext.broadcast(train(texts.where("not held_out")))
-    packed = texts.mapInArrow(_pack_words(shared, parts), "part int, slice bigint, kind int, a binary, b binary, c binary, d binary")
+    counted, low = train(texts.where("not held_out"))
+    packed = texts.mapInArrow(_pack_texts(parts), PACKED).union(counted.mapInArrow(_pack_counts(parts), PACKED))
     schema = "slice bigint, kind int, a binary, b binary, c binary, tokens bigint, words bigint"
-    weighed = materialize(packed.repartition(parts, "part").mapInArrow(_weigh_words, schema))
-    totals = weighed.where("kind = 2").agg(F.sum("tokens"), F.sum("words")).first()
+    weighed = packed.repartition(parts, "part").mapInArrow(_weigh(spark.sparkContext.broadcast(low)), schema)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return (
-        weighed.where("kind < 2")
-        .groupBy("slice")
-        .applyInArrow(
-            _finish(totals[0] or 0, totals[1] or 0),
-            f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
-        )
+    shape = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, sums double, score double, tokens bigint, words bigint"
+
+    def finish(rows: pa.Table) -> pa.Table:
+        done = _finish(rows)
+        if "doc_id" not in done.column_names:
+            done = done.append_column("doc_id", pa.nulls(done.num_rows, id_kind))
+        return done.select(["doc_id", "held_out", "n_tokens", "n_known", "sums", "score", "tokens", "words"])
+
+    id_kind = to_arrow_type(docs.schema["doc_id"].dataType)
+    done = materialize(weighed.groupBy("slice").applyInArrow(finish, shape))
+    tokens, words = done.agg(F.sum("tokens"), F.sum("words")).first()
+    tokens, words = tokens or 0, words or 0
+    base = F.col("sums") - F.col("n_tokens") * F.lit(float(np.log10(tokens + 0.5 * (words + 1))))
+    return done.where("tokens IS NULL").select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score"
     )

@@ -217,6 +217,20 @@ def test_scores_equal_plain_models(spark, monkeypatch):
     assert ppm.score_documents(edge.documents(spark, rows).limit(0)).count() == 0
 
 
+def test_rare_grams_of_a_large_corpus_are_kept(spark, monkeypatch):
+    random.seed(12)
+    rows = [(i, " ".join(random.choices(["the", "of", "and", "to", "in"], k=500))) for i in range(900)]
+    learnt = [i for i in range(900, 950) if edge.fold(i, 5) != 1][:1] + [i for i in range(950, 1000) if edge.fold(i, 5) == 1][:1]
+    rows += [(i, "zyxwvut qponmlk jihgfed") for i in learnt]
+    assert sum(len(t) + 1 for i, t in rows if edge.fold(i, 5) != 1) > 1 << 20
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in ppm.score_documents(docs).collect()}
+    monkeypatch.setattr(ppm, "NODES", 1 << 62)  # a limit that no node is below
+    want = dict(zip([i for i, _ in rows], plain_ppm(rows)))
+    assert np.allclose([got[i] for i in want], list(want.values()), rtol=1e-9, atol=1e-9)
+    assert got[learnt[1]] > -25
+
+
 def test_masks_accept_any_two_substitutions_in_twelve_words():
     n, span = decontaminate.MIN_WORDS, decontaminate.SPAN
     for changed in itertools.combinations(range(n), 2):
