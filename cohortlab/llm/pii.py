@@ -2,13 +2,13 @@
 
 Pattern matches (addresses, card and phone numbers) are the protected entities. The corpus tells how
 strongly a term reveals an entity: with n(e) distinct contexts of entity e, n(e, t) of them holding
-term t, n(t) occurrences of t and N of all words, the disclosed share of e's information is
+term t, n(t) occurrences of t and N of all words in distinct texts, the disclosed share of e's information is
 
     PMI(e; t) / IC(e) = log(n(e, t) N / (n(e) n(t))) / log(N / n(e)).
 
 Terms with a share of at least ``DISCLOSURE`` and ``SUPPORT`` distinct contexts are generalised in every
-document that holds the entity, and removed from ``REMOVAL`` on. Copies of a context count once, so a
-copied document reveals nothing by its copies. (After Sanchez and Batet's C-sanitized model.)
+document that holds the entity, and removed from ``REMOVAL`` on. Copies of a context and of a text count
+once, so a copied document reveals and hides nothing by its copies. (After Sanchez and Batet's C-sanitized model.)
 """
 
 from __future__ import annotations
@@ -138,7 +138,7 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     )
     joint = materialize(joint.join(seen, "entity"))
     candidates = joint.select("term").distinct().withColumn("known", F.lit(True))
-    words = docs.select(F.explode(words_of(F.col("_text"))).alias("term"))
+    words = docs.select("_text").distinct().select(F.explode(words_of(F.col("_text"))).alias("term"))
     counted = (
         dimension_join(words, candidates, ["term"], "left", spread_by=["term"])
         .groupBy(F.when(F.col("known"), F.col("term")).alias("term"))

@@ -48,6 +48,17 @@ def test_copies_of_one_context_disclose_nothing(spark):
     assert {r.spans for r in pii.find_personal_data(edge.documents(spark, rows)).collect()} == {"email:16:27"}
 
 
+def test_copies_of_texts_do_not_change_what_a_term_discloses(spark):
+    random.seed(5)
+    filler = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    texts = [" ".join(random.choices(filler, k=200)) for _ in range(30)]
+    texts += [f"{random.choice(filler)} zorblax wrote to ann.lee@example.org about {filler[i]} again" for i in range(3)]
+    plain = spark.createDataFrame([(t,) for t in texts], "_text string")
+    copied = spark.createDataFrame([(t,) for i, t in enumerate(texts) for _ in range(400 if i >= 30 else 1)], "_text string")
+    want, got = ({(r.entity, r.term): round(r.share, 9) for r in pii.disclosing_terms(d).collect()} for d in (plain, copied))
+    assert want == got and any(term == "zorblax" for _, term in want)
+
+
 def test_audit_finds_exactly_the_damage(spark):
     pages = spark.range(1500).selectExpr(
         "id AS page_id", "concat('http://h/', id) AS url", "repeat(concat('<p>', id, '</p>'), cast(id % 40 AS int)) AS html", "1 AS node", "2 AS level"
