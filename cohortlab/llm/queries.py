@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlab.llm import bpe, decontaminate, fingerprint, jaccard_join, langid, pii, ppm, sharding, toxicity, warc
+from cohortlab.llm import bpe, decontaminate, fingerprint, infill, jaccard_join, langid, pii, ppm, prefix_trie, repeats, sharding, toxicity, warc
 from cohortlab.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@register
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest_documents(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_infill"] = infill.ORACLE
+
+
+@register
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest_documents(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_substring_dedup"] = repeats.ORACLE
+
+
+@register
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(read(spark, sf_dir, "conversations"))
+
+
+ORACLES["op13_prefix_trie"] = prefix_trie.ORACLE
+
+
 @register
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

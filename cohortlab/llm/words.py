@@ -34,13 +34,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _byte_values() -> np.ndarray:
-    values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
-    values[65:91] = values[97:123]
-    return values
-
-
-_BYTES = _byte_values()
+_EXACT = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
+_BYTES = _EXACT.copy()
+_BYTES[65:91] = _BYTES[97:123]
 
 
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +95,8 @@ def slices_of(batch: pa.RecordBatch, column: str, limit: int | None = None) -> I
             yield batch.slice(low, high - low)
 
 
-def word_table(column: pa.Array, space: np.ndarray = _SPACE) -> Words:
+def word_table(column: pa.Array, space: np.ndarray = _SPACE, folded: bool = True) -> Words:
+    """Words of the texts of a column; without ``folded``, upper and lower case differ."""
     data, text_offsets = text_buffer(column)
     n = len(data)
     inside = np.zeros(n + 2, bool)
@@ -111,11 +108,22 @@ def word_table(column: pa.Array, space: np.ndarray = _SPACE) -> Words:
     ends = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
     up, down = _power_table(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[data] * up[:n], out=sums[1:])
+    np.cumsum((_BYTES if folded else _EXACT)[data] * up[:n], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     return Words(data, starts, ends, np.searchsorted(starts, text_offsets), hashes)
 
 
+def run_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
+    """Hash of every run of ``length`` consecutive words, across texts as well."""
+    n = len(hashes)
+    if n < length:
+        return np.zeros(0, np.uint64)
+    up, down = _power_table(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(hashes * up[:n], out=sums[1:])
+    return mix((sums[length:] - sums[: n - length + 1]) * down[: n - length + 1] + np.uint64(length))
+
+
 def runs(values: np.ndarray) -> np.ndarray:
     """Start of each run of equal neighbours."""
     if not len(values):
