@@ -25,15 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.functions.frames import dimension_join, materialize
-from cohortlab.llm.tables import safe_text, shuffle_partitions
+from cohortlab.llm.tables import safe_text
 from cohortlab.llm.words import run_hashes, row_slices, runs, text_buffer, word_table
 
 LEAST, SEED = 35, 20
 #: Anchors are the least of this many runs.
 CHOICES = LEAST - SEED + 1
-BUCKET_BYTES = 8 << 20
-#: Packed hashes that one task compares.
-PART_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
+#: Bytes of text whose hashes one task compares, and the least number of such parts. Both follow from
+#: the texts alone, so the number of packed rows does too.
+PART_BYTES = 32 << 20
+LEAST_PARTS = 64
 _KEY = 0x51ED270B
 _MASKS = "part int, b int, anchors binary"
 _EXTENTS = "part int, b int, anchors binary, sizes binary, extents binary"
@@ -260,13 +262,11 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     overlap itself. Texts are told apart by 128 bits, extents by 128 bits (anchor and extent).
     Other columns are not read. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     keyed = _keyed(docs)
     rows = materialize(keyed.select("doc_id", "h1", "h2", F.octet_length("text").alias("bytes")))
     total = rows.agg(F.sum("bytes")).first()[0] or 0
-    tasks = shuffle_partitions(spark)
-    buckets = max(4 * tasks, math.ceil(total / BUCKET_BYTES))
-    parts = max(2 * tasks, math.ceil(total / 2 / PART_BYTES))
+    buckets = max(1, math.ceil(total / BUCKET_BYTES))
+    parts = max(LEAST_PARTS, math.ceil(total / PART_BYTES))
     bucket = F.pmod(F.col("h1"), F.lit(buckets)).cast("int").alias("b")
     texts = keyed.select("h1", "h2", bucket, "text").mapInArrow(_first_in_task, "h1 bigint, h2 bigint, b int, text string")
     by_bucket = texts.groupBy("b")
