@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohortlab.catalog import inputs
 from cohortlab.catalog.registry import query, rounded
-from cohortlab.catalog.views import LIMITS, MODEL_NAMES, RANKED_FEATURES, SCORES, listing, r6
+from cohortlab.catalog.views import LIMITS, MODEL_NAMES, RANKED_FEATURES, RISK_VALUES, SCORES, listing, r6
 from cohortlab.functions.naming import PAIR_KEY
 from cohortlab.operators import ranking as rk
 from cohortlab.operators.ontology import join_areas
@@ -85,6 +85,7 @@ def _rr_thresholds(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rk.relative_risk_thresholds(rk.enrich_relative_risk(risk), predictions))
 
 
-@query("rr_by_area", "SELECT * FROM v_risk_area WHERE n_total>=2")
+@query("rr_by_area", f"""
+SELECT * REPLACE ({', '.join(r6(c, c) for c in RISK_VALUES)}) FROM v_risk_area WHERE n_total>=2""")
 def _rr_by_area(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(area_risk(spark, sf))

@@ -9,7 +9,7 @@ from cohortlab.catalog import inputs
 from cohortlab.catalog.q_metrics import area_metrics
 from cohortlab.catalog.q_ranking import AREA, area_risk
 from cohortlab.catalog.registry import query, rounded
-from cohortlab.catalog.views import AREAS, CONFIDENCE, MODEL_NAMES, OPPORTUNITY_COLUMNS, RANKED_FEATURES, r6
+from cohortlab.catalog.views import AREAS, CONFIDENCE, MODEL_NAMES, OPPORTUNITY_COLUMNS, RANKED_FEATURES, RISK_VALUES, r6
 from cohortlab.functions.frames import materialize
 from cohortlab.functions.naming import PAIR_KEY
 from cohortlab.operators import evidence as ev
@@ -135,11 +135,11 @@ def _rr_core_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _area_report(spark: SparkSession, sf: str) -> DataFrame:
-    return rp.risk_by_area(rounded(rk.enrich_relative_risk(area_risk(spark, sf))), AREAS)
+    return rp.risk_by_area(materialize(rk.enrich_relative_risk(area_risk(spark, sf))), AREAS)
 
 
 @query("rr_area_summary", f"""
-SELECT * REPLACE ({r6('relative_risk', 'relative_risk')}, {r6('p_value', 'p_value')}) FROM v_area_report""")
+SELECT * REPLACE ({', '.join(r6(c, c) for c in [*RISK_VALUES[2:], 'p_value'])}) FROM v_area_report""")
 def _rr_area_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_area_report(spark, sf))
 

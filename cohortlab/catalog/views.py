@@ -27,6 +27,10 @@ def r6(expr: str, name: str) -> str:
     return f"round({expr}, 6) + 0.0 AS {name}"
 
 
+def exact(expr: str, name: str) -> str:
+    return f"({expr})::DOUBLE AS {name}"
+
+
 _PHASE_COLUMNS = ["clinicalPhaseMaxReached", *[f"clinicalPhase{p}Reached" for p in (1, 2, 3, 4)]]
 _CURATED = "'genomics_england','orphanet','gene2phenotype','uniprot_literature','uniprot_variants','clingen','eva'"
 _NAMES = "CASE " + " ".join(
@@ -321,8 +325,12 @@ def methods_sql(source: str, by: list[str]) -> str:
     return "\nUNION ALL ".join(parts)
 
 
-def risk_sql(source: str, methods: str, by: list[str], z: float) -> str:
-    """Relative risk per method by joining every row to every method: brute force on purpose."""
+RISK_VALUES = ["fraction_exposed", "fraction_control", "relative_risk", "relative_risk_low", "relative_risk_high"]
+
+
+def risk_sql(source: str, methods: str, by: list[str], z: float, show=r6) -> str:
+    """Relative risk per method by joining every row to every method: brute force on purpose. Reports
+    that average the risks take them as they are (``show=exact``)."""
     group = "".join(f"{b}, " for b in by)
     match = " AND ".join(["TRUE", *[f"s.{b}=m.{b}" for b in by]])
     columns = [*RANKED_FEATURES, *MODEL_NAMES]
@@ -331,8 +339,8 @@ def risk_sql(source: str, methods: str, by: list[str], z: float) -> str:
     rr = rr_sql("a", "n1", "c", "n0", z)
     return f"""
 SELECT {group}method, n1 AS n_exposed, a AS n_exposed_true, n0 AS n_control, n1+n0 AS n_total,
-  {r6('a/n1::DOUBLE', 'fraction_exposed')}, {r6('c/n0::DOUBLE', 'fraction_control')},
-  {', '.join(r6(v, k) for k, v in rr.items())}
+  {show('a/n1::DOUBLE', 'fraction_exposed')}, {show('c/n0::DOUBLE', 'fraction_control')},
+  {', '.join(show(v, k) for k, v in rr.items())}
 FROM (SELECT {''.join(f's.{b}, ' for b in by)}method, count(*) FILTER (WHERE hit) AS n1, count(*) FILTER (WHERE hit AND y) AS a,
         count(*) FILTER (WHERE NOT hit) AS n0, count(*) FILTER (WHERE NOT hit AND y) AS c
       FROM (SELECT {''.join(f's.{b}, ' for b in by)}m.method, s.{OUTCOME} AS y, {hit} AS hit FROM {source} s JOIN {methods} m ON {match}) s
@@ -344,7 +352,7 @@ _AREA = ["therapeutic_area_id", "therapeutic_area_name"]
 VIEWS["v_methods"] = methods_sql("v_scored", [])
 VIEWS["v_methods_area"] = methods_sql("v_scored_area", _AREA)
 VIEWS["v_risk"] = risk_sql("v_scored", "v_methods", [], Z90)
-VIEWS["v_risk_area"] = risk_sql("v_scored_area", "v_methods_area", _AREA, Z90)
+VIEWS["v_risk_area"] = risk_sql("v_scored_area", "v_methods_area", _AREA, Z90, exact)
 _SLUGS = {"rdg__no_time__positive": "RDG", "rdg__all__positive": "RDG-T", "rdg__no_tgc__positive": "RDG-X",
           "gbm__all__unconstrained": "GBM-T", "ots__all": "OTS"}
 _BENCH = {"omim": ("OMIM", "OMIM"), "eva": ("EVA", "EVA/ClinVar"), "ot_genetics_portal": ("OTG", "OTG/GWAS")}
@@ -562,7 +570,7 @@ VIEWS["v_sweep_scored"] = scored_sql("v_sweep") + " WHERE split='evaluation'"
 VIEWS["v_sweep_area"] = "SELECT * FROM v_sweep_scored JOIN v_areas USING (disease_id)"
 _SWEEP_BY = ["version", "last_training_year", '"window"', *_AREA]
 VIEWS["v_sweep_methods"] = f"SELECT * FROM ({methods_sql('v_sweep_area', _SWEEP_BY)}) WHERE contains(method, '__model__')"
-VIEWS["v_sweep_risk"] = risk_sql("v_sweep_area", "v_sweep_methods", _SWEEP_BY, Z90)
+VIEWS["v_sweep_risk"] = risk_sql("v_sweep_area", "v_sweep_methods", _SWEEP_BY, Z90, exact)
 VIEWS["v_sweep_enriched"] = enriched_sql("v_sweep_risk")
 VIEWS["v_sweep_single"] = "SELECT * FROM v_sweep_enriched WHERE n_total>=2 AND therapeutic_area_name<>'all' AND is_primary_model_feature"
 VIEWS["v_sweep_report"] = area_report_sql("v_sweep_enriched", "v_sweep_single", 'version, last_training_year, "window"')

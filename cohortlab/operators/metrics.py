@@ -28,13 +28,19 @@ EPSILON = sys.float_info.epsilon
 
 def scored_rows(rows: DataFrame, by: Sequence[str], key: Sequence[str], truth: str,
                 score: str) -> DataFrame:
-    """Rows with a truth, -1 read as 0, in columns ``y`` and ``score``. Any other truth than -1, 0
-    and 1 fails the job that reads it."""
+    """Rows with a class as truth, -1 read as 0, in columns ``y`` and ``score``. Any other truth than
+    -1, 0 and 1 fails the job that reads it."""
     y = F.col(truth).cast("double")
     bad = F.concat(F.lit(f"{truth} is not in (-1, 0, 1): "), y.cast("string"))
     y = F.when(y.isin(-1.0, 0.0, 1.0), y).otherwise(F.raise_error(bad).cast("double"))
+    return graded_rows(rows.withColumn(truth, F.when(y == -1, 0.0).otherwise(y)), by, key, truth, score)
+
+
+def graded_rows(rows: DataFrame, by: Sequence[str], key: Sequence[str], truth: str, score: str) -> DataFrame:
+    """Rows with a truth of any size, for metrics of graded relevance and order, in columns ``y`` and
+    ``score``."""
     return rows.filter(F.col(truth).isNotNull()).select(
-        *by, *key, F.when(y == -1, 0.0).otherwise(y).alias("y"), F.col(score).cast("double").alias("score")
+        *by, *key, F.col(truth).cast("double").alias("y"), F.col(score).cast("double").alias("score")
     )
 
 
@@ -273,12 +279,7 @@ def query_metrics(rows: DataFrame, by: Sequence[str], query: str, key: Sequence[
     [0, 1] within the query (NULL where all scores are equal). The selected columns are written
     once, as every metric reads them."""
     groups = [*by, query]
-    y = F.col(truth).cast("double")
-    scored = materialize(
-        rows.filter(y.isNotNull()).select(
-            *groups, *key, y.alias("y"), F.col(score).cast("double").alias("score")
-        )
-    )
+    scored = materialize(graded_rows(rows, groups, key, truth, score))
     unit = ratio(F.col("score") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     binary = with_group_range(scored, groups, "score").select(
         *groups, *key, F.when(F.col("y") > 0, 1.0).otherwise(0.0).alias("y"), unit.alias("score")

@@ -79,7 +79,7 @@ def kendall(y, s):
 
 
 def test_kendall_tau_against_all_pairs(rows, skewed):
-    scored = mt.scored_rows(rows, ["g"], ["id"], "y", "score")
+    scored = mt.graded_rows(rows, ["g"], ["id"], "y", "score")
     for r in mt.kendall_tau(scored, ["g"]).collect():
         own = skewed[skewed.g == r["g"]]
         assert r["kendalls_tau"] == pytest.approx(kendall(own.y.values, own.score.values))
@@ -101,7 +101,7 @@ def tied_dcg(y, s, k):
 
 
 def test_ndcg_with_ties(rows, skewed):
-    scored = mt.scored_rows(rows, ["g"], ["id"], "y", "score")
+    scored = mt.graded_rows(rows, ["g"], ["id"], "y", "score")
     for r in mt.ndcg_at_ranks(scored, ["g"], [3, 20, 200]).collect():
         own = skewed[skewed.g == r["g"]]
         y, s = own.y.values, own.score.values
