@@ -14,6 +14,7 @@ from cohortlab.operators import evidence as ev
 from cohortlab.operators import features as ft
 from cohortlab.operators import ontology
 from cohortlab.operators import ranking as rk
+from cohortlab.operators.contracts import checked, statistics_contracts
 from cohortlab.operators.cohort import cohort_base, cohort_sweep, modeling_cohort, select_cohort
 from cohortlab.operators.linear import LinearModel, weighted_composite
 from cohortlab.operators.opportunity import (
@@ -137,7 +138,7 @@ def statistics(spark: SparkSession, sf: str) -> tuple[DataFrame, list[Threshold]
     limits = thresholds(spark, sf, known)
     tractability = ev.tractability(fx.targets(spark, sf))
     table = opportunity_statistics(opportunities(spark, sf, known), tractability, areas(spark, sf), limits)
-    return materialize(table), limits
+    return checked(table, statistics_contracts()), limits
 
 
 SWEEP = [

@@ -11,8 +11,10 @@ from cohortlab.catalog.views import (
     ALL_FEATURES, ENTITY, OUTCOME, PHASES, SCORES, STATIC, TARGET_STATIC, TEMPORAL, TIME, Z90, Z99,
     fisher_sql, listing, r6, rr_sql, signed_rank_sql,
 )
+from cohortlab.functions.frames import materialize
 from cohortlab.functions.naming import PAIR_KEY
 from cohortlab.operators import cohort as ch
+from cohortlab.operators import contracts as ct
 from cohortlab.operators import quality, stats
 from cohortlab.operators.dataset import outcome_type
 from cohortlab.sources import fixtures as fx
@@ -115,6 +117,21 @@ def _check_keys(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("observed_contracts", """
+SELECT 'l_orderkey, l_linenumber is unique' AS contract, count(*)-count(DISTINCT (l_orderkey, l_linenumber)) AS n_broken FROM lineitem
+UNION ALL SELECT 'l_orderkey is unique', count(*)-count(DISTINCT l_orderkey) FROM lineitem
+UNION ALL SELECT 'l_returnflag is one of [''A'', ''N'']', count(*) FILTER (WHERE l_returnflag NOT IN ('A','N')) FROM lineitem
+UNION ALL SELECT 'discounts are below 0.08', count(*) FILTER (WHERE NOT coalesce(l_discount<0.08,FALSE)) FROM lineitem""")
+def _observed_contracts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_discount")
+    wanted = [
+        ct.unique("l_orderkey", "l_linenumber"), ct.unique("l_orderkey"), ct.one_of("l_returnflag", ["A", "N"]),
+        ct.every_row("discounts are below 0.08", F.col("l_discount") < 0.08),
+    ]
+    _, counts = ct.write_observed(rows, wanted, materialize)
+    return spark.createDataFrame(list(counts.items()), "contract string, n_broken bigint")
+
+
 @query("advancement_stats", "SELECT * FROM v_advancement")
 def _advancement_stats(spark: SparkSession, sf: str) -> DataFrame:
     return stats.advancement_stats(inputs.features(spark, sf), [1, 2], 1996, 1999)

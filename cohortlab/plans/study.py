@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cohortlab.config import StudyConfig
 from cohortlab.functions.frames import materialize
 from cohortlab.functions.naming import OUTCOME, PAIR_KEY
+from cohortlab.operators import contracts as ct
 from cohortlab.operators import linear as ln
 from cohortlab.operators import metrics as mt
 from cohortlab.operators import models as md
@@ -21,7 +22,7 @@ from cohortlab.operators.cohort import cohort_base, cohort_sweep, select_cohort
 from cohortlab.operators.dataset import create_modeling_dataset
 from cohortlab.operators.ontology import join_areas
 from cohortlab.operators.ordering import unpivot
-from cohortlab.operators.quality import enforce_keys, validate_cohort
+from cohortlab.operators.quality import validate_cohort
 
 AREA = ["therapeutic_area_id", "therapeutic_area_name"]
 
@@ -55,27 +56,30 @@ def run_study(features: DataFrame, areas: DataFrame, config: StudyConfig, boosti
               logistic: bool = True, model_limits: Sequence[int] = rk.MODEL_LIMITS) -> StudyResult:
     """Both cohorts come from one table of pairs; everything after reads written tables."""
     base = materialize(cohort_base(features, config.phase))
-    training = materialize(select_cohort(base, config.training))
-    evaluation = materialize(select_cohort(base, config.evaluation))
+    contracts = ct.cohort_contracts() if config.validate else []
+    training = ct.checked(select_cohort(base, config.training), contracts)
+    evaluation = ct.checked(select_cohort(base, config.evaluation), contracts)
     if config.validate:
         for cohort in (training, evaluation):
-            validate_cohort(enforce_keys(cohort, PAIR_KEY, not_null=[OUTCOME]))
+            validate_cohort(cohort)
     names = create_modeling_dataset(training).features
     core = md.feature_sets(names)["all"]
     models = md.fit_models(training, md.model_grid(names, boosting, logistic), OUTCOME, core)
     scored = materialize(md.score_models(evaluation, models))
     ranked = ranked_models(list(models))
-    risk = materialize(
-        rk.enrich_relative_risk(rk.relative_risk_by_method(scored, [], names, ranked, model_limits))
+    risk = ct.checked(
+        rk.enrich_relative_risk(rk.relative_risk_by_method(scored, [], names, ranked, model_limits)),
+        ct.method_contracts(),
     )
     predictions = unpivot(scored.select(*PAIR_KEY, *ranked), PAIR_KEY, ranked, "model", "prediction")
-    by_area = rk.relative_risk_by_method(join_areas(scored, areas), AREA, names, ranked, model_limits, min_rows=2)
+    in_areas = ct.checked(join_areas(scored, areas, "left"), ct.area_contracts(()))
+    by_area = rk.relative_risk_by_method(in_areas, AREA, names, ranked, model_limits, min_rows=2)
     return StudyResult(
         models=models,
         evaluation=scored,
         relative_risk=risk,
         thresholds=rk.relative_risk_thresholds(risk, predictions),
-        area_risk=rk.enrich_relative_risk(by_area),
+        area_risk=ct.checked(rk.enrich_relative_risk(by_area), ct.method_contracts()),
         area_metrics=area_classification(scored, areas, ranked),
     )
 
@@ -90,7 +94,16 @@ def opportunities(result: StudyResult, static_features: DataFrame, tractability:
         table.write.mode("overwrite").parquet(output)
         table = table.sparkSession.read.parquet(output)
     limits = op.collect_thresholds(result.thresholds, model)
-    return table, op.opportunity_statistics(table, tractability, areas, limits)
+    statistics = op.opportunity_statistics(table, tractability, areas, limits)
+    return table, ct.checked(statistics, ct.statistics_contracts())
+
+
+def reports(result: StudyResult, area_names: Sequence[str]) -> dict[str, DataFrame]:
+    """The tables of relative risk by kind of method, and the risk of models and benchmarks per area."""
+    by_kind = {"core": rp.core_risk_table, "model": rp.model_risk_table, "static": rp.static_risk_table}
+    tables = {name: ct.checked(table(result.relative_risk), ct.report_contracts()) for name, table in by_kind.items()}
+    by_area = rp.risk_by_area(result.area_risk, area_names)
+    return tables | {"area": ct.checked(by_area, ct.area_report_contracts(area_names))}
 
 
 def sweep_area_risk(features: Mapping[str, DataFrame], areas: DataFrame, configs: Sequence[StudyConfig],
