@@ -5,18 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import PipelineModel, Pipeline, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.functions.expressions import hash_unit
 from cohortlab.functions.frames import materialize
 from cohortlab.functions.naming import PAIR_KEY
+from cohortlab.operators.boosting import BoostedModel, Boosting, Member, grouped_probability, grow
 from cohortlab.operators.folds import stratified_kfold
 from cohortlab.operators.linear import (
     RIDGE_ALPHA,
@@ -24,14 +19,13 @@ from cohortlab.operators.linear import (
     fit_ridge_family,
     group_statistics,
     grouped_score,
+    union_fills,
     weighted_composite,
 )
+from cohortlab.operators.logistic import INVERSE_PENALTIES, LogisticModel, penalty_search
 from cohortlab.operators.ordering import unpivot
 
-SEED = 0
 INNER_FOLDS = 5
-# Inverse penalties tried for logistic regression: ten steps from 1e-4 to 1e4 on a log scale.
-PENALTY_STEPS = 10
 RANDOM_BASELINES = 3
 
 
@@ -70,17 +64,15 @@ def feature_sets(features: Sequence[str]) -> dict[str, list[str]]:
 
 
 def model_grid(features: Sequence[str], boosting: bool = True, logistic: bool = True) -> list[ModelSpec]:
-    """Constraints × feature sets × algorithms, the composite and the baselines.
-
-    Boosting is unconstrained only: Spark's trees take no monotone constraints.
-    """
+    """Constraints × feature sets × algorithms, the composite and the baselines. Logistic regression is
+    unconstrained only."""
     specs = []
     for constraint in ("positive", "unconstrained"):
         for name, chosen in feature_sets(features).items():
             suffix = f"{name}__{constraint}"
             specs.append(ModelSpec(f"rdg__{suffix}", "rdg", chosen, constraint == "positive"))
-            if constraint == "unconstrained" and boosting:
-                specs.append(ModelSpec(f"gbm__{suffix}", "gbm", chosen))
+            if boosting:
+                specs.append(ModelSpec(f"gbm__{suffix}", "gbm", chosen, constraint == "positive"))
             if constraint == "unconstrained" and logistic:
                 specs.append(ModelSpec(f"lrg__{suffix}", "lrg", chosen))
     scored = [
@@ -121,93 +113,56 @@ class CompositeModel:
         return weighted_composite(self.features)
 
 
-FittedModel = LinearModel | BaselineModel | CompositeModel | PipelineModel
+FittedModel = LinearModel | LogisticModel | BoostedModel | BaselineModel | CompositeModel
 
 
 def class_prior(rows: DataFrame, label: str) -> float:
     return float(rows.agg(F.avg(F.col(label).cast("double")).alias("p")).first()["p"])
 
 
-def _zero_filled(rows: DataFrame, features: Sequence[str], label: str | None = None) -> DataFrame:
-    filled = rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
-    return filled if label is None else filled.withColumn("_label", F.col(label).cast("double"))
-
-
-def _assembler(features: Sequence[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol="_raw")
-
-
-@dataclass(frozen=True)
-class Boosting:
-    """Strength of the boosted trees."""
-
-    rounds: int = 100
-    depth: int = 5
-    step: float = 0.1
+def fit_boosting(rows: DataFrame, features: Sequence[str], label: str, positive: bool = False,
+                 boosting: Boosting = Boosting()) -> BoostedModel:
+    return grow(rows, label, [Member("m", tuple(features), positive)], how=boosting)["m"]
 
 
-def fit_boosting(rows: DataFrame, features: Sequence[str], label: str,
-                 common: Sequence[Transformer] = (), boosting: Boosting = Boosting()) -> PipelineModel:
-    trees = GBTClassifier(
-        featuresCol="_raw", labelCol="_label", seed=SEED, maxIter=boosting.rounds, maxDepth=boosting.depth, stepSize=boosting.step
-    )
-    stages = [*common, _assembler(features), trees]
-    return Pipeline(stages=stages).fit(_zero_filled(rows, features, label))
+def with_inner_folds(rows: DataFrame, label: str, key: Sequence[str], name: str = "_inner") -> DataFrame:
+    """Labelled rows with stratified folds for the choice of a penalty, as a written table."""
+    labelled = rows.where(F.col(label).isNotNull())
+    return materialize(stratified_kfold(labelled, INNER_FOLDS, label, list(key), name=name))
 
 
 def fit_logistic(rows: DataFrame, features: Sequence[str], label: str, key: Sequence[str] = PAIR_KEY,
-                 common: Sequence[Transformer] = ()) -> PipelineModel:
+                 inverse_penalties: Sequence[float] = INVERSE_PENALTIES) -> LogisticModel:
     """Penalty chosen by cross-validated accuracy over stratified folds of the row key."""
-    plain = materialize(_zero_filled(rows, features, label).select(*dict.fromkeys([*key, *features]), "_label"))
-    folded = stratified_kfold(plain, INNER_FOLDS, "_label", list(key), name="_fold")
-    training = materialize(folded.select(*features, "_label", "_fold"))
-    n = training.count()
-    logistic = LogisticRegression(
-        featuresCol="_scaled", labelCol="_label", standardization=False, tol=1e-4
-    )
-    scaler = StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True)
-    # The penalty of a fit is per training row: all but one of the inner folds hold 4/5 of them.
-    fitted_on = n * (INNER_FOLDS - 1) / INNER_FOLDS
-    penalties = [1 / (fitted_on * 10 ** (-4 + 8 * i / (PENALTY_STEPS - 1))) for i in range(PENALTY_STEPS)]
-    search = CrossValidator(
-        estimator=logistic,
-        estimatorParamMaps=ParamGridBuilder().addGrid(logistic.regParam, penalties).build(),
-        evaluator=MulticlassClassificationEvaluator(labelCol="_label", metricName="accuracy"),
-        numFolds=INNER_FOLDS,
-        foldCol="_fold",
-        parallelism=4,
-    )
-    prepared = Pipeline(stages=[*common, _assembler(features), scaler]).fit(training)
-    scaled = materialize(prepared.transform(training).select("_scaled", "_label", "_fold"))
-    chosen = search.fit(scaled).bestModel.getRegParam()
-    best = logistic.copy({logistic.regParam: chosen * fitted_on / n}).fit(scaled)
-    return PipelineModel(stages=[*prepared.stages, best])
+    folded = with_inner_folds(rows, label, key)
+    return penalty_search(folded, features, label, "_inner", inverse_penalties=inverse_penalties)[None]
 
 
 def fit_models(rows: DataFrame, specs: Sequence[ModelSpec], label: str, core: Sequence[str],
                boosting: Boosting = Boosting()) -> dict[str, FittedModel]:
-    """Fit every specification. All ridge models share one pass; ``core`` are their training
-    features. ``rows`` is read several times and should be a written table."""
-    ridge = {s.slug: (s.positive, s.features) for s in specs if s.algorithm == "rdg"}
+    """Fit every specification. All ridge models share one pass, all boosted ones a pass per level;
+    ``core`` are the training features of ridge. ``rows`` is read several times and should be a written table."""
+    of = {a: [s for s in specs if s.algorithm == a] for a in ("rdg", "gbm", "lrg", "ots", "baseline")}
     fitted: dict[str, FittedModel] = {}
-    if ridge:
-        fitted.update(fit_ridge_family(rows, core, label, ridge))
-    prior = class_prior(rows, label) if any(s.algorithm == "baseline" for s in specs) else 0.0
-    for spec in specs:
-        if spec.algorithm == "gbm":
-            fitted[spec.slug] = fit_boosting(rows, spec.features, label, boosting=boosting)
-        elif spec.algorithm == "lrg":
-            fitted[spec.slug] = fit_logistic(rows, spec.features, label)
-        elif spec.algorithm == "ots":
-            weighted_composite(spec.features)
-            fitted[spec.slug] = CompositeModel(spec.features)
-        elif spec.algorithm == "baseline":
-            fitted[spec.slug] = BaselineModel(prior, spec.seed)
+    if of["rdg"]:
+        fitted.update(fit_ridge_family(rows, core, label, {s.slug: (s.positive, s.features) for s in of["rdg"]}))
+    if of["gbm"]:
+        members = [Member(s.slug, tuple(s.features), s.positive) for s in of["gbm"]]
+        fitted.update(grow(rows, label, members, how=boosting))
+    if of["lrg"]:
+        folded = with_inner_folds(rows, label, PAIR_KEY)
+        fitted.update({s.slug: penalty_search(folded, s.features, label, "_inner")[None] for s in of["lrg"]})
+    if of["baseline"]:
+        prior = class_prior(rows, label)
+        fitted.update({s.slug: BaselineModel(prior, s.seed) for s in of["baseline"]})
+    for spec in of["ots"]:
+        weighted_composite(spec.features)
+        fitted[spec.slug] = CompositeModel(spec.features)
     return {s.slug: fitted[s.slug] for s in specs}
 
 
 def score_models(rows: DataFrame, models: Mapping[str, FittedModel]) -> DataFrame:
-    """Add one probability column per model. Expression models share one projection."""
+    """Add one probability column per model, all in one projection."""
     expressions: dict[str, Column] = {}
     fills: dict[frozenset, dict[str, float]] = {}
     for slug, model in models.items():
@@ -215,26 +170,9 @@ def score_models(rows: DataFrame, models: Mapping[str, FittedModel]) -> DataFram
             wanted = frozenset(model.features)
             fills.setdefault(wanted, model.fills(rows))
             expressions[slug] = model.score(fills[wanted])
-        elif not isinstance(model, PipelineModel):
+        else:
             expressions[slug] = model.score()
-    scored = rows.withColumns(expressions)
-    for slug, model in models.items():
-        if isinstance(model, PipelineModel):
-            inputs = _pipeline_inputs(model)
-            plain = scored.withColumns({f"_in_{c}": F.col(c) for c in inputs})
-            predicted = model.transform(_zero_filled(plain, inputs))
-            restored = {c: F.col(f"_in_{c}") for c in inputs}
-            scored = (
-                predicted.withColumn(slug, vector_to_array("probability")[1])
-                .withColumns(restored)
-                .select(*scored.columns, slug)
-            )
-    return scored
-
-
-def _pipeline_inputs(model: PipelineModel) -> list[str]:
-    assembler = next(s for s in model.stages if isinstance(s, VectorAssembler))
-    return assembler.getInputCols()
+    return rows.withColumns(expressions)
 
 
 def predict_long(rows: DataFrame, models: Mapping[str, FittedModel], keep: Sequence[str]) -> DataFrame:
@@ -243,24 +181,81 @@ def predict_long(rows: DataFrame, models: Mapping[str, FittedModel], keep: Seque
     return unpivot(scored, list(keep), list(models), "model", "prediction")
 
 
-FitFn = Callable[[DataFrame], Mapping[str, FittedModel]]
+@dataclass(frozen=True)
+class FoldModels:
+    """One model per fold, fitted without it; ``fills`` are the fill values of the fold's own rows."""
+
+    models: dict[str, FittedModel]
+    fills: dict[str, Mapping[str, float]] = field(default_factory=dict)
+
+    def score(self, fold: Column) -> Column:
+        """Score of each row by the model that has not seen its fold, NULL in any other fold."""
+        kinds = {type(m) for m in self.models.values()}
+        if kinds == {LinearModel}:
+            return grouped_score(fold, self.models, self.fills)
+        if kinds == {BoostedModel}:
+            return grouped_probability(fold, self.models)
+        score = F.lit(None).cast("double")
+        for name, model in self.models.items():
+            score = F.when(fold == name, model.score()).otherwise(score)
+        return score
+
+
+def fit_fold_models(rows: DataFrame, fold: str, specs: Sequence[ModelSpec], label: str, core: Sequence[str],
+                    boosting: Boosting = Boosting()) -> dict[str, FoldModels]:
+    """Fit every specification once per fold, on all rows of other folds, folds being a dimension of the
+    statistics that each pass collects: the number of jobs does not depend on how many there are.
+    ``rows`` should be a written table whose rows all have a fold (as text)."""
+    names = sorted(r[0] for r in rows.select(fold).distinct().collect())
+    labelled = rows.where(F.col(label).isNotNull())
+    of = {a: [s for s in specs if s.algorithm == a] for a in ("rdg", "gbm", "lrg", "ots", "baseline")}
+    fitted: dict[str, FoldModels] = {}
+    if of["rdg"]:
+        unions = {f"without {f}": [g for g in names if g != f] for f in names}
+        found = group_statistics(labelled, fold, core, label, unions)
+        fills = union_fills(rows, fold, core, {f: [f] for f in names})
+        members = {s.slug: (s.positive, s.features) for s in of["rdg"]}
+        by_fold = {f: found.fit(f"without {f}", unions[f"without {f}"], members) for f in names}
+        for slug in members:
+            fitted[slug] = FoldModels({f: by_fold[f][slug] for f in names}, fills)
+    if of["gbm"]:
+        members = [Member((s.slug, f), tuple(s.features), s.positive, f) for s in of["gbm"] for f in names]
+        grown = grow(labelled, label, members, fold, boosting)
+        fitted.update({s.slug: FoldModels({f: grown[(s.slug, f)] for f in names}) for s in of["gbm"]})
+    if of["lrg"]:
+        folded = with_inner_folds(labelled, label, PAIR_KEY)
+        for spec in of["lrg"]:
+            models = penalty_search(folded, spec.features, label, "_inner", fold)
+            fitted[spec.slug] = FoldModels({f: models[f] for f in names})
+    if of["baseline"]:
+        counted = labelled.groupBy(fold).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("double")).alias("p"))
+        counts = {r[fold]: (r["n"], r["p"]) for r in counted.collect()}
+        for spec in of["baseline"]:
+            priors = {}
+            for f in names:
+                rest = [c for g, c in counts.items() if g != f]
+                priors[f] = BaselineModel(sum(p for _, p in rest) / sum(n for n, _ in rest), spec.seed)
+            fitted[spec.slug] = FoldModels(priors)
+    for spec in of["ots"]:
+        fitted[spec.slug] = FoldModels({f: CompositeModel(spec.features) for f in names})
+    return {s.slug: fitted[s.slug] for s in specs}
+
+
 ScoreFn = Callable[[DataFrame], DataFrame]
 
 
-def run_cv(rows: DataFrame, fold: str, n_folds: int, fit: FitFn, score: ScoreFn,
-           keep: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def run_cv(rows: DataFrame, fold: str, n_folds: int, specs: Sequence[ModelSpec], label: str, core: Sequence[str],
+           score: ScoreFn, keep: Sequence[str], boosting: Boosting = Boosting()) -> tuple[DataFrame, DataFrame]:
     """Held-out predictions of every fold, and their scores per (fold, model) from one job.
 
-    Rows with any other fold label are never trained on. ``rows`` should be a written table.
+    Rows with any other fold label are neither trained on nor predicted. ``rows`` should be a
+    written table.
     """
-    held_out = None
-    for number in range(n_folds):
-        numbered = F.col(fold).cast("string").isin([str(i) for i in range(n_folds)])
-        models = fit(rows.filter(numbered & (F.col(fold).cast("string") != str(number))))
-        test = rows.filter(F.col(fold).cast("string") == str(number))
-        part = predict_long(test, models, [*keep, fold])
-        held_out = part if held_out is None else held_out.unionByName(part)
-    predictions = materialize(held_out)
+    numbered = rows.withColumn(fold, F.col(fold).cast("string")).where(F.col(fold).isin([str(i) for i in range(n_folds)]))
+    models = fit_fold_models(numbered, fold, specs, label, core, boosting)
+    held_out = numbered.withColumns({slug: m.score(F.col(fold)) for slug, m in models.items()})
+    predictions = unpivot(held_out.select(*keep, fold, *models), [*keep, fold], list(models), "model", "prediction")
+    predictions = materialize(predictions)
     return predictions, score(predictions)
 
 
