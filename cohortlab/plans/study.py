@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.config import StudyConfig
@@ -148,3 +148,62 @@ def sweep_area_risk(features: Mapping[str, DataFrame], areas: DataFrame, configs
     slugs = [s.slug for s in specs]
     risk = rk.relative_risk_by_method(rows, [*keys, *AREA], [], slugs, model_limits, min_rows=2)
     return rp.risk_by_area(rk.enrich_relative_risk(risk), area_names, keys)
+
+
+SWEEP_KEYS = ["version", "last_training_year", "window"]
+_SWEEP_COLUMNS = (
+    "method string, `limit` int, therapeutic_area_name string, n_total bigint, relative_risk double, "
+    "relative_risk_low double, relative_risk_high double, model_name string, model_slug string, "
+    "benchmark_name string, benchmark_slug string, benchmark_disp string, is_model_feature boolean, "
+    "is_primary_model_feature boolean, is_primary_benchmark_feature boolean, n_therapeutic_areas bigint, p_value double"
+)
+_KEY_COLUMNS = "version string, last_training_year int, window int"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
+
+
+def finished_configs(spark: SparkSession, output: str) -> set[tuple[str, int, int]]:
+    """(version, year, window) of the configurations whose results are stored."""
+    path = f"{output}/finished"
+    if not _exists(spark, path):
+        return set()
+    return {tuple(r) for r in spark.read.schema(_KEY_COLUMNS).parquet(path).distinct().collect()}
+
+
+def resume_sweep(spark: SparkSession, output: str, features: Mapping[str, DataFrame], areas: DataFrame,
+                 configs: Sequence[StudyConfig], area_names: Sequence[str],
+                 model_limits: Sequence[int] = rk.MODEL_LIMITS, redo: bool = False) -> DataFrame:
+    """Area risks of ``configs`` from a table with one partition per configuration.
+
+    Only configurations without a stored result are computed, all together, and each overwrites its
+    own partition; those of others keep their files. A configuration is listed as finished after
+    its partition is written, so what a lost job left behind is written again. ``redo`` computes all.
+    """
+    def key(config: StudyConfig) -> tuple[str, int, int]:
+        return (config.version, config.last_training_year, config.window)
+
+    done = set() if redo else finished_configs(spark, output)
+    missing = [c for c in configs if key(c) not in done]
+    path = f"{output}/area_risk"
+    if missing:
+        needed = {c.version for c in missing}
+        known = {version: table for version, table in features.items() if version in needed}
+        risk = sweep_area_risk(known, areas, missing, area_names, model_limits)
+        names = [c.split()[0].strip("`") for c in _SWEEP_COLUMNS.split(", ")]
+        contract = [ct.unique(*SWEEP_KEYS, "therapeutic_area_name", "method"), *ct.not_null(*SWEEP_KEYS)]
+
+        def write(table: DataFrame) -> DataFrame:
+            # One task per partition folder, so a configuration is one file.
+            dealt = table.select(*names, *SWEEP_KEYS).repartition(*SWEEP_KEYS)
+            dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SWEEP_KEYS).parquet(path)
+            return table
+
+        ct.write_checked(risk, contract, write)
+        rows = [key(c) for c in missing]
+        spark.createDataFrame(rows, _KEY_COLUMNS).coalesce(1).write.mode("append").parquet(f"{output}/finished")
+    stored = spark.read.schema(f"{_SWEEP_COLUMNS}, {_KEY_COLUMNS}").parquet(path)
+    wanted = [F.struct(*[F.lit(v) for v in key(c)]) for c in configs]
+    return stored.where(F.struct(*SWEEP_KEYS).isin(wanted))
