@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortlab.catalog import inputs
 from cohortlab.catalog.registry import query, rounded
 from cohortlab.catalog.views import ENTITY, MODEL_NAMES, OUTCOME, SCORES, TARGET_STATIC, TIME, listing, r6, scored_sql
-from cohortlab.functions.frames import materialize
+from cohortlab.functions.frames import materialize, scratch_path
 from cohortlab.functions.naming import PAIR_KEY
 from cohortlab.operators import explain as ex
 from cohortlab.operators import folds as fd
@@ -16,8 +16,10 @@ from cohortlab.operators import linear as ln
 from cohortlab.operators import logistic as lg
 from cohortlab.operators import metrics as mt
 from cohortlab.operators import models as md
+from cohortlab.operators.dataset import create_modeling_dataset
 from cohortlab.operators.boosting import Boosting, Member, grouped_probability, grow
 from cohortlab.sources import fixtures as fx
+from cohortlab.sources.sinks import load_dataset, save_dataset
 
 CORE = [*SCORES, *ENTITY, *TARGET_STATIC, TIME]
 _PAIR = "target_id, disease_id"
@@ -315,6 +317,18 @@ def _ridge_cv(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(md.ridge_cv(rows, "fold", CORE, OUTCOME, PAIR_KEY, positive=True))
 
 
+@query("dataset_round_trip", f"SELECT {_PAIR}, {listing(SCORES, r6('{0}', '{0}'))}, {OUTCOME} FROM v_cohort")
+def _dataset_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """A modelling dataset stored with its roles and a model, and read back."""
+    path = scratch_path(spark)
+    dataset = create_modeling_dataset(inputs.cohort(spark, sf).drop("transition_year", "feature_year"))
+    save_dataset(dataset, path, {"fixed": inputs.MODELS[0]})
+    again, models = load_dataset(spark, path)
+    if again.roles() != dataset.roles() or models != {"fixed": inputs.MODELS[0]}:
+        raise ValueError("roles or models changed")
+    return rounded(again.rows.select(*PAIR_KEY, *SCORES, OUTCOME))
+
+
 _MODEL = inputs.MODELS[1]
 _WEIGHTS = _MODEL.coefficients
 

@@ -34,12 +34,16 @@ def _local_scratch() -> str:
     return tempfile.mkdtemp(prefix="cohortlab-")
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, below one folder per application."""
+    return f"{scratch_dir(spark)}/cohortlab-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage, survives lost
     executors, and gives the planner true sizes."""
     spark = df.sparkSession
-    application = spark.sparkContext.applicationId
-    path = f"{scratch_dir(spark)}/cohortlab-{application}/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -24,8 +24,8 @@ MODEL_PREFIX = "target_disease__model__"
 QUANTILES = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)
 LITERATURE_LIMITS = (100, 250, 500)
 MODEL_LIMITS = (10, 25, 50, 75, 100, 250, 500)
-#: Entity features with up to this many distinct values have each of them as a cutoff.
-MAX_LISTED_VALUES = 10
+#: Entity features with up to this many distinct values have each of them as a cutoff, others quantiles.
+MOST_LISTED_VALUES = 10
 BENCHMARKS = (
     ("omim", "OMIM", "OMIM", "target_disease__genetic_association__omim"),
     ("eva", "EVA", "EVA/ClinVar", "target_disease__genetic_association__eva"),
@@ -54,10 +54,13 @@ def _limit_name(column: Column) -> Column:
     return F.concat(column, F.lit("__limit_"), F.lpad(F.col("limit").cast("string"), 4, "0"))
 
 
-def entity_cutoffs(rows: DataFrame, by: Sequence[str], entity: str, features: Sequence[str]) -> DataFrame:
+def entity_cutoffs(rows: DataFrame, by: Sequence[str], entity: str, features: Sequence[str],
+                   most_listed: int | None = MOST_LISTED_VALUES) -> DataFrame:
     """Cutoffs of target or disease features, taken from one value per entity (its maximum).
 
-    At most ten distinct values: each of them; more: quantiles.
+    The rule of the ranking methods: with at most ``most_listed`` distinct values each of them is a
+    cutoff, with more the quantiles are. ``None`` lists the values of every feature and 0 takes
+    quantiles of every feature, so that methods keep their names whatever the data.
     """
     group = [*by, "column"]
     best = rows.groupBy(*by, f"{entity}_id").agg(*[F.max(c).cast("double").alias(c) for c in features])
@@ -68,14 +71,15 @@ def entity_cutoffs(rows: DataFrame, by: Sequence[str], entity: str, features: Se
     sizes = distinct.groupBy(*group).agg(
         F.count("*").alias("n_values"), F.min(F.col("value") == F.floor("value")).alias("whole")
     )
-    listed = distinct.join(sizes.filter(F.col("n_values") <= MAX_LISTED_VALUES), group)
+    few_values = F.lit(True) if most_listed is None else F.col("n_values") <= most_listed
+    listed = distinct.join(sizes.filter(few_values), group)
     number = F.when(F.col("whole"), F.col("value").cast("long").cast("string")).otherwise(
         F.col("value").cast("string")
     )
     few = _method_rows(
         listed, by, F.concat("column", F.lit("__gte_"), number), F.col("column"), AT_LEAST, F.col("value")
     )
-    spread = dimension_join(values, sizes.filter(F.col("n_values") > MAX_LISTED_VALUES), group, "left_semi")
+    spread = dimension_join(values, sizes.filter(~few_values), group, "left_semi")
     quantiles = exact_quantiles(spread, group, "value", list(QUANTILES))
     percent = F.lpad(F.floor(F.col("quantile") * 100 + 1e-9).cast("string"), 3, "0")
     many = _method_rows(
@@ -85,8 +89,10 @@ def entity_cutoffs(rows: DataFrame, by: Sequence[str], entity: str, features: Se
 
 
 def method_cutoffs(rows: DataFrame, by: Sequence[str], features: Sequence[str],
-                   models: Sequence[str], model_limits: Sequence[int] = MODEL_LIMITS) -> DataFrame:
-    """All methods of every group as rows (by, method, column, test, cutoff)."""
+                   models: Sequence[str], model_limits: Sequence[int] = MODEL_LIMITS,
+                   most_listed: int | None = MOST_LISTED_VALUES) -> DataFrame:
+    """All methods of every group as rows (by, method, column, test, cutoff). ``most_listed``: see
+    ``entity_cutoffs``."""
     by = list(by)
     pair = [c for c in features if c.startswith("target_disease__")]
     fixed = F.array(
@@ -117,7 +123,7 @@ def method_cutoffs(rows: DataFrame, by: Sequence[str], features: Sequence[str],
     for entity in ("target", "disease"):
         own = [c for c in features if c.startswith(f"{entity}__")]
         if own:
-            parts.append(entity_cutoffs(rows, by, entity, own))
+            parts.append(entity_cutoffs(rows, by, entity, own, most_listed))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
