@@ -352,3 +352,40 @@ def test_toxic_words_are_learnt_and_held_out_rows_are_not(spark):
     again = {r.doc_id: r.score for r in toxicity.score_documents(docs, other).collect()}
     assert again == {i: r.score for i, r in got.items()}
     assert {r.score for r in toxicity.score_documents(docs, table.limit(0)).collect()} == {0.5}
+
+
+def test_clashing_columns_come_back_unchanged(spark):
+    rows = [*edge.ROWS, *variants(4)]
+    docs = edge.documents(spark, rows).selectExpr("*", "'b' AS _bit", "'c' AS _class", "7 AS _id", "8 AS _gone", "'r' AS `rows`", "9 AS part_")
+    kept = jaccard_join.keep_representatives(docs)
+    assert kept.columns == docs.columns
+    assert {(r._bit, r._class, r._id, r._gone, r["rows"]) for r in kept.collect()} == {("b", "c", 7, 8, "r")}
+    assert kept.count() == jaccard_join.keep_representatives(edge.documents(spark, rows)).count()
+    assert jaccard_join.keep_representatives(docs.limit(0)).count() == 0
+
+
+def test_a_large_family_is_counted_like_its_pairs():
+    rng = np.random.RandomState(5)
+    base = rng.randint(0, 1 << 62, 120).astype(np.uint64)
+    sets = []
+    for i in range(260):
+        own = np.where(rng.rand(120) < rng.choice([0.02, 0.08, 0.2]), rng.randint(0, 1 << 62, 120).astype(np.uint64), base)
+        sets.append(np.unique(own[rng.rand(120) < 0.97]))
+    classes = [int(i).to_bytes(2, "big") for i in rng.permutation(260)]
+    got = jaccard_join.link_family(classes, sets)
+    top = list(range(260))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i in range(260):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                top[find(i)] = find(j)
+    least = {}
+    for i, c in enumerate(classes):
+        least[find(i)] = min(least.get(find(i), c), c)
+    assert got == [least[find(i)] for i in range(260)] and 1 < len(set(got)) < 260
