@@ -47,7 +47,9 @@ def stages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def temporalized(spark: SparkSession, sf: str) -> DataFrame:
-    augmented = ev.augment_evidence(materialize(fx.evidence(spark, sf)))
+    """The evidence is read twice, so it is written once, with the columns that dating needs."""
+    needed = [*ev.SOURCE_KEY, "score", "literature", "publicationYear"]
+    augmented = ev.augment_evidence(materialize(fx.evidence(spark, sf).select(*needed)))
     return ev.temporalize_evidence(augmented, fx.publication_years(spark, sf), fx.BOUNDS)
 
 

@@ -10,6 +10,7 @@ from cohortlab.catalog.q_metrics import area_metrics
 from cohortlab.catalog.q_ranking import AREA, area_risk
 from cohortlab.catalog.registry import query, rounded
 from cohortlab.catalog.views import AREAS, CONFIDENCE, MODEL_NAMES, OPPORTUNITY_COLUMNS, RANKED_FEATURES, RISK_VALUES, r6
+from cohortlab.config import sweep_configs
 from cohortlab.functions.frames import materialize
 from cohortlab.functions.naming import PAIR_KEY
 from cohortlab.operators import evidence as ev
@@ -17,6 +18,7 @@ from cohortlab.operators import opportunity as op
 from cohortlab.operators import ranking as rk
 from cohortlab.operators import report as rp
 from cohortlab.operators.ontology import join_areas
+from cohortlab.plans.study import sweep_area_risk
 from cohortlab.sources import fixtures as fx
 
 _COLUMNS = ", ".join(OPPORTUNITY_COLUMNS)
@@ -209,3 +211,13 @@ def _sweep_summary(spark: SparkSession, sf: str) -> DataFrame:
     risk = rk.relative_risk_by_method(rows, [*CONFIG, *AREA], [], MODEL_NAMES, min_rows=2)
     report = rp.risk_by_area(rk.enrich_relative_risk(risk), AREAS, CONFIG)
     return rounded(rp.sweep_summary(materialize(report), CONFIG), 5)
+
+
+@query("sweep_fitted")
+def _sweep_fitted(spark: SparkSession, sf: str) -> DataFrame:
+    """Cohorts, ridge models and area risks of 18 configurations: three versions, years and windows."""
+    late = materialize(inputs.features(spark, sf))
+    known = {"23.06": 1998, "23.09": 1999, "23.12": 2000}
+    versions = {v: late.filter(F.col("year").isNull() | (F.col("year") <= last)) for v, last in known.items()}
+    configs = sweep_configs(list(versions), 1997, (-1, 0, 1), (1, 2), 2, fx.BOUNDS)
+    return rounded(sweep_area_risk(versions, inputs.areas(spark, sf), configs, AREAS))
