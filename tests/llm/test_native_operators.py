@@ -1,7 +1,11 @@
 """Operators in DataFrame operations: sanitisation, fixity audit, fingerprints and shards."""
 
 import hashlib
+import math
 import random
+import re
+import time
+from collections import Counter
 
 import edge
 import pytest
@@ -133,3 +137,74 @@ def test_shards_have_gapless_slots_and_grow_into_the_new_one(spark):
     assert sharding.shard_documents(edge.documents(spark, rows).limit(0)).count() == 0
     with pytest.raises(ValueError):
         sharding.jump_shard(F.lit(1), 0)
+
+
+def test_what_entities_share_recurs(spark):
+    """Every address stands once, but the host recurs, and so does a word beside it."""
+    random.seed(7)
+    filler = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    rows = [(i, " ".join(random.choices(filler, k=60)), "en") for i in range(60)]
+    rows += [(100 + i, f"{filler[i]} mail person{i}@quorvex.example from Zandrum about {filler[i + 40]}", "en") for i in range(4)]
+    docs = edge.documents(spark, rows)
+    found = {r.doc_id: r.spans for r in pii.find_personal_data(docs).collect()}
+    assert all("term:" in found[100 + i] and "email:" in found[100 + i] for i in range(4))
+    terms = pii.disclosing_terms(docs.selectExpr("text AS _text")).collect()
+    assert ("host:quorvex.example", "zandrum") in {(r.entity, r.term) for r in terms}
+    assert not {e for e, _ in {(r.entity, r.term) for r in terms} if e.startswith("0:")}
+
+
+def plain_shares(texts):
+    """Shares of all (entity, term) pairs from their definition, for addresses in short texts."""
+    contexts, words = {}, []
+    for text in sorted(set(texts)):
+        words += [w for w in re.findall(r"[^\W\d_]+", text.lower()) if len(w) >= pii.SHORTEST_TERM]
+        for m in edge.EMAIL.finditer(text):
+            around = f"{text[: m.start()]} {text[m.end() :]}"
+            terms = frozenset(w for w in re.findall(r"[^\W\d_]+", re.sub(r"\S*[0-9@]\S*", " ", around).lower()) if len(w) >= pii.SHORTEST_TERM)
+            value = m.group().lower()
+            for entity in (f"0:{value}", f"host:{value.split('@')[-1]}", f"name:{value.split('@')[0]}"):
+                contexts.setdefault(entity, set()).add(terms)
+    total, held, shares = len(words), Counter(words), {}
+    for entity, seen in contexts.items():
+        joint = Counter(t for terms in seen for t in terms)
+        for term, n in joint.items():
+            if n >= pii.SUPPORT and len(seen) >= pii.SUPPORT:
+                share = math.log(n * total / (len(seen) * held[term])) / math.log(total / len(seen))
+                if share >= pii.DISCLOSURE:
+                    shares[entity, term] = share
+    return shares
+
+
+def test_shares_equal_their_definition(spark):
+    random.seed(21)
+    filler = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(80)]
+    texts = [" ".join(random.choices(filler, k=12)) for _ in range(80)]
+    for i in range(40):
+        name, host = random.choice(["ann", "bob", "eve"]), random.choice(["one.org", "two.org"])
+        texts.append(f"{random.choice(filler)} {name}like writes {name}@{host} {host[:3]}place {random.choice(filler)}")
+    texts += texts[85:90] * 3
+    rows = spark.createDataFrame([(t,) for t in texts], "_text string")
+    got = {(r.entity, r.term): r.share for r in pii.disclosing_terms(rows).collect()}
+    want = plain_shares(texts)
+    assert got.keys() == want.keys() and len(want) > 5
+    assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+
+
+def test_clashing_columns_come_back_unchanged(spark):
+    names = ["_base", "_terms", "_text", "_key", "_new", "_spans", "_used", "_listed", "_pattern", "_found", "c0", "entity", "seen"]
+    docs = edge.documents(spark).selectExpr("*", *[f"'own {n}' AS {n}" for n in names])
+    clean = pii.sanitise(docs)
+    assert clean.columns == docs.columns and clean.dtypes == docs.dtypes
+    assert {tuple(r) for r in clean.select(*names).collect()} == {tuple(f"own {n}" for n in names)}
+    assert pii.sanitise(docs.limit(0)).count() == pii.find_personal_data(docs.limit(0)).count() == 0
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"a{i}@b.c" for i in range(16_000))
+    docs = edge.documents(spark, [(1, text, "en"), (2, "x " * 300 + "me@here.org", "en")])
+    start = time.perf_counter()
+    found = {r.doc_id: r for r in pii.find_personal_data(docs).collect()}
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert time.perf_counter() - start < 60
+    assert found[1].n_email == 16_000 and found[1].base_sha256 == hashlib.sha256(edge.base_spans(text).encode()).hexdigest()
+    assert clean[1] == " ".join(["[EMAIL]"] * 16_000) and clean[2] == "x " * 300 + "[EMAIL]"
