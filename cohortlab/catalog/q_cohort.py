@@ -11,12 +11,13 @@ from cohortlab.catalog.views import (
     ALL_FEATURES, ENTITY, OUTCOME, PHASES, SCORES, STATIC, TARGET_STATIC, TEMPORAL, TIME, Z90, Z99,
     fisher_sql, listing, r6, rr_sql, signed_rank_sql,
 )
-from cohortlab.functions.frames import materialize
+from cohortlab.functions.frames import materialize, scratch_path
 from cohortlab.functions.naming import PAIR_KEY
 from cohortlab.operators import cohort as ch
 from cohortlab.operators import contracts as ct
 from cohortlab.operators import quality, stats
 from cohortlab.operators.dataset import outcome_type
+from cohortlab.plans.layout import TargetLayout, cohort_in_place
 from cohortlab.sources import fixtures as fx
 
 _PAIR = "target_id, disease_id"
@@ -35,12 +36,21 @@ def _asof_features(spark: SparkSession, sf: str) -> DataFrame:
     return ch.asof_features(inputs.features(spark, sf), 2, 1996, 1998)
 
 
-@query("modeling_cohort", f"""
-SELECT {_PAIR}, transition_year, feature_year, {_ROUNDED_FEATURES}, {OUTCOME}, {TIME} FROM v_cohort""")
+_COHORT = f"SELECT {_PAIR}, transition_year, feature_year, {_ROUNDED_FEATURES}, {OUTCOME}, {TIME} FROM v_cohort"
+
+
+@query("modeling_cohort", _COHORT)
 def _modeling_cohort(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(inputs.cohort(spark, sf))
 
 
+@query("bucketed_cohort", _COHORT)
+def _bucketed_cohort(spark: SparkSession, sf: str) -> DataFrame:
+    """The same cohort from features bucketed by target."""
+    features = TargetLayout(scratch_path(spark), buckets=16).write_features(inputs.features(spark, sf))
+    return rounded(cohort_in_place(features, inputs.TRAINING))
+
+
 @query("cohort_sweep", f"""
 SELECT {_PAIR}, version, transition_year, feature_year, last_training_year, "window", split, {TIME}, {OUTCOME} FROM v_sweep""")
 def _cohort_sweep(spark: SparkSession, sf: str) -> DataFrame:
