@@ -12,8 +12,8 @@ their context. The distinct grams of each group of slices of texts meet them the
 to the group's texts with their log probabilities. ``NODES`` can leave out nodes below 1 / ``NODES`` of the training
 bytes; what a context loses in this way counts as escapes from it.
 
-The base counts words. Words of all texts meet by hash in the same shuffle, packed by slice of texts;
-there they are counted over the training texts, and each text's part of its score goes back packed as well.
+The base counts words, and its words travel as the grams do: counts are summed in the same table, each group
+asks for its distinct words once, whatever number of its texts hold them, and adds up its texts itself.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from cohortlab.functions.frames import materialize
 from cohortlab.llm.tables import fold, shuffle_partitions
@@ -41,6 +40,8 @@ NODES: int | None = None
 #: Marks that do not occur in UTF-8.
 START, END = 0xFE, 0xFF
 SYMBOLS = 255
+#: The end of a text as a word, and the kinds of what is counted.
+END_WORD, GRAM, WORD = np.uint64(0), 0, 1
 FLUSH_GRAMS = 1 << 19
 #: Slices of texts whose grams are looked up together, and the level at which texts are compressed.
 GROUP, LEVEL = 8, 9
@@ -73,29 +74,40 @@ def byte_grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return grams, offsets + np.arange(n + 1)
 
 
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of grams per task, merged before they leave it."""
+def _count_both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of grams (kind ``GRAM``) and of words (kind ``WORD``) per task, merged before they leave it."""
 
-    def shown(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], names=["gram", "n"])
+    def shown(kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        kinds = pa.array(np.full(len(keys), kind, np.int32))
+        return pa.RecordBatch.from_arrays([kinds, pa.array(keys.view(np.int64)), pa.array(counts)], names=["kind", "gram", "n"])
 
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    held = {kind: (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for kind in (GRAM, WORD)}
     for batch in batches:
         for part in slices_of(batch, "text"):
-            grams, _ = byte_grams(part.column(0))
-            grams.sort()
-            heads = runs(grams)
-            both = np.concatenate((keys, grams[heads]))
-            number = np.concatenate((counts, np.diff(np.append(heads, len(grams)))))
-            order = np.argsort(both, kind="stable")
-            both, number = both[order], number[order]
-            heads = runs(both)
-            keys, counts = both[heads], np.add.reduceat(number, heads)
-            if len(keys) >= FLUSH_GRAMS:
-                yield shown(keys, counts)
-                keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if len(keys):
-        yield shown(keys, counts)
+            for kind, own in ((GRAM, byte_grams(part.column(0))[0]), (WORD, _words(part.column(0))[0])):
+                own = np.sort(own)
+                heads = runs(own)
+                keys, counts = held[kind]
+                number = np.diff(np.append(heads, len(own)))
+                held[kind] = _merged(np.concatenate((keys, own[heads])), np.concatenate((counts, number)))
+                if len(held[kind][0]) >= FLUSH_GRAMS:
+                    yield shown(kind, *held[kind])
+                    held[kind] = keys[:0], counts[:0]
+    for kind, (keys, counts) in held.items():
+        if len(keys):
+            yield shown(kind, keys, counts)
+
+
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of each text, each text's closed by its end, and the offsets of the texts."""
+    table = word_table(column)
+    n = len(table.offsets) - 1
+    offsets = table.offsets + np.arange(n + 1)
+    hashes = np.full(offsets[-1], END_WORD, np.uint64)
+    inside = np.ones(len(hashes), bool)
+    inside[offsets[1:] - 1] = False
+    hashes[inside] = table.hashes
+    return hashes, offsets
 
 
 @dataclass
@@ -169,15 +181,16 @@ class Low:
 
 
 def train(texts: DataFrame) -> tuple[DataFrame, Low]:
-    """Counts of all grams of the training texts (column ``text``) as a written table, and low orders."""
-    counted = materialize(
-        texts.select("text").mapInArrow(_count_grams, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    )
-    total = counted.agg(F.sum("n")).first()[0] or 0
+    """Counts of all grams and words of the training texts (column ``text``) as a written table, and low
+    orders."""
+    both = texts.select("text").mapInArrow(_count_both, "kind int, gram bigint, n bigint")
+    counted = materialize(both.groupBy("kind", "gram").agg(F.sum("n").alias("n")))
+    grams = counted.where(F.col("kind") == GRAM)
+    total = grams.agg(F.sum("n")).first()[0] or 0
     low = Low([], [], total, NODES)
     for k in range(SHARED + 1):
         node = F.col("gram").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1))
-        own = counted.groupBy(node.alias("node")).agg(F.sum("n").alias("n")).toPandas()
+        own = grams.groupBy(node.alias("node")).agg(F.sum("n").alias("n")).toPandas()
         keys, counts = _merged(own["node"].to_numpy(np.int64).astype(np.uint64), own["n"].to_numpy(np.int64))
         low.nodes.append(keys)
         low.counts.append(counts)
@@ -200,9 +213,12 @@ def gram_parts(grams: np.ndarray, parts: int) -> np.ndarray:
     return (mix(context) % np.uint64(parts)).astype(np.int64)
 
 
-def by_part(grams: np.ndarray, parts: int) -> tuple[np.ndarray, Iterator[tuple[int, int, int]]]:
-    """Order of sorted grams by part, and part, start and end of each part in it."""
-    place = gram_parts(grams, parts)
+def word_parts(words: np.ndarray, parts: int) -> np.ndarray:
+    return (words % np.uint64(parts)).astype(np.int64)
+
+
+def by_part(place: np.ndarray) -> tuple[np.ndarray, Iterator[tuple[int, int, int]]]:
+    """A stable order by part, and part, start and end of each part in it."""
     order = np.argsort(place, kind="stable")
     place = place[order]
     edges = np.append(runs(place), len(place))
@@ -264,202 +280,154 @@ def text_log10(column: pa.Array, known: np.ndarray, values: np.ndarray) -> np.nd
     return sum_by_row(each, offsets)
 
 
-PACKED = "part int, slice bigint, kind int, a binary, b binary, c binary, d binary"
+#: Rows that meet: texts of a slice, what a group asks for, and counts.
+TEXTS, ASKED, COUNTS = 0, 2, 4
+PACKED = "part int, slice bigint, kind int, a binary, b binary"
 
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["part", "slice", "kind", "a", "b", "c", "d"])
+    kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 2)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["part", "slice", "kind", "a", "b"])
+
+
+_PARTS = {GRAM: gram_parts, WORD: word_parts}
 
 
 def _pack_counts(parts: int):
-    """Rows of kind 3: grams and counts of one part."""
+    """Rows of kind ``COUNTS`` plus what is counted: grams or words of one part with their counts."""
 
-    def shown(keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
-        grams, number = _merged(np.concatenate(keys), np.concatenate(counts))
-        order, spans = by_part(grams, parts)
-        return _packed([(part, -1, 3, squeezed(grams[order[a:b]]), squeezed(number[order[a:b]]), b"", b"") for part, a, b in spans])
+    def shown(kind: int, keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        known, number = _merged(np.concatenate(keys), np.concatenate(counts))
+        order, spans = by_part(_PARTS[kind](known, parts))
+        return _packed([(part, -1, COUNTS + kind, squeezed(known[order[a:b]]), squeezed(number[order[a:b]])) for part, a, b in spans])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
+        held = {kind: ([], [], []) for kind in _PARTS}
         for batch in batches:
-            keys.append(batch.column(0).to_numpy().astype(np.uint64))
-            counts.append(batch.column(1).to_numpy())
-            held += batch.num_rows
-            if held >= FLUSH_GRAMS:
-                yield shown(keys, counts)
-                keys, counts, held = [], [], 0
-        if held:
-            yield shown(keys, counts)
+            kinds = batch.column(0).to_numpy()
+            for kind, (keys, counts, sizes) in held.items():
+                own = np.flatnonzero(kinds == kind)
+                if not len(own):
+                    continue
+                keys.append(batch.column(1).to_numpy()[own].view(np.uint64))
+                counts.append(batch.column(2).to_numpy()[own])
+                sizes.append(len(own))
+                if sum(sizes) >= FLUSH_GRAMS:
+                    yield shown(kind, keys, counts)
+                    held[kind] = ([], [], [])
+        for kind, (keys, counts, _) in held.items():
+            if keys:
+                yield shown(kind, keys, counts)
 
     return pack
 
 
 def _pack_texts(parts: int):
-    """Per slice of texts: one row of kind 0 with the texts and their own columns, and one row of kind 1
-    per part of the word hashes with the words, the texts that hold them and how often. Per group of
-    slices: one row of kind 2 per part of the contexts with the distinct grams. Texts are numbered and
-    all rows named by group."""
+    """Per slice of texts: one row of kind ``TEXTS`` with the texts and their own columns. Per group of
+    slices: one row of kind ``ASKED`` plus what is asked for per part, with the distinct grams or words. Texts
+    are numbered and all rows named by group."""
 
-    def grams_of(known: np.ndarray, name: int) -> pa.RecordBatch:
-        order, spans = by_part(known, parts)
-        return _packed([(p, name, 2, squeezed(known[order[a:b]]), b"", b"", b"") for p, a, b in spans])
+    def asked(known: dict[int, np.ndarray], name: int) -> pa.RecordBatch:
+        out = []
+        for kind, own in known.items():
+            order, spans = by_part(_PARTS[kind](own, parts))
+            out += [(p, name, ASKED + kind, squeezed(own[order[a:b]]), b"") for p, a, b in spans]
+        return _packed(out)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number, first, known = TaskContext.get().partitionId(), 0, 0, np.zeros(0, np.uint64)
+        nothing = {kind: np.zeros(0, np.uint64) for kind in _PARTS}
+        task, number, first, known = TaskContext.get().partitionId(), 0, 0, dict(nothing)
         for batch in batches:
             for part in slices_of(batch, "text"):
-                table, rows = word_table(part.column(1)), part.num_rows
                 name = task << 32 | number // GROUP
-                held_out = np.asarray(part.column(2).to_numpy(zero_copy_only=False), bool)
-                info = pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(table.counts.astype(np.int64) + 1), part.column(1)],
-                    names=["doc_id", "held_out", "n_tokens", "text"],
-                )
+                info = pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(1)], names=["doc_id", "held_out", "text"])
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, info.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as writer:
                     writer.write_batch(info)
-                out = [(name % parts, name, 0, sink.getvalue().to_pybytes(), first.to_bytes(8, "little"), b"", b"")]
-                # The end of each text is a word of its own.
-                hashes = np.concatenate((table.hashes, np.zeros(rows, np.uint64)))
-                owner = np.concatenate((table.owner, np.arange(rows)))
-                order = np.argsort(hashes, kind="stable")
-                hashes, owner = hashes[order], owner[order]
-                new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])))
-                at = np.flatnonzero(new)
-                times = np.diff(np.append(at, len(hashes)))
-                hashes, owner = hashes[at], owner[at]
-                place = (hashes % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(place, kind="stable")
-                place, hashes, owner, times = place[order], hashes[order], owner[order], times[order]
-                edges = np.append(runs(place), len(place))
-                learnt = ~held_out[owner]
-                for low, high in zip(edges, edges[1:]):
-                    heads = runs(hashes[low:high])
-                    spread = np.diff(np.append(heads, high - low)).astype(np.uint32)
-                    # Texts that are learnt from are marked in the lowest bit.
-                    who = ((owner[low:high] + first).astype(np.uint32) << np.uint32(1)) | learnt[low:high]
-                    out.append(
-                        (int(place[low]), name, 1, hashes[low:high][heads].tobytes(), squeezed(spread), squeezed(who.astype(np.uint32)), squeezed(times[low:high].astype(np.uint32)))
-                    )
-                yield _packed(out)
-                grams, _ = byte_grams(part.column(1))
-                grams.sort()
-                known = np.union1d(known, grams[runs(grams)])
-                number, first = number + 1, first + rows
+                yield _packed([(name % parts, name, TEXTS, sink.getvalue().to_pybytes(), first.to_bytes(8, "little"))])
+                for kind, own in ((GRAM, byte_grams(part.column(1))[0]), (WORD, _words(part.column(1))[0])):
+                    own.sort()
+                    known[kind] = np.union1d(known[kind], own[runs(own)])
+                number, first = number + 1, first + part.num_rows
                 if number % GROUP == 0:
-                    yield grams_of(known, name)
-                    first, known = 0, known[:0]
-        if len(known):
-            yield grams_of(known, name)
+                    yield asked(known, name)
+                    first, known = 0, dict(nothing)
+        if first:
+            yield asked(known, name)
 
     return pack
 
 
 def _weighed(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-    names = ["slice", "kind", "a", "b", "c", "tokens", "words"]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["slice", "kind", "a", "b"])
 
 
 def _weigh(shared):
-    """What meets in a task: words (kinds 0 to 2 of ``_weigh_words``), and grams with the counts of their
-    part, whose log probabilities go back with them (kind 3)."""
+    """What is asked for meets the counts of its part. Log probabilities of grams and counts of words go back
+    with what was asked; texts go through."""
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, keys, counts = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-
-        def others() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                kind = batch.column(2).to_numpy()
-                for i in np.flatnonzero(kind == 2):
-                    asked.append((batch.column(1)[i].as_py(), unsqueezed(batch.column(3)[i].as_py(), np.uint64)))
-                for i in np.flatnonzero(kind == 3):
-                    keys.append(unsqueezed(batch.column(3)[i].as_py(), np.uint64))
-                    counts.append(unsqueezed(batch.column(4)[i].as_py(), np.int64))
-                yield batch.filter(pa.array(kind < 2))
-
-        yield from _weigh_words(others())
-        if asked:
-            trie = part_trie(np.concatenate(keys), np.concatenate(counts), shared.value)
-            grams, place = np.unique(np.concatenate([own for _, own in asked]), return_inverse=True)
-            values, at = gram_log10(grams, trie), 0
-            for name, own in asked:
-                yield _weighed([(name, 3, squeezed(own), squeezed(values[place[at : at + len(own)]]), b"", 0, 0)])
+        asked = {kind: [] for kind in _PARTS}
+        keys = {kind: [np.zeros(0, np.uint64)] for kind in _PARTS}
+        counts = {kind: [np.zeros(0, np.int64)] for kind in _PARTS}
+        for batch in batches:
+            for _, name, kind, a, b in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+                if kind == TEXTS:
+                    yield _weighed([(name, TEXTS, a, b)])
+                elif kind < COUNTS:
+                    asked[kind - ASKED].append((name, unsqueezed(a, np.uint64)))
+                else:
+                    keys[kind - COUNTS].append(unsqueezed(a, np.uint64))
+                    counts[kind - COUNTS].append(unsqueezed(b, np.int64))
+        for kind in _PARTS:
+            if not asked[kind]:
+                continue
+            table = np.concatenate(keys[kind]), np.concatenate(counts[kind])
+            wanted, place = np.unique(np.concatenate([own for _, own in asked[kind]]), return_inverse=True)
+            values = gram_log10(wanted, part_trie(*table, shared.value)) if kind == GRAM else _count_of(wanted, *_merged(*table))
+            at = 0
+            for name, own in asked[kind]:
+                yield _weighed([(name, ASKED + kind, squeezed(own), squeezed(values[place[at : at + len(own)]]))])
                 at += len(own)
 
     return weigh
 
 
-def _weigh_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the words of a part, and each text's sum over them, packed by slice (kind 1);
-    the part's tokens and distinct words (kind 2); texts and their own columns go through (kind 0)."""
-    words, learnt, who, times, spans = [], [], [], [], []
-    for batch in batches:
-        for part, name, kind, a, b, c, d in zip(*[batch.column(i).to_pylist() for i in range(7)]):
-            if kind == 0:
-                yield _weighed([(name, 0, a, b, b"", 0, 0)])
-                continue
-            spread = unsqueezed(b, np.uint32).astype(np.int64)
-            words.append(np.frombuffer(a, np.uint64))
-            texts = unsqueezed(c, np.uint32)
-            who.append(texts)
-            times.append(unsqueezed(d, np.uint32))
-            spans.append((name, spread))
-            ends = np.cumsum(spread)
-            weight = np.concatenate(([0], np.cumsum(times[-1].astype(np.int64) * (texts & 1))))
-            learnt.append(weight[ends] - weight[ends - spread])
-    if not words:
-        return
-    every = np.concatenate(words)
-    names, place = np.unique(every, return_inverse=True)
-    total = np.bincount(place, np.concatenate(learnt), len(names)).astype(np.int64)
-    yield _weighed([(-1, 2, b"", b"", b"", int(total.sum()), int((total > 0).sum()))])
-    at = 0
-    for (name, spread), texts, number in zip(spans, who, times):
-        count = np.repeat(total[place[at : at + len(spread)]], spread)
-        at += len(spread)
-        rows = (texts >> np.uint32(1)).astype(np.int64)
-        sums = np.bincount(rows, number * np.log10(count + 0.5))
-        known = np.bincount(rows, number * (count > 0), len(sums)).astype(np.uint32)
-        held = np.flatnonzero(np.bincount(rows))
-        yield _weighed([(name, 1, held.astype(np.uint32).tobytes(), sums[held].tobytes(), known[held].tobytes(), 0, 0)])
+def _count_of(wanted: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    at, known = _found(keys, wanted)
+    return np.where(known, counts[at] if len(counts) else 0, 0).astype(np.int64)
 
 
 def _finish(rows: pa.Table) -> pa.Table:
-    """Scores of the texts of a group, the base without its totals; rows without a text (``tokens`` set)
-    carry the totals of the parts."""
-    if not rows.num_rows or rows.column(1)[0].as_py() == 2:
-        n = rows.num_rows
-        nothing = {name: pa.nulls(n, kind) for name, kind in (("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("sums", pa.float64()), ("score", pa.float64()))}
-        return pa.table({**nothing, "tokens": rows.column("tokens"), "words": rows.column("words")})
-    texts, parts, grams, values = {}, [], [], []
-    for k, a, b, c in zip(*[rows.column(i).to_pylist() for i in (1, 2, 3, 4)]):
-        if k == 0:
+    """Scores of the texts of a group, the base without its totals."""
+    texts, found = {}, {GRAM: ([], []), WORD: ([], [])}
+    for kind, a, b in zip(*[rows.column(i).to_pylist() for i in (1, 2, 3)]):
+        if kind == TEXTS:
             texts[int.from_bytes(b, "little")] = a
-        elif k == 3:
-            grams.append(unsqueezed(a, np.uint64))
-            values.append(unsqueezed(b, np.float64))
         else:
-            parts.append((np.frombuffer(a, np.uint32), np.frombuffer(b, np.float64), np.frombuffer(c, np.uint32)))
-    grams, values = np.concatenate(grams), np.concatenate(values)
-    order = np.argsort(grams)
-    grams, values = grams[order], values[order]
-    own, scores = [], []
+            keys, values = found[kind - ASKED]
+            keys.append(unsqueezed(a, np.uint64))
+            values.append(unsqueezed(b, np.float64 if kind - ASKED == GRAM else np.int64))
+    known = {}
+    for kind, (keys, values) in found.items():
+        keys, values = np.concatenate(keys), np.concatenate(values)
+        order = np.argsort(keys)
+        known[kind] = keys[order], values[order]
+    done = []
     for first in sorted(texts):
         table = pa.ipc.open_stream(texts[first]).read_all()
-        scores.append(text_log10(table.column("text").combine_chunks(), grams, values))
-        own.append(table.drop_columns("text"))
-    own = pa.concat_tables(own)
-    sums, known = np.zeros(own.num_rows), np.zeros(own.num_rows, np.int64)
-    # A fixed order of addition gives the same digits whatever the order of arrival.
-    for at, part, seen in sorted(parts, key=lambda p: (p[0].tobytes(), p[1].tobytes())):
-        sums[at] += part
-        known[at] += seen
-    nothing = pa.nulls(own.num_rows, pa.int64())
-    score = pa.array(np.concatenate(scores))
-    own = own.append_column("n_known", pa.array(known)).append_column("sums", pa.array(sums)).append_column("score", score)
-    return own.append_column("tokens", nothing).append_column("words", nothing)
+        column = table.column("text").combine_chunks()
+        words, offsets = _words(column)
+        count = known[WORD][1][np.searchsorted(known[WORD][0], words)]
+        # Texts are never empty here, as each has its end.
+        sums = np.add.reduceat(np.log10(count + 0.5), offsets[:-1])
+        own = {"n_tokens": np.diff(offsets), "n_known": sum_by_row(count > 0, offsets), "sums": sums, "score": text_log10(column, *known[GRAM])}
+        table = table.drop_columns("text")
+        for name, values in own.items():
+            table = table.append_column(name, pa.array(values))
+        done.append(table)
+    return pa.concat_tables(done)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -475,22 +443,15 @@ def score_documents(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"))
     counted, low = train(texts.where("not held_out"))
     packed = texts.mapInArrow(_pack_texts(parts), PACKED).union(counted.mapInArrow(_pack_counts(parts), PACKED))
-    schema = "slice bigint, kind int, a binary, b binary, c binary, tokens bigint, words bigint"
-    weighed = packed.repartition(parts, "part").mapInArrow(_weigh(spark.sparkContext.broadcast(low)), schema)
+    weighed = packed.repartition(parts, "part").mapInArrow(
+        _weigh(spark.sparkContext.broadcast(low)), "slice bigint, kind int, a binary, b binary"
+    )
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shape = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, sums double, score double, tokens bigint, words bigint"
-
-    def finish(rows: pa.Table) -> pa.Table:
-        done = _finish(rows)
-        if "doc_id" not in done.column_names:
-            done = done.append_column("doc_id", pa.nulls(done.num_rows, id_kind))
-        return done.select(["doc_id", "held_out", "n_tokens", "n_known", "sums", "score", "tokens", "words"])
-
-    id_kind = to_arrow_type(docs.schema["doc_id"].dataType)
-    done = materialize(weighed.groupBy("slice").applyInArrow(finish, shape))
-    tokens, words = done.agg(F.sum("tokens"), F.sum("words")).first()
-    tokens, words = tokens or 0, words or 0
-    base = F.col("sums") - F.col("n_tokens") * F.lit(float(np.log10(tokens + 0.5 * (words + 1))))
-    return done.where("tokens IS NULL").select(
+    shape = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, sums double, score double"
+    done = weighed.groupBy("slice").applyInArrow(_finish, shape)
+    words = counted.where(F.col("kind") == WORD)
+    tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
+    base = F.col("sums") - F.col("n_tokens") * F.lit(float(np.log10(tokens + 0.5 * (distinct + 1))))
+    return done.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score"
     )

@@ -217,6 +217,21 @@ def test_scores_equal_plain_models(spark, monkeypatch):
     assert ppm.score_documents(edge.documents(spark, rows).limit(0)).count() == 0
 
 
+def test_a_word_of_every_text_is_asked_for_once_per_group(spark, monkeypatch):
+    rows = [(i, f"The word{i % 7} the same") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    texts = docs.selectExpr("doc_id", "text", "false AS held_out")
+    packed = texts.mapInArrow(ppm._pack_texts(4), ppm.PACKED).where(f"kind = {ppm.ASKED + ppm.WORD}").collect()
+    asked = np.concatenate([ppm.unsqueezed(r.a, np.uint64) for r in packed])
+    groups = {r.slice for r in packed}
+    # "the", "same", seven words of some texts, and the end.
+    assert len(asked) == 10 * len(groups) and len(set(asked.tolist())) == 10
+    monkeypatch.setattr(ppm, "FLUSH_GRAMS", 50)
+    got = {(r.doc_id, r.n_tokens, r.train_tokens, round(r.base_score, 9)) for r in ppm.score_documents(docs).collect()}
+    want = {(d, b[2], b[3], round(b[0], 9)) for (d, _), b in zip(rows, edge.unigram(rows))}
+    assert got == want
+
+
 def test_rare_grams_of_a_large_corpus_are_kept(spark, monkeypatch):
     random.seed(12)
     rows = [(i, " ".join(random.choices(["the", "of", "and", "to", "in"], k=500))) for i in range(900)]
