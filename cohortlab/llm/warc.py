@@ -39,9 +39,9 @@ def leaf(record: Column) -> list[Column]:
 
 
 def place_records(records: DataFrame) -> DataFrame:
-    """``archive`` and ``offset`` for rows with ``page_id``, ``length`` and ``digest``.
+    """``archive`` and ``offset`` for rows with ``page_id``, ``length``, ``digest`` and ``copies``.
 
-    Records stand in the order of id, then digest. Only these narrow columns are moved. Other
+    Records stand in the order of id, then digest; copies of a record follow each other from its offset on. Only these narrow columns are moved. Other
     columns stay. An archive takes the ids of one block of ``RECORDS_PER_ARCHIVE`` numbers.
     """
     archive = F.coalesce(
@@ -50,13 +50,13 @@ def place_records(records: DataFrame) -> DataFrame:
     before = (
         Window.partitionBy("archive").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
     )
-    return records.withColumn("archive", archive).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    return records.withColumn("archive", archive).withColumn("offset", F.coalesce(F.sum(F.col("length") * F.col("copies")).over(before), F.lit(0)))
 
 
 def tree(records: DataFrame, levels: int) -> DataFrame:
     """``level``, ``archive``, ``node`` and ``digest`` of every node; the top level has the roots."""
-    ordered = F.sort_array(F.collect_list(F.struct("offset", "length", "digest")))
-    line = lambda r: F.concat_ws(":", r["offset"].cast("string"), r["length"].cast("string"), r["digest"])
+    ordered = F.sort_array(F.collect_list(F.struct("offset", "length", "digest", "copies")))
+    line = lambda r: F.concat_ws(":", r["offset"].cast("string"), r["length"].cast("string"), r["digest"], r["copies"].cast("string"))
     level = (
         records.groupBy("archive", F.shiftright("offset", RANGE_BITS).alias("node"))
         .agg(ordered.alias("held"))
@@ -96,10 +96,10 @@ def _apart(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     """Records in which two replicas differ: ``archive``, ``offset``, ``status`` (``changed``,
-    ``missing`` or ``extra`` on the right), ids, lengths and digests of both sides.
+    ``missing`` or ``extra`` on the right), ids, lengths, digests and copies of both sides.
 
-    A replica has rows of ``archive``, ``offset``, ``length``, ``digest`` and ``page_id``, one per
-    record. Equal replicas, also empty ones, give no rows.
+    A replica has rows of ``archive``, ``offset``, ``length``, ``digest``, ``copies`` and ``page_id``, one per
+    different record. Equal replicas, also empty ones, give no rows.
     """
     levels = _levels(left, right)
     trees = [materialize(tree(side, levels)) for side in (left, right)]
@@ -118,14 +118,15 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
         for side in (left, right)
     ]
     shown = [
-        side.select("archive", "offset", *[F.col(c).alias(f"{name}_{c}") for c in ("page_id", "length", "digest")])
+        side.select("archive", "offset", *[F.col(c).alias(f"{name}_{c}") for c in ("page_id", "length", "digest", "copies")])
         for name, side in zip(("left", "right"), held)
     ]
     both = shown[0].join(shown[1], ["archive", "offset"], "full")
     status = (
         F.when(F.col("right_digest").isNull(), F.lit("missing")).when(F.col("left_digest").isNull(), F.lit("extra")).otherwise(F.lit("changed"))
     )
-    return both.where(~F.col("left_digest").eqNullSafe(F.col("right_digest"))).select(
+    apart = ~(F.col("left_digest").eqNullSafe(F.col("right_digest")) & F.col("left_copies").eqNullSafe(F.col("right_copies")))
+    return both.where(apart).select(
         F.coalesce("left_page_id", "right_page_id").alias("page_id"),
         "archive",
         "offset",
@@ -134,6 +135,8 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
         "right_length",
         "left_digest",
         "right_digest",
+        "left_copies",
+        "right_copies",
     )
 
 
@@ -145,7 +148,7 @@ DAMAGE_EVERY = 97
 def replicas(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The archives of ``pages`` and a replica with known damage, on one layout.
 
-    Equal pages (id, address and payload) are one record. A null address or payload is empty; a
+    Equal pages (id, address and payload) are copies of one record, which all keep their place. A null address or payload is empty; a
     record without an id is undamaged. Other columns are not read.
     """
     html = F.coalesce("html", F.lit(""))
@@ -159,10 +162,11 @@ def replicas(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = record_text(F.col("page_id"), F.col("url"), html)
     other = leaf(record_text(F.col("page_id"), F.col("url"), damaged))
     narrow = pages.select("page_id", kind.alias("kind"), *leaf(whole), other[0].alias("other_length"), other[1].alias("other_digest"))
-    placed = materialize(place_records(narrow.distinct()))
-    left = placed.where("kind <> 3").select("archive", "offset", "length", "digest", "page_id")
+    counted = narrow.groupBy(*narrow.columns).agg(F.count(F.lit(1)).alias("copies"))
+    placed = materialize(place_records(counted))
+    left = placed.where("kind <> 3").select("archive", "offset", "length", "digest", "copies", "page_id")
     right = placed.where("kind <> 1").select(
-        "archive", "offset", F.col("other_length").alias("length"), F.col("other_digest").alias("digest"), "page_id"
+        "archive", "offset", F.col("other_length").alias("length"), F.col("other_digest").alias("digest"), "copies", "page_id"
     )
     return left, right
 
@@ -170,7 +174,7 @@ def replicas(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 #: The same replicas compared record by record, for DuckDB.
 ORACLE = """
 WITH texts AS (
-  SELECT DISTINCT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
          coalesce(((page_id % 97) + 97) % 97, 97) AS kind
   FROM pages
 ), damaged AS (
@@ -185,18 +189,20 @@ WITH texts AS (
          chr(13) || chr(10) || chr(13) || chr(10) AS gap, html, other
   FROM damaged
 ), leaves AS (
-  SELECT DISTINCT page_id, kind, strlen(a) AS length, sha256(a) AS digest, strlen(b) AS other_length, sha256(b) AS other_digest
+  SELECT page_id, kind, strlen(a) AS length, sha256(a) AS digest, strlen(b) AS other_length, sha256(b) AS other_digest, count(*) AS copies
   FROM (SELECT page_id, kind, head || strlen(html)::VARCHAR || gap || html || gap AS a,
                head || strlen(other)::VARCHAR || gap || other || gap AS b FROM records)
+  GROUP BY ALL
 ), placed AS (
-  SELECT *, coalesce(sum(length) OVER (PARTITION BY archive ORDER BY page_id NULLS FIRST, digest
+  SELECT *, coalesce(sum(length * copies) OVER (PARTITION BY archive ORDER BY page_id NULLS FIRST, digest
                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
   FROM (SELECT *, coalesce(floor(page_id / 512)::BIGINT, -1 - length % 1024) AS archive FROM leaves)
 )
 SELECT page_id, archive, "offset",
        CASE kind WHEN 1 THEN 'missing' WHEN 3 THEN 'extra' ELSE 'changed' END AS status,
        CASE WHEN kind <> 3 THEN length END AS left_length, CASE WHEN kind <> 1 THEN other_length END AS right_length,
-       CASE WHEN kind <> 3 THEN digest END AS left_digest, CASE WHEN kind <> 1 THEN other_digest END AS right_digest
+       CASE WHEN kind <> 3 THEN digest END AS left_digest, CASE WHEN kind <> 1 THEN other_digest END AS right_digest,
+       CASE WHEN kind <> 3 THEN copies END AS left_copies, CASE WHEN kind <> 1 THEN copies END AS right_copies
 FROM placed
 WHERE kind IN (1, 3) OR digest <> other_digest
 """

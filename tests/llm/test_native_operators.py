@@ -78,6 +78,19 @@ def test_audit_finds_exactly_the_damage(spark):
     assert warc.audit(left.limit(0), left.limit(0)).count() == 0
 
 
+def test_audit_keeps_copies_of_a_record(spark):
+    one = spark.range(96, 100).selectExpr("id AS page_id", "'u' AS url", "repeat('x', 20) AS html")
+    left, right = warc.replicas(one.union(one.where("page_id IN (97, 99)")).union(one.where("page_id = 97")))
+    held = {r.page_id: r for r in left.collect()}
+    assert {i: r.copies for i, r in held.items()} == {96: 1, 97: 3, 98: 1, 99: 2}
+    assert held[98].offset - held[97].offset == 3 * held[97].length
+    found = {r.page_id: (r.status, r.left_copies, r.right_copies) for r in warc.audit(left, right).collect()}
+    assert found == {97: ("changed", 3, 3), 98: ("missing", 1, None), 99: ("changed", 2, 2)}
+    # A replica that lost one of the copies differs in that record alone.
+    short = left.withColumn("copies", F.when(F.col("page_id") == 97, F.lit(2)).otherwise(F.col("copies")).cast("bigint"))
+    assert [(r.page_id, r.status, r.left_copies, r.right_copies) for r in warc.audit(left, short).collect()] == [(97, "changed", 3, 2)]
+
+
 def test_fingerprints_follow_edits(spark):
     docs = edge.documents(spark)
     rows = fingerprint.fingerprint_documents(docs).collect()
