@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.config import CohortSpec, StudyConfig
-from cohortlab.functions.frames import materialize
+from cohortlab.functions.frames import dealt_evenly, materialize
 from cohortlab.functions.naming import DISEASE_PHASE, PAIR_KEY, TARGET_PHASE, TRANSITION_TIME
 from cohortlab.operators import evidence as ev
 from cohortlab.operators import features as ft
@@ -57,16 +57,45 @@ def target_features(spark: SparkSession, sf: str) -> DataFrame:
     return ev.target_features(load_targets(fx.targets(spark, sf), fx.prioritisation(spark, sf)))
 
 
+class Dealt(NamedTuple):
+    """Dated evidence and stages, and whether no target holds too many of their rows to be dealt by target."""
+
+    rows: DataFrame
+    stages: DataFrame
+    by_target: bool
+
+
+def dealt(spark: SparkSession, sf: str, known: Dated | None = None) -> Dealt:
+    """Without written tables the rows of evidence are dated as they are read: features are maxima, so
+    best scores need not be found and written first."""
+    if known is not None:
+        return Dealt(*known, all(dealt_evenly(t, ["targetId"]) for t in known))
+    evidence = materialize(fx.evidence(spark, sf))
+    by_target = dealt_evenly(evidence, ["targetId"])
+    date = ev.dated_rows if by_target else ev.temporalize_evidence
+    rows = date(ev.augment_evidence(evidence), fx.publication_years(spark, sf), fx.BOUNDS)
+    stages = materialize(ev.clinical_stages(ev.clinical_evidence(evidence), fx.BOUNDS))
+    return Dealt(rows, stages, by_target)
+
+
+def temporal(spark: SparkSession, sf: str) -> DataFrame:
+    """Temporal features of pairs in trials."""
+    rows, stages, by_target = dealt(spark, sf)
+    return ft.temporal_features(rows, stages, fx.SOURCES, by_target=by_target)
+
+
 def features(spark: SparkSession, sf: str, known: Dated | None = None) -> DataFrame:
     """Temporal features of pairs in trials, with target properties."""
-    temporal = ft.temporal_features(*(known or dated(spark, sf)), fx.SOURCES)
-    return ft.add_target_features(temporal, target_features(spark, sf))
+    rows, stages, by_target = dealt(spark, sf, known)
+    temporal = ft.temporal_features(rows, stages, fx.SOURCES, by_target=by_target)
+    return ft.add_target_features(temporal, target_features(spark, sf), by_target)
 
 
 def present_features(spark: SparkSession, sf: str, known: Dated | None = None) -> DataFrame:
     """All-time features of every pair, with target properties."""
-    static = ft.static_features(*(known or dated(spark, sf)), fx.SOURCES)
-    return ft.add_target_features(static, target_features(spark, sf))
+    rows, stages, by_target = dealt(spark, sf, known)
+    static = ft.static_features(rows, stages, fx.SOURCES, by_target)
+    return ft.add_target_features(static, target_features(spark, sf), by_target)
 
 
 def areas(spark: SparkSession, sf: str) -> DataFrame:
