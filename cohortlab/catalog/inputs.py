@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.config import CohortSpec, StudyConfig
-from cohortlab.functions.frames import dealt_evenly, materialize
+from cohortlab.functions.frames import materialize, partitions_for
 from cohortlab.functions.naming import DISEASE_PHASE, PAIR_KEY, TARGET_PHASE, TRANSITION_TIME
 from cohortlab.operators import evidence as ev
 from cohortlab.operators import features as ft
@@ -57,45 +57,63 @@ def target_features(spark: SparkSession, sf: str) -> DataFrame:
     return ev.target_features(load_targets(fx.targets(spark, sf), fx.prioritisation(spark, sf)))
 
 
-class Dealt(NamedTuple):
-    """Dated evidence and stages, and whether no target holds too many of their rows to be dealt by target."""
+class Known(NamedTuple):
+    """Evidence and stages, written once for several feature plans."""
 
-    rows: DataFrame
+    evidence: DataFrame
     stages: DataFrame
-    by_target: bool
 
 
-def dealt(spark: SparkSession, sf: str, known: Dated | None = None) -> Dealt:
-    """Without written tables the rows of evidence are dated as they are read: features are maxima, so
-    best scores need not be found and written first."""
-    if known is not None:
-        return Dealt(*known, all(dealt_evenly(t, ["targetId"]) for t in known))
+def known_evidence(spark: SparkSession, sf: str) -> Known:
     evidence = materialize(fx.evidence(spark, sf))
-    by_target = dealt_evenly(evidence, ["targetId"])
+    return Known(evidence, materialize(ev.clinical_stages(ev.clinical_evidence(evidence), fx.BOUNDS)))
+
+
+class Dealt(NamedTuple):
+    """Dated evidence and stages, and whether both can be dealt by target or to how many partitions (see
+    ``partitions_for``)."""
+
+    rows: DataFrame
+    stages: DataFrame
+    by_target: bool | int
+    wanted: DataFrame | None = None
+
+
+def dealt(spark: SparkSession, sf: str, known: Known | None = None, entry: ft.Entry | None = None) -> Dealt:
+    """The rows of evidence are dated as they are read: features are maxima, so best scores need not be found
+    and written first. With an entry, only those of its pairs are dated, and their stages are the wanted ones."""
+    evidence, stages = known or known_evidence(spark, sf)
+    wanted = None
+    if entry is not None:
+        wanted = materialize(ft.stages_entering(stages, entry))
+        needed = [*ev.SOURCE_KEY, "score", "literature", "publicationYear"]
+        evidence = materialize(ev.of_pairs(evidence.select(*needed), wanted))
+    by_target = partitions_for(evidence, stages, on="targetId")
     date = ev.dated_rows if by_target else ev.temporalize_evidence
     rows = date(ev.augment_evidence(evidence), fx.publication_years(spark, sf), fx.BOUNDS)
-    stages = materialize(ev.clinical_stages(ev.clinical_evidence(evidence), fx.BOUNDS))
-    return Dealt(rows, stages, by_target)
+    return Dealt(rows, stages, by_target, wanted)
 
 
 def temporal(spark: SparkSession, sf: str) -> DataFrame:
     """Temporal features of pairs in trials."""
-    rows, stages, by_target = dealt(spark, sf)
+    rows, stages, by_target, _ = dealt(spark, sf)
     return ft.temporal_features(rows, stages, fx.SOURCES, by_target=by_target)
 
 
-def features(spark: SparkSession, sf: str, known: Dated | None = None) -> DataFrame:
-    """Temporal features of pairs in trials, with target properties."""
-    rows, stages, by_target = dealt(spark, sf, known)
-    temporal = ft.temporal_features(rows, stages, fx.SOURCES, by_target=by_target)
-    return ft.add_target_features(temporal, target_features(spark, sf), by_target)
+def features(spark: SparkSession, sf: str, known: Known | None = None, entry: ft.Entry | None = None) -> DataFrame:
+    """Temporal features of pairs in trials, or of the pairs of an entry, with target properties."""
+    rows, stages, by_target, wanted = dealt(spark, sf, known, entry)
+    temporal = ft.temporal_features(rows, stages, fx.SOURCES, by_target=by_target, wanted=wanted)
+    return ft.add_target_features(temporal, target_features(spark, sf), bool(by_target))
 
 
-def present_features(spark: SparkSession, sf: str, known: Dated | None = None) -> DataFrame:
-    """All-time features of every pair, with target properties."""
-    rows, stages, by_target = dealt(spark, sf, known)
+def present_features(spark: SparkSession, sf: str, known: Known | None = None) -> DataFrame:
+    """All-time features of every pair, with target properties. Maxima over all time need no dates."""
+    evidence, stages = known or known_evidence(spark, sf)
+    by_target = partitions_for(evidence, stages, on="targetId")
+    rows = ev.augment_evidence(evidence).withColumn("year", F.lit(None).cast("int"))
     static = ft.static_features(rows, stages, fx.SOURCES, by_target)
-    return ft.add_target_features(static, target_features(spark, sf), by_target)
+    return ft.add_target_features(static, target_features(spark, sf), bool(by_target))
 
 
 def areas(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,13 +124,19 @@ TRAINING = CohortSpec(2, 1996, 1998, 1999)
 EVALUATION = CohortSpec(2, 1999, 1999, 2001)
 
 
-def cohort(spark: SparkSession, sf: str, spec: CohortSpec = TRAINING, known: Dated | None = None) -> DataFrame:
-    return modeling_cohort(features(spark, sf, known), spec)
+def entry_of(*specs: CohortSpec) -> ft.Entry:
+    """What cohorts of one phase need: pairs with a transition in any of their windows."""
+    first, last = min(s.min_transition_year for s in specs), max(s.max_transition_year for s in specs)
+    return ft.Entry(specs[0].phase, first, last)
+
+
+def cohort(spark: SparkSession, sf: str, spec: CohortSpec = TRAINING, known: Known | None = None) -> DataFrame:
+    return modeling_cohort(features(spark, sf, known, entry_of(spec)), spec)
 
 
 def split_cohorts(spark: SparkSession, sf: str) -> DataFrame:
     """Both cohorts from one table of pairs."""
-    base = materialize(cohort_base(features(spark, sf), TRAINING.phase))
+    base = materialize(cohort_base(features(spark, sf, entry=entry_of(TRAINING, EVALUATION)), TRAINING.phase))
     train = select_cohort(base, TRAINING).withColumn("split", F.lit("training"))
     later = select_cohort(base, EVALUATION).withColumn("split", F.lit("evaluation"))
     return materialize(train.unionByName(later))
@@ -141,7 +165,7 @@ def with_scores(rows: DataFrame) -> DataFrame:
     return rows.withColumns({name: F.round(score, 6) for name, score in scores.items()})
 
 
-def scored_cohort(spark: SparkSession, sf: str, known: Dated | None = None) -> DataFrame:
+def scored_cohort(spark: SparkSession, sf: str, known: Known | None = None) -> DataFrame:
     """Written down, because every cutoff of a ranking reads it again."""
     return materialize(with_scores(cohort(spark, sf, known=known)))
 
@@ -150,12 +174,12 @@ def long_predictions(scored: DataFrame, keep: list[str]) -> DataFrame:
     return unpivot(scored.select(*keep, *MODEL_NAMES), keep, MODEL_NAMES, "model", "prediction")
 
 
-def opportunities(spark: SparkSession, sf: str, known: Dated | None = None) -> DataFrame:
+def opportunities(spark: SparkSession, sf: str, known: Known | None = None) -> DataFrame:
     table = opportunity_table(materialize(present_features(spark, sf, known)), MODELS[0])
     return table.withColumn("prediction", F.round("prediction", 6))
 
 
-def thresholds(spark: SparkSession, sf: str, known: Dated | None = None) -> list[Threshold]:
+def thresholds(spark: SparkSession, sf: str, known: Known | None = None) -> list[Threshold]:
     """Calibrated on the training cohort."""
     scored = scored_cohort(spark, sf, known)
     risk = rk.relative_risk_by_method(scored, [], COMPOSITE_FEATURES, [MODELS[0].slug])
@@ -164,8 +188,8 @@ def thresholds(spark: SparkSession, sf: str, known: Dated | None = None) -> list
 
 
 def statistics(spark: SparkSession, sf: str) -> tuple[DataFrame, list[Threshold]]:
-    """Statistics per grouping, written once, and the thresholds; both from the same dated evidence."""
-    known = dated(spark, sf)
+    """Statistics per grouping, written once, and the thresholds; both from the same written evidence."""
+    known = known_evidence(spark, sf)
     limits = thresholds(spark, sf, known)
     tractability = ev.tractability(fx.targets(spark, sf))
     table = opportunity_statistics(opportunities(spark, sf, known), tractability, areas(spark, sf), limits)
@@ -181,7 +205,7 @@ EARLY_RELEASE, EARLY_LAST_YEAR = "23.09", 1999
 
 
 def swept_cohorts(spark: SparkSession, sf: str) -> DataFrame:
-    late = materialize(features(spark, sf))
+    late = materialize(features(spark, sf, entry=ft.Entry(2)))
     early = late.filter(F.col("year").isNull() | (F.col("year") <= EARLY_LAST_YEAR))
     bases = {EARLY_RELEASE: early, "23.12": late}
     base = None

@@ -17,6 +17,7 @@ from cohortlab.operators import evidence as ev
 from cohortlab.operators import opportunity as op
 from cohortlab.operators import ranking as rk
 from cohortlab.operators import report as rp
+from cohortlab.operators.features import Entry
 from cohortlab.operators.ontology import join_areas
 from cohortlab.plans.study import sweep_area_risk
 from cohortlab.sources import fixtures as fx
@@ -216,7 +217,7 @@ def _sweep_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query("sweep_fitted")
 def _sweep_fitted(spark: SparkSession, sf: str) -> DataFrame:
     """Cohorts, ridge models and area risks of 18 configurations: three versions, years and windows."""
-    late = materialize(inputs.features(spark, sf))
+    late = materialize(inputs.features(spark, sf, entry=Entry(2)))
     known = {"23.06": 1998, "23.09": 1999, "23.12": 2000}
     versions = {v: late.filter(F.col("year").isNull() | (F.col("year") <= last)) for v, last in known.items()}
     configs = sweep_configs(list(versions), 1997, (-1, 0, 1), (1, 2), 2, fx.BOUNDS)
