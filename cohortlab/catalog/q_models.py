@@ -52,7 +52,8 @@ SELECT target_id, disease_id, CAST(CASE WHEN (pos//5)%2=0 THEN pos%5 ELSE 4-pos%
 FROM v_cohort JOIN (SELECT target_id, row_number() OVER (ORDER BY avg(target_disease__outcome__advanced::INT) DESC, count(*) DESC, target_id)-1 AS pos
   FROM v_cohort GROUP BY 1) USING (target_id)""")
 def _stratified_group_kfold(spark: SparkSession, sf: str) -> DataFrame:
-    rows = inputs.cohort(spark, sf).select(*PAIR_KEY, OUTCOME)
+    # Read for the groups and again for the rows.
+    rows = materialize(inputs.cohort(spark, sf).select(*PAIR_KEY, OUTCOME))
     return fd.stratified_kfold(rows, 5, OUTCOME, PAIR_KEY, group="target_id").drop(OUTCOME)
 
 
@@ -321,7 +322,7 @@ def _ridge_cv(spark: SparkSession, sf: str) -> DataFrame:
 def _dataset_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """A modelling dataset stored with its roles and a model, and read back."""
     path = scratch_path(spark)
-    dataset = create_modeling_dataset(inputs.cohort(spark, sf).drop("transition_year", "feature_year"))
+    dataset = create_modeling_dataset(_training(spark, sf).drop("transition_year", "feature_year"))
     save_dataset(dataset, path, {"fixed": inputs.MODELS[0]})
     again, models = load_dataset(spark, path)
     if again.roles() != dataset.roles() or models != {"fixed": inputs.MODELS[0]}:
