@@ -17,6 +17,7 @@ from cohortlab.operators import cohort as ch
 from cohortlab.operators import contracts as ct
 from cohortlab.operators import quality, stats
 from cohortlab.operators.dataset import outcome_type
+from cohortlab.operators.features import Entry
 from cohortlab.plans.layout import TargetLayout, cohort_in_place
 from cohortlab.sources import fixtures as fx
 
@@ -26,14 +27,14 @@ _ROUNDED_FEATURES = ", ".join(r6(c, c) if c in [*SCORES, *TARGET_STATIC] else c
 
 @query("transition_years", "SELECT * FROM v_transitions WHERE transition_year BETWEEN 1996 AND 1998")
 def _transition_years(spark: SparkSession, sf: str) -> DataFrame:
-    return ch.transition_years(inputs.features(spark, sf), 2, 1996, 1998)
+    return ch.transition_years(inputs.features(spark, sf, entry=Entry(2, 1996, 1998)), 2, 1996, 1998)
 
 
 @query("asof_features", f"""
 SELECT {_PAIR}, transition_year, feature_year, {listing(TEMPORAL)} FROM v_base
 WHERE transition_year BETWEEN 1996 AND 1998 AND feature_year IS NOT NULL""")
 def _asof_features(spark: SparkSession, sf: str) -> DataFrame:
-    return ch.asof_features(inputs.features(spark, sf), 2, 1996, 1998)
+    return ch.asof_features(inputs.features(spark, sf, entry=Entry(2, 1996, 1998)), 2, 1996, 1998)
 
 
 _COHORT = f"SELECT {_PAIR}, transition_year, feature_year, {_ROUNDED_FEATURES}, {OUTCOME}, {TIME} FROM v_cohort"
@@ -46,8 +47,9 @@ def _modeling_cohort(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("bucketed_cohort", _COHORT)
 def _bucketed_cohort(spark: SparkSession, sf: str) -> DataFrame:
-    """The same cohort from features bucketed by target."""
-    features = TargetLayout(scratch_path(spark), buckets=16).write_features(inputs.features(spark, sf))
+    """The same cohort from features bucketed by target, those of all pairs that enter its phase in any year."""
+    entering = inputs.features(spark, sf, entry=Entry(inputs.TRAINING.phase))
+    features = TargetLayout(scratch_path(spark), buckets=16).write_features(entering)
     return rounded(cohort_in_place(features, inputs.TRAINING))
 
 

@@ -17,22 +17,26 @@ from cohortlab.functions.frames import materialize
 from cohortlab.operators import features as ft
 from cohortlab.operators.cohort import cohort_base, select_cohort
 from cohortlab.operators.ontology import aggregated_features
-from cohortlab.sources.bucketed import BUCKETS, Bucketed, bucket_overflow, open_bucketed, write_bucketed
+from cohortlab.sources.bucketed import BUCKETS, Bucketed, bucket_count, bucket_overflow, open_bucketed, write_bucketed
 
 
 @dataclass(frozen=True)
 class TargetLayout:
-    """Tables below ``path``: dated evidence, stages and features by target, yearly phases of diseases."""
+    """Tables below ``path``: dated evidence, stages and features by target, yearly phases of diseases.
+
+    ``buckets`` is the least number; larger tables have more.
+    """
 
     path: str
     buckets: int = BUCKETS
 
     def write_evidence(self, dated: DataFrame, stages: DataFrame) -> None:
         """``dated`` and ``stages`` are written tables; a target too large in either stands apart in both."""
-        over = [bucket_overflow(table, "targetId", self.buckets) for table in (dated, stages)]
-        hot = over[0].union(over[1]).distinct()
-        write_bucketed(dated, "targetId", f"{self.path}/evidence", self.buckets, hot)
-        write_bucketed(stages, "targetId", f"{self.path}/stages", self.buckets, hot)
+        buckets = bucket_count(self.buckets, dated, stages)
+        over = [bucket_overflow(table, "targetId", buckets) for table in (dated, stages)]
+        hot = materialize(over[0].union(over[1]).distinct())
+        write_bucketed(dated, "targetId", f"{self.path}/evidence", buckets, hot)
+        write_bucketed(stages, "targetId", f"{self.path}/stages", buckets, hot)
         ft.yearly_phases(stages, "disease").write.parquet(f"{self.path}/disease_phases")
 
     def features(self, spark: SparkSession, sources: Sequence[ft.Source]) -> DataFrame:
@@ -44,7 +48,8 @@ class TargetLayout:
 
     def write_features(self, features: DataFrame) -> Bucketed:
         """Write a feature table by target; it is written plainly first, as its targets are counted."""
-        return write_bucketed(materialize(features), "target_id", f"{self.path}/features", self.buckets)
+        features = materialize(features)
+        return write_bucketed(features, "target_id", f"{self.path}/features", bucket_count(self.buckets, features))
 
     def read_features(self, spark: SparkSession) -> Bucketed:
         return open_bucketed(spark, f"{self.path}/features")

@@ -20,6 +20,8 @@ from pyspark.sql.types import StructType
 from cohortlab.functions.frames import HOT_SHARE, hot_keys
 
 BUCKETS = 256
+#: Rows of a bucket, which is read by one task.
+BUCKET_ROWS = 250_000
 
 
 @dataclass(frozen=True)
@@ -44,6 +46,11 @@ def bucket_overflow(df: DataFrame, key: str, buckets: int = BUCKETS) -> DataFram
     return hot_keys(df, [key], HOT_SHARE * buckets)
 
 
+def bucket_count(least: int, *tables: DataFrame) -> int:
+    """As many buckets as keep the written tables' buckets small, so that tasks do not grow with the tables."""
+    return max(least, *(-(-table.count() // BUCKET_ROWS) for table in tables))
+
+
 def write_bucketed(df: DataFrame, key: str, path: str, buckets: int = BUCKETS, hot: DataFrame | None = None) -> Bucketed:
     """Write ``df`` below ``path``, a new folder, with one file per bucket, and return it as read back.
 
