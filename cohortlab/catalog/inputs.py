@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.config import CohortSpec, StudyConfig
-from cohortlab.functions.frames import materialize, partitions_for
+from cohortlab.functions.frames import dimension_join, materialize, partitions_for
 from cohortlab.functions.naming import DISEASE_PHASE, PAIR_KEY, TARGET_PHASE, TRANSITION_TIME
 from cohortlab.operators import evidence as ev
 from cohortlab.operators import features as ft
@@ -100,6 +100,26 @@ def temporal(spark: SparkSession, sf: str) -> DataFrame:
     return ft.temporal_features(rows, stages, fx.SOURCES, by_target=by_target)
 
 
+def inherited(spark: SparkSession, sf: str) -> DataFrame:
+    """Temporal features of pairs in trials with the evidence of their diseases' ancestors.
+
+    Where every ancestor has stages in all years, its narrow evidence is added before it is accumulated. Otherwise
+    the accumulated rows of ancestors are looked up by year."""
+    known = known_evidence(spark, sf)
+    rows, stages, by_target, _ = dealt(spark, sf, known)
+    diseases, published = fx.diseases(spark, sf), fx.publication_years(spark, sf)
+    lineage = materialize(ontology.proper_lineage(diseases))
+    phases = materialize(ft.yearly_phases(stages, "disease"))
+    years = ev.years_of(known.evidence, stages, published, fx.BOUNDS)
+    if not by_target or not ontology.always_staged(lineage, phases, years):
+        plain = ft.temporal_features(rows, stages, fx.SOURCES, phases, by_target=by_target)
+        return ontology.aggregated_features(materialize(plain), diseases)
+    ancestors = lineage.select(F.col("ancestor_id").alias("diseaseId")).distinct()
+    above = dimension_join(known.evidence, ancestors, ["diseaseId"], "left_semi", spread_by=["targetId"])
+    heritage = ft.Heritage(lineage, ev.dated_rows(ev.augment_evidence(above), published, fx.BOUNDS))
+    return ft.temporal_features(rows, stages, fx.SOURCES, phases, by_target=by_target, heritage=heritage)
+
+
 def features(spark: SparkSession, sf: str, known: Known | None = None, entry: ft.Entry | None = None) -> DataFrame:
     """Temporal features of pairs in trials, or of the pairs of an entry, with target properties."""
     rows, stages, by_target, wanted = dealt(spark, sf, known, entry)
