@@ -15,7 +15,7 @@ from cohortlab.operators import features as ft
 from cohortlab.operators import ontology
 from cohortlab.operators import ranking as rk
 from cohortlab.operators.contracts import checked, statistics_contracts
-from cohortlab.operators.cohort import cohort_base, cohort_sweep, modeling_cohort, select_cohort
+from cohortlab.operators.cohort import cohort_base, cohort_base_of_evidence, cohort_sweep, select_cohort
 from cohortlab.operators.linear import LinearModel, weighted_composite
 from cohortlab.operators.opportunity import (
     Threshold,
@@ -150,13 +150,28 @@ def entry_of(*specs: CohortSpec) -> ft.Entry:
     return ft.Entry(specs[0].phase, first, last)
 
 
+def entered(spark: SparkSession, sf: str, entry: ft.Entry, known: Known | None = None) -> DataFrame:
+    """One row per pair of an entry, with its features as of the transition (see ``cohort_base``). Only the evidence of
+    these pairs is dated, and it is aggregated by pair."""
+    evidence = known.evidence if known else materialize(fx.evidence(spark, sf))
+    stages = known.stages if known else ev.clinical_stages(ev.clinical_evidence(evidence), fx.BOUNDS)
+    marked = materialize(ft.with_transitions(stages, entry.phase))
+    pairs = materialize(ft.entering_pairs(ft.entering(marked, entry)))
+    years = pairs.select(F.col("target_id").alias("targetId"), F.col("disease_id").alias("diseaseId"), "transition_year")
+    needed = [*ev.SOURCE_KEY, "score", "literature", "publicationYear"]
+    # Pairs are hashed, so the evidence is not sorted.
+    own = materialize(evidence.select(*needed).join(years.hint("shuffle_hash"), ev.PAIR))
+    dated = ev.dated_rows(ev.augment_evidence(own), fx.publication_years(spark, sf), fx.BOUNDS, ["transition_year"])
+    return cohort_base_of_evidence(pairs, dated, marked, target_features(spark, sf), fx.SOURCES)
+
+
 def cohort(spark: SparkSession, sf: str, spec: CohortSpec = TRAINING, known: Known | None = None) -> DataFrame:
-    return modeling_cohort(features(spark, sf, known, entry_of(spec)), spec)
+    return select_cohort(entered(spark, sf, entry_of(spec), known), spec)
 
 
 def split_cohorts(spark: SparkSession, sf: str) -> DataFrame:
     """Both cohorts from one table of pairs."""
-    base = materialize(cohort_base(features(spark, sf, entry=entry_of(TRAINING, EVALUATION)), TRAINING.phase))
+    base = materialize(entered(spark, sf, entry_of(TRAINING, EVALUATION)))
     train = select_cohort(base, TRAINING).withColumn("split", F.lit("training"))
     later = select_cohort(base, EVALUATION).withColumn("split", F.lit("evaluation"))
     return materialize(train.unionByName(later))

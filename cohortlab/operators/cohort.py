@@ -7,18 +7,24 @@ among them, and so does every window of a sweep.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.config import CohortSpec, StudyConfig
+from cohortlab.functions.frames import dimension_join
 from cohortlab.functions.naming import (
+    DISEASE_PHASE,
     FEATURE_KEY,
     OUTCOME,
     PAIR_KEY,
     PAIR_PHASE,
+    TARGET_PHASE,
     TRANSITION_TIME,
     features_of_kind,
 )
+from cohortlab.operators import features as ft
 
 
 def _enters(phase: int) -> Column:
@@ -67,6 +73,47 @@ def cohort_base(features: DataFrame, phase: int, first: int | None = None,
     )
 
 
+def cohort_base_of_evidence(pairs: DataFrame, dated: DataFrame, stages: DataFrame, target_features: DataFrame,
+                            sources: Sequence[ft.Source]) -> DataFrame:
+    """``cohort_base`` of the features of some pairs, straight from their evidence.
+
+    Of the features of a pair, a cohort takes those of one year only, which are the maxima over what came before the
+    transition. So rows are aggregated by pair, and no table of all years is made. ``pairs`` (see
+    ``features.entering_pairs``) should be a written table; ``dated`` (see ``evidence.dated_rows``) holds their evidence, each row with
+    the ``transition_year`` of its pair, and ``stages`` those of all pairs. A target has no more pairs than there are
+    diseases, so that pairs are joined to targets plainly.
+    """
+    before = F.col("year") < F.col("transition_year")
+    scores, aggregates = [], []
+    for i, source in enumerate(sources):
+        name = ft.source_feature(source)
+        counted = F.col("_source") == i
+        aggregates.append(F.max(F.when(counted if features_of_kind([name], "static") else counted & before, F.col("score"))).alias(name))
+        scores.append(name)
+    scored = ft.numbered_scores(dated, sources, ["transition_year"])
+    base = pairs.join(scored.groupBy(*PAIR_KEY).agg(*aggregates, F.max(F.when(before, F.col("year"))).alias("_scored_year")), PAIR_KEY, "left")
+    years = [F.col("_own_year"), F.col("_scored_year")]
+    surroundings = {}
+    for entity, name in (("target", TARGET_PHASE), ("disease", DISEASE_PHASE)):
+        key = f"{entity}_id"
+        history = ft.yearly_phases(stages, entity).groupBy(key).agg(F.collect_list(F.struct("year", "phase")).alias(f"_{entity}"))
+        base = base.join(history, key, "left") if entity == "target" else dimension_join(base, history, [key], "left", spread_by=PAIR_KEY)
+        known = F.filter(f"_{entity}", lambda s: s["year"] < F.col("transition_year"))
+        # A pair lacking a key has no surroundings.
+        whole = F.col("target_id").isNotNull() & F.col("disease_id").isNotNull()
+        surroundings[name] = F.when(whole, F.array_max(F.transform(known, lambda s: s["phase"])))
+        years.append(F.when(whole, F.array_max(F.transform(known, lambda s: s["year"]))))
+    properties = [c for c in target_features.columns if c != "target_id"]
+    best = target_features.groupBy("target_id").agg(*[F.max(c).alias(c) for c in properties])
+    base = base.join(best, "target_id", "left").withColumns({**surroundings, "feature_year": F.greatest(*years)})
+    phases = [c for c in pairs.columns if c.startswith("target_disease__")]
+    names = [*phases, *scores, TARGET_PHASE, DISEASE_PHASE, *properties]
+    return base.select(
+        *PAIR_KEY, "transition_year", *features_of_kind(names, "static"), "feature_year",
+        *features_of_kind(names, "temporal"), "year_first_advanced",
+    )
+
+
 def asof_features(features: DataFrame, phase: int, first: int, last: int) -> DataFrame:
     """Temporal features as last known before the transition; pairs without such a year drop."""
     names = [c for c in features.columns if c not in FEATURE_KEY]
